@@ -87,7 +87,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], group: list[s
     hits = ranked.join(F.broadcast(ranks), group) if group else ranked.join(F.broadcast(ranks), inside)
     lo, hi = F.min(value), F.max(value)
     frac = F.max(F.col("_x") - F.floor("_x"))
-    per_point = hits.where(inside).groupBy(*group, "_p").agg((lo + (hi - lo) * frac).alias("_v"))
+    nearer = F.when(frac >= 0.5, hi - (hi - lo) * (1 - frac)).otherwise(lo + (hi - lo) * frac)
+    per_point = hits.where(inside).groupBy(*group, "_p").agg(nearer.alias("_v"))
     packed = F.sort_array(F.collect_list(F.struct(F.col("_p.i").alias("i"), F.col("_v").alias("v"))))
     return per_point.groupBy(*group).agg(F.transform(packed, lambda s: s["v"]).alias("quantiles"))
 
