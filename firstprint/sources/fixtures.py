@@ -197,7 +197,7 @@ def ticker_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vendor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vendor listing pages built from customers: (page STRING, status STRING)."""
+    """Vendor listing pages built from customers: (page_no, page STRING, status STRING)."""
     k = F.col("c_custkey")
     s = k.cast("string")
     day = F.concat(F.lit("19"), (90 + k % 10).cast("string"), F.lit("-0"), (1 + k % 9).cast("string"), F.lit("-15"))
@@ -207,7 +207,7 @@ def vendor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 6 == 2, "London").when(k % 6 == 3, "  ")
     )
     kind = F.when(k % 8 == 0, "Unit").when(k % 8 == 1, "Common Stock").when(k % 8 == 2, "Ordinary Shares").when(k % 8 == 3, "Bond")
-    sym = F.concat(F.lit(" c"), (k % 400).cast("string"))
+    sym = F.concat(F.lit(" c"), (k % 40).cast("string"))
     record = F.struct(
         F.struct(F.when(k % 2 == 0, sym).alias("ticker"), F.when(k % 2 == 0, name).alias("name")).alias("company"),
         F.when(k % 19 != 0, sym).alias("symbol"),
@@ -224,8 +224,9 @@ def vendor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "customer")
         .groupBy(F.floor(k / 100).alias("page_no"))
-        .agg(F.collect_list(record).alias("rows"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), record.alias("r")))), lambda x: x["r"]).alias("rows"))
         .select(
+            "page_no",
             F.when(F.col("page_no") % 2 == 0, F.to_json(F.struct(F.col("rows").alias("ipos"))))
             .otherwise(F.to_json(F.struct(F.col("rows").alias("data")))).alias("page"),
             F.lit("priced").alias("status"),

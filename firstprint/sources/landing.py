@@ -59,11 +59,15 @@ def ticker_map(files: DataFrame) -> DataFrame:
 
 
 def vendor_records(pages: DataFrame, status: str = "status") -> DataFrame:
-    """Vendor records: the list at ``ipos``, else at ``data``; the queried status rides along."""
+    """Vendor records: the list at ``ipos``, else at ``data``; the queried status rides along.
+
+    ``seq`` orders the records; give pages a ``page_no`` to make it the landing order.
+    """
     rows = F.coalesce("ipos", "data")
     query = F.col(status) if status in pages.columns else F.lit("")
+    page = F.col("page_no") if "page_no" in pages.columns else F.monotonically_increasing_id()
     return pages.select(
-        query.alias("_status"), F.monotonically_increasing_id().alias("_page"), F.posexplode(rows).alias("_at", "r")
+        query.alias("_status"), page.alias("_page"), F.posexplode(rows).alias("_at", "r")
     ).select(F.struct("_page", "_at").alias("seq"), "r.*", F.col("_status").alias("_source_status_query"))
 
 
