@@ -153,14 +153,15 @@ def ablation_gates(metrics: DataFrame, last_fold: int = 3, max_fsr=0.10, min_lif
     return out.withColumns(gates).withColumn("all_pass", F.forall(F.array(*gates), lambda g: g))
 
 
-def policy_metrics(df: DataFrame, group: list[str], p: str = "p_tail", y: str = "adverse_20") -> DataFrame:
-    """Action mix, false-safe rate, detection and Brier skill per group."""
+def policy_metrics(df: DataFrame, group: list[str], p: str = "p_tail", y: str = "adverse_20",
+                   watched_sector: str = "technology") -> DataFrame:
+    """Action mix, false-safe rate (overall and of one watched sector), detection and Brier skill per group."""
     out = df.groupBy(*group).agg(
         *report_columns(), brier(p, y).alias("_bs"), climatology_brier(y).alias("_bc"),
         F.sum(F.col("severe_30").cast("bigint")).alias("n_severe"),
         X.ratio(
-            F.count_if((F.col("sector") == "technology") & (F.col("severe_30") == 1) & (F.col("action") == "SIZE_UP")),
-            F.count_if((F.col("sector") == "technology") & (F.col("severe_30") == 1)),
+            F.count_if((F.col("sector") == watched_sector) & (F.col("severe_30") == 1) & (F.col("action") == "SIZE_UP")),
+            F.count_if((F.col("sector") == watched_sector) & (F.col("severe_30") == 1)),
         ).alias("tech_fsr"),
     )
     return out.withColumn("bss", skill(F.col("_bs"), F.col("_bc"))).drop("_bs", "_bc").withColumnsRenamed(

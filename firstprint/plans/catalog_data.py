@@ -241,13 +241,21 @@ def projection(name, table, sql, cols):
 
 projection("p01_norm_text", "documents", "select doc_id, lower(trim(coalesce(source,''))) src, length(lower(trim(text,' '))) n from documents", lambda: dict(
            doc_id=F.col("doc_id"), src=X.norm_text(F.col("source")), n=F.length(X.norm_text(F.col("text"))).cast("bigint")))
+
+
 def _iso():
     return F.when(F.col("o_orderkey") % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(
     F.col("o_orderkey") % 4 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 2, "pending")
+
+
 projection("p02_lenient_date", "orders", "select o_orderkey, case when o_orderkey%4 in (0,1) then o_orderdate::date end d from orders", lambda: dict(
            o_orderkey=F.col("o_orderkey"), d=X.lenient_date(_iso())))
+
+
 def _num():
     return F.when(F.col("o_orderkey") % 3 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+
+
 projection("p03_safe_casts", "orders", f"select o_orderkey, case when o_orderkey%3<>0 then {rd('o_totalprice', 4)} end x, case when o_orderkey%3<>0 then o_custkey end n from orders", lambda: dict(
            o_orderkey=F.col("o_orderkey"), x=F.round(X.to_double(_num()), 4),
            n=X.to_long(F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_custkey").cast("string")))))
@@ -289,7 +297,10 @@ def _(spark, d):
     return filings(spark, d).select("company_name").distinct().withColumn("spac", X.is_spac(F.col("company_name")))
 
 
-@query("p12_us_exchange", compose(f"select source_ipo_id, {contains_any(chr(108) + 'ower(coalesce(exchange_raw,' + repr('') + '))', vocab.VENDOR_EXCHANGES)} us from ven", "ven"))
+_LOWER_EXCHANGE = "lower(coalesce(exchange_raw,''))"
+
+
+@query("p12_us_exchange", compose(f"select source_ipo_id, {contains_any(_LOWER_EXCHANGE, vocab.VENDOR_EXCHANGES)} us from ven", "ven"))
 def _(spark, d):
     return vendor(spark, d).select("source_ipo_id", X.is_us_exchange(F.col("exchange_raw")).alias("us"))
 
@@ -322,7 +333,7 @@ def _(spark, d):
 _VAUD = f"""with r as (select *, concat_ws(',',
       case when ipo_date<date '1991-01-01' or ipo_date>date '1998-12-31' then 'outside_date_window' end,
       case when {contains_any('lower(company_name)', vocab.VENDOR_SPAC_TERMS)} then 'spac_name' end,
-      case when not {contains_any("lower(coalesce(exchange_raw,''))", vocab.VENDOR_EXCHANGES)} then 'non_us_exchange_or_missing' end,
+      case when not {contains_any(_LOWER_EXCHANGE, vocab.VENDOR_EXCHANGES)} then 'non_us_exchange_or_missing' end,
       case when not (case when security_type_raw is null then true when {contains_any('lower(security_type_raw)', vocab.VENDOR_NON_COMMON_TERMS)} then false
            else {contains_any('lower(security_type_raw)', vocab.VENDOR_COMMON_TERMS)} end) then 'non_common_security_type' end) excluded_reasons from vded)"""
 
@@ -331,8 +342,7 @@ def vendor_audit(spark, d):
     return U.filter_vendor_universe(U.dedupe_vendor(vendor(spark, d)), date(1991, 1, 1), date(1998, 12, 31))
 
 
-@query("p16_vendor_filters", compose(_VAUD.replace("with r as", "select * from", 1).replace("from vded)", "from vded) r0", 1)
-       .replace("select * from (select *", "select symbol, ipo_date, source_ipo_id, excluded_reasons, excluded_reasons='' included from (select *", 1), "vded"))
+@query("p16_vendor_filters", compose(_VAUD + " select symbol, ipo_date, source_ipo_id, excluded_reasons, excluded_reasons='' included from r", "vded"))
 def _(spark, d):
     return vendor_audit(spark, d).select("symbol", "ipo_date", "source_ipo_id", "excluded_reasons", "included")
 
@@ -610,9 +620,9 @@ _HOURS5 = """h as (select *, ts::date d from intra5 where ts::time>=time '14:30:
       arg_min(ts,(-high,ts)) top, min(dd) intraday_mdd from x group by 1,2)"""
 
 
-@query("a05_opening_day_features", compose(f"""select symbol, d, {rd('(coalesce(hc,o)-o)/o')} first_hour_return, {rd('(c-coalesce(hc,o))/coalesce(hc,o)')} rest_of_day_return,
+@query("a05_opening_day_features", compose(f"""with {_HOURS5} select symbol, d, {rd('(coalesce(hc,o)-o)/o')} first_hour_return, {rd('(c-coalesce(hc,o))/coalesce(hc,o)')} rest_of_day_return,
     {rd('hv::double/v')} volume_first_hour_pct, {rd('v::double/t')} avg_trade_size, {rd('(c-vw)/vw')} close_vs_vwap,
-    {rd('(epoch_us(top)-epoch_us(t0))/60000000.0::double')} time_to_high_minutes, {rd('intraday_mdd')} intraday_mdd from g""", "intra5").replace("\nselect symbol, d, (case", ",\n" + _HOURS5 + "\nselect symbol, d, (case", 1))
+    {rd('(epoch_us(top)-epoch_us(t0))/60000000.0::double')} time_to_high_minutes, {rd('intraday_mdd')} intraday_mdd from g""", "intra5"))
 def _(spark, d):
     return tidy(B.opening_day_features(fx.intraday_bars(spark, d, 5).withColumn("d", F.to_date("ts"))))
 
@@ -623,7 +633,7 @@ def _(spark, d):
     return tidy(B.hourly_to_daily(fx.intraday_bars(spark, d, 60)))
 
 
-_HOURS60 = """h as (select *, ts::date d, date_trunc('week', ts)::date week from intra60 where ts::time>=time '14:30:00' and ts::time<time '21:00:00'),
+_HOURS60 = """h as (select *, ts::date d, date_trunc('week', ts)::date as week from intra60 where ts::time>=time '14:30:00' and ts::time<time '21:00:00'),
     dy as (select symbol, week, d, arg_min(open,ts) o, arg_max(close,ts) c, max(high) hi, min(low) lo, sum(volume) v from h group by 1,2,3),
     dp as (select *, lag(c) over (partition by symbol,week order by d) pc from dy),
     g1 as (select symbol, week, coalesce(avg((o-pc)/pc),0) gap, coalesce(avg((lo<=pc and pc<=hi)::int) filter (where pc is not null and o<>pc),0) fill,
@@ -633,9 +643,8 @@ _HOURS60 = """h as (select *, ts::date d, date_trunc('week', ts)::date week from
     g2 as (select symbol, week, coalesce(stddev_samp(lr),0) vol, (arg_max(close,ts)-arg_min(open,ts))/arg_min(open,ts) cum, min(dd) mdd from y group by 1,2)"""
 
 
-@query("a07_early_week_features", compose(f"""select symbol, week, {rd('gap')} overnight_gap_mean, {rd('fill')} gap_fill_ratio, {rd('decay')} volume_decay_ratio,
-    {rd('vol')} hourly_realized_vol, {rd('cum')} turn_cum_return, {rd('mdd')} max_drawdown_turn from g1 join g2 using (symbol, week)""", "intra60").replace(
-    "\nselect symbol, week, (case", ",\n" + _HOURS60 + "\nselect symbol, week, (case", 1))
+@query("a07_early_week_features", compose(f"""with {_HOURS60} select symbol, week, {rd('gap')} overnight_gap_mean, {rd('fill')} gap_fill_ratio, {rd('decay')} volume_decay_ratio,
+    {rd('vol')} hourly_realized_vol, {rd('cum')} turn_cum_return, {rd('mdd')} max_drawdown_turn from g1 join g2 using (symbol, week)""", "intra60"))
 def _(spark, d):
     hourly = fx.intraday_bars(spark, d, 60).withColumn("week", F.to_date(F.date_trunc("week", "ts")))
     return tidy(B.early_week_features(hourly, ("symbol", "week")))
@@ -711,12 +720,12 @@ def build_audit(spark, d):
 
 
 _BAUD = """(select l.symbol, l.ipo_date, {era} era, l.sector, l.sic, case when coalesce(n,0)=3 then 'success'
-     when coalesce(n,0)>0 or (b.symbol is not null and a.days is null) then 'partial' else 'failed' end status, coalesce(n,0) n_snapshots,
+     when coalesce(n,0)>0 or (b.symbol is not null and a.ndays is null) then 'partial' else 'failed' end status, coalesce(n,0) n_snapshots,
      coalesce(f,false) has_flop, coalesce(t,false) has_turn, coalesce(r,false) has_river,
-     case when coalesce(n,0)>0 then '' when b.symbol is null then 'No bar data' when a.days is null then 'no_snapshots_built'
-          when a.days<6 then 'Not enough trading days to form FLOP window' else 'No bars for this index' end error
+     case when coalesce(n,0)>0 then '' when b.symbol is null then 'No bar data' when a.ndays is null then 'no_snapshots_built'
+          when a.ndays<6 then 'Not enough trading days to form FLOP window' else 'No bars for this index' end error
    from lst l left join (select distinct symbol from bars) b using (symbol)
-   left join (select bars.symbol, count(distinct d) days from bars join lst using (symbol) where d>=ipo_date group by 1) a on a.symbol=l.symbol
+   left join (select bars.symbol, count(distinct d) ndays from bars join lst using (symbol) where d>=ipo_date group by 1) a on a.symbol=l.symbol
    left join (select symbol, count(*) n, bool_or(street='FLOP') f, bool_or(street='TURN') t, bool_or(street='RIVER') r from snap group by 1) s on s.symbol=l.symbol)""".format(era=era_case("year(l.ipo_date)"))
 
 
@@ -918,8 +927,7 @@ def _(spark, d):
 
 @query("st2_stream_daily_rollup", compose(f"""select symbol, ts::date d, {rd('arg_min(open,ts)')} day_open, {rd('arg_max(close,ts)')} day_close,
     {rd('max(high)')} day_high, {rd('min(low)')} day_low, sum(volume)::bigint day_volume from intra60
-    group by 1,2 having ts::date + interval 1 day <= (select max(ts) from intra60) - interval 2 day""".replace("group by 1,2 having ts::date", "where ts::date").replace(
-        "- interval 2 day", "- interval 2 day group by 1,2"), "intra60"))
+    where ts::date + interval 1 day <= (select max(ts) from intra60) - interval 2 day group by 1,2""", "intra60"))
 def _(spark, d):
     landed, out = scratch_path(spark, "landed"), scratch_path(spark, "rollup")
     fx.intraday_bars(spark, d, 60).repartition(2).write.parquet(landed)

@@ -181,10 +181,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         select symbol, company_name, ipo_date, cik, exchange, sic, state, ticker_source, filing_count, excluded_reasons,
                excluded_reasons='' included from w"""),
     "ven": ((), """
-        with c as (select c_custkey k, c_name, '19'||(90+c_custkey%10)||'-0'||(1+c_custkey%9)||'-15' day,
+        with c as (select c_custkey k, c_name, '19'||(90+c_custkey%10)||'-0'||(1+c_custkey%9)||'-15' ds,
                           c_name||case when c_custkey%17=0 then ' Blank Check' else '' end nm from customer),
              r as (select k, case when k%2=0 or k%19<>0 then 'C'||(k%40)::varchar end symbol, nm company_name,
-               case when k%3<>0 then case when k%23=1 then null else day::date end else day::date end d0, day::date dd,
+               case when k%3<>0 then case when k%23=1 then null else ds::date end else ds::date end d0, ds::date dd,
                case k%6 when 0 then 'New York Stock Exchange' when 1 then 'NASDAQ Global' when 2 then 'London' end exchange_raw,
                case k%8 when 0 then 'Unit' when 1 then 'Common Stock' when 2 then 'Ordinary Shares' when 3 then 'Bond' end security_type_raw,
                case when k%4=0 then null else (k%50)::double end offer_price, k*10 shares_offered, k::varchar source_ipo_id,
@@ -260,4 +260,6 @@ def compose(body: str, *needs: str) -> str:
         add(n)
     if not order:
         return body
-    return "with " + ",\n".join(f"{n} as materialized ({CTES[n][1]})" for n in order) + "\n" + body
+    body = body.strip()
+    tail = ",\n" + body[5:] if body.lower().startswith("with ") else "\n" + body
+    return "with " + ",\n".join(f"{n} as materialized ({CTES[n][1]})" for n in order) + tail

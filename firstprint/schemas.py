@@ -23,6 +23,8 @@ BAR_SCHEMA = T.StructType(
     [T.StructField("symbol", T.StringType())] + BAR_REQUIRED.fields + BAR_OPTIONAL.fields
 )
 
+BAR_TABLE_SCHEMA = T.StructType(BAR_SCHEMA.fields + [T.StructField("timeframe", T.StringType())])
+
 # One landed page of the filing search.
 FILING_PAGE_SCHEMA = T.StructType([
     T.StructField("hits", T.StructType([

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firstprint.schemas import BAR_SCHEMA, validate_bars
+from firstprint.schemas import BAR_SCHEMA, BAR_TABLE_SCHEMA, validate_bars
 
 
 def read_bars(spark: SparkSession, path: str, timeframe: str | None = None) -> DataFrame:
     """Bars of the partitioned dataset; a timeframe reads only its partition."""
-    df = spark.read.schema(BAR_SCHEMA.add("timeframe", "string")).parquet(path)
+    df = spark.read.schema(BAR_TABLE_SCHEMA).parquet(path)
     return df if timeframe is None else df.where(F.col("timeframe") == timeframe)
 
 
