@@ -163,15 +163,15 @@ def apply_isotonic(df: DataFrame, segments: DataFrame, score: str, group: str, n
     listed = (
         segments.join(F.broadcast(span), group)  # one row per group
         .withColumn("_bin", F.explode(F.sequence(bin_of(F.col("x0")), bin_of(F.col("x1")))))
-        .select(F.col(group).alias("_g"), F.col("_bin").alias("_sb"), "x0", "x1", "p0", "p1")
+        .select(F.col(group).alias("_seg"), F.col("_bin").alias("_sb"), "x0", "x1", "p0", "p1")
     )
     s = F.col(score)
     rows = df.join(F.broadcast(span), group).withColumn("_bin", bin_of(s)).drop("_a", "_b")
-    hit = (F.col(group) == F.col("_g")) & (F.col("_bin") == F.col("_sb")) & (s > F.col("x0")) & (s <= F.col("x1"))
+    hit = (F.col(group) == F.col("_seg")) & (F.col("_bin") == F.col("_sb")) & (s > F.col("x0")) & (s <= F.col("x1"))
     slope = F.when(F.col("p0") == F.col("p1"), F.col("p1")).otherwise(
         F.col("p0") + (F.col("p1") - F.col("p0")) * (s - F.col("x0")) / (F.col("x1") - F.col("x0"))
     )
-    return rows.join(listed, hit).withColumn(name, slope).drop("_bin", "_g", "_sb", "x0", "x1", "p0", "p1")
+    return rows.join(listed, hit).withColumn(name, slope).drop("_bin", "_seg", "_sb", "x0", "x1", "p0", "p1")
 
 
 # ---- binned --------------------------------------------------------------------------------------

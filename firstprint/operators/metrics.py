@@ -41,7 +41,7 @@ def error_report(df: DataFrame, pred: str, label: str, group: str) -> DataFrame:
     """MAE and MSE per group and over all rows (group ``_overall``), one rollup."""
     err = F.col(pred) - F.col(label)
     return (
-        df.rollup(F.col(group).cast("string").alias("_g"))
+        df.withColumn("_g", F.col(group).cast("string")).rollup("_g")
         .agg(F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"), F.grouping("_g").alias("_all"))
         .select(F.when(F.col("_all") == 1, "_overall").otherwise(F.col("_g")).alias("group_value"), "mae", "mse")
     )

@@ -91,10 +91,9 @@ def best_sql(src: str, ok: str, keys: str = "", floor: str = "base", extra: str
 
 
 @query("j11_threshold_grid", compose("with src as (select p_tail p, severe_30, adverse_20 from scored), " + _GRID_REPORT.format(
-    keys="", ok=_OK.format(fsr=0.03, sb=0.12), part="1", floor="base") + f" select ord, fold_min, small_bet_min, n, {_REPORT}, feasible from q", "scored"))
+    keys="", ok=_OK.format(fsr=0.03, sb=0.12), part="1", floor="base") + f" select ord, {rd('fold_min')} fold_min, {rd('small_bet_min')} small_bet_min, n, {_REPORT}, feasible from q", "scored"))
 def _(spark, d):
-    return tidy(P.grid_reports(fx.scored(spark, d), constraints=E.STABILITY)).withColumns(
-        {"fold_min": F.col("fold_min"), "ord": F.col("ord").cast("bigint")})
+    return tidy(P.grid_reports(fx.scored(spark, d), constraints=E.STABILITY))
 
 
 _PICKED = f"select {{k}}{rd('fold_min')} fold_min, {rd('small_bet_min')} small_bet_min, n, {_REPORT}, feasible from fin"
@@ -136,10 +135,9 @@ def _(spark, d):
 
 def method_rows(spark, d):
     """The scored rows under three score maps standing in for calibrators."""
-    return fx.scored(spark, d).select("row_id", "severe_30", "adverse_20", F.inline(F.array(
-        F.struct(F.lit("plain").alias("method"), F.col("p_tail").alias("p")),
-        F.struct(F.lit("shrunk"), F.col("p_tail") * 0.75),
-        F.struct(F.lit("coarse"), F.floor(F.col("p_tail") * 4).cast("double") / 4))))
+    maps = {"plain": F.col("p_tail"), "shrunk": F.col("p_tail") * 0.75, "coarse": F.floor(F.col("p_tail") * 4).cast("double") / 4}
+    return fx.scored(spark, d).select("row_id", "severe_30", "adverse_20", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("method"), p.alias("p")) for n, p in maps.items()])))
 
 
 _METHODS = """select 'plain' as method, p_tail p, severe_30, adverse_20 from scored union all select 'shrunk', p_tail*0.75::double, severe_30, adverse_20 from scored

@@ -44,11 +44,11 @@ class FoldPlan:
     constraints: P.Constraints = field(default=STABILITY)
 
 
-def river_rows(snapshots: DataFrame, features: list[str], target: str = "risk_severity") -> DataFrame:
+def river_rows(snapshots: DataFrame, features: list[str], target: str = "risk_severity", keep=()) -> DataFrame:
     """(row_id, asof_date, yr, sector, y, adverse_20, severe_30, vec) of labelled last-street rows."""
     return snapshots.where((F.col("street") == "RIVER") & F.col(target).isNotNull()).select(
         F.col("symbol").alias("row_id"), "asof_date", F.year("asof_date").alias("yr"), "sector",
-        F.col(target).alias("y"), "adverse_20", "severe_30", CM.feature_vector(features).alias("vec"))
+        F.col(target).alias("y"), "adverse_20", "severe_30", CM.feature_vector(features).alias("vec"), *keep)
 
 
 def fold_members(rows: DataFrame, folds) -> DataFrame:
@@ -185,7 +185,7 @@ def holdout_evaluation(snapshots: DataFrame, features: list[str], champion: dict
     A ranking champion takes its thresholds from the train scores' quantiles; a calibrated one is
     refitted on all out-of-fold scores.
     """
-    rows = materialise(river_rows(snapshots, features).withColumn("_train", is_train), "split")
+    rows = materialise(river_rows(snapshots, features, keep=(is_train.alias("_train"),)), "split")
     scored = materialise(committee_on_split(rows, F.col("_train"), len(features)), "final")
     held = scored.where(~F.col("_train"))
     if champion["name"] == "ranking":
