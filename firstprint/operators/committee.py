@@ -69,11 +69,14 @@ def _second_moments(train: DataFrame, centre: np.ndarray, scale: np.ndarray) ->
     )
 
 
-def fit_ridge(train: DataFrame, width: int, alpha: float = 1000.0, used: dict[int, np.ndarray] | None = None) -> dict[int, FitParams]:
+def fit_ridge(train: DataFrame, width: int, alpha: float = 1000.0, used: dict[int, np.ndarray] | None = None,
+              parts: dict[int, list[int]] | None = None) -> dict[int, FitParams]:
     """Ridge on standardised features with a free intercept, for every fit in ``train`` (fit, vec, y).
 
     One pass collects shift-and-scale constants, a second the second moments of all fits; each
-    system is p x p and solved from its sums. ``used`` masks features per fit.
+    system is p x p and solved from its sums. ``used`` masks features per fit. Fits that share rows
+    need not repeat them: with ``parts`` the ``fit`` column names disjoint pieces, and each fit's
+    moments are the sum over its pieces.
     """
     idx = range(width)
     first = train.select(*[F.get("vec", F.lit(i)).alias(f"x{i}") for i in idx]).agg(
@@ -86,6 +89,8 @@ def fit_ridge(train: DataFrame, width: int, alpha: float = 1000.0, used: dict[in
     for r in _second_moments(train, centre, scale).toLocalIterator():  # fits x p^2 numbers
         m = sums.setdefault(r["fit"], np.zeros((width + 2, width + 2)))
         m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["v"]
+    if parts is not None:
+        sums = {f: sum(sums[c] for c in pieces if c in sums) for f, pieces in parts.items() if any(c in sums for c in pieces)}
     out = {}
     for fit, m in sums.items():
         n = m[0, 0]
@@ -139,19 +144,21 @@ def scale_rows(rows: DataFrame, params: dict[int, FitParams], keep=("y",)) -> Da
 
 # ---- exact nearest neighbours ----------------------------------------------------------------------
 
-PIVOTS = 64
-CHUNK = 4096
+PIVOTS = 1024        # most pivots per fit
+ALL_PIVOTS = 8192    # most pivots over all fits: they travel to every task, a few MB
+CHUNK = 16384        # training rows per task
+BLOCK = 4096         # test rows per task
 
 
 def nearest_targets(train: DataFrame, test: DataFrame, k: int = 7, digits: int = 10,
-                    pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
+                    pivots: int = PIVOTS, chunk: int = CHUNK, block_rows: int = BLOCK) -> DataFrame:
     """(fit, row_id, knn): mean target of the k nearest training rows, exact; ties go to the lower row_id.
 
     Pivot-partitioned kNN join (Lu et al., VLDB 2012). A bounded sample of training rows per fit
     serves as pivots; every training row belongs to its closest pivot's cell. From the k smallest
     pivot distances of each cell a test row gets an upper bound on its k-th distance, and it visits
     only cells the triangle inequality cannot rule out. Cells are cut into chunks of about ``chunk``
-    rows and test rows into blocks of the same size, so no task holds a hot cell whole. Each
+    rows and test rows into blocks of about ``block_rows``, so no task holds a hot cell whole. Each
     (chunk, block) task returns at most k rows per test row; the k best are merged after.
 
     ``train`` holds (fit, row_id, z, y), ``test`` (fit, row_id, z). The sample only steers the
@@ -162,7 +169,8 @@ def nearest_targets(train: DataFrame, test: DataFrame, k: int = 7, digits: int =
     sizes = {r["fit"]: (r["n"], r["h"]) for r in train.groupBy("fit").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.abs(F.xxhash64("row_id"))).alias("h")).collect()}  # one row per fit
     top = float(2 ** 63)
-    bar = {f: max(h, int(min(1.0, min(pivots, math.ceil(n / chunk) * 8) / n) * top) if n > chunk else h) for f, (n, h) in sizes.items()}
+    most = max(8, min(pivots, ALL_PIVOTS // max(1, len(sizes))))
+    bar = {f: max(h, int(min(1.0, min(most, math.ceil(n / chunk) * 8) / n) * top) if n > chunk else h) for f, (n, h) in sizes.items()}
     limit = F.element_at(F.create_map(*[F.lit(x) for fb in bar.items() for x in (fb[0], min(fb[1], 2 ** 63 - 1))]), F.col("fit"))
     chosen = train.where(F.abs(F.xxhash64("row_id")) <= limit).select("fit", "z").collect()  # <= about `pivots` rows per fit
     centres = {}
@@ -203,7 +211,7 @@ def nearest_targets(train: DataFrame, test: DataFrame, k: int = 7, digits: int =
     for r in stats.join(nearest, ["fit", "cell"]).collect():
         cells.setdefault(r["fit"], {})[r["cell"]] = (r["radius"], r["n"], np.array(r["near"]))
     test_n = {r["fit"]: r["n"] for r in test.groupBy("fit").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = {f: max(1, math.ceil(n / chunk)) for f, n in test_n.items()}
+    blocks = {f: max(1, math.ceil(n / block_rows)) for f, n in test_n.items()}
     slack = 1.0 + 1e-9
 
     def visits(batches):
@@ -266,17 +274,26 @@ def nearest_targets(train: DataFrame, test: DataFrame, k: int = 7, digits: int =
         zt, zr = np.stack(left["z"].to_numpy()), np.stack(right["z"].to_numpy())
         ids, ys = right["row_id"].to_numpy(), right["y"].to_numpy()
         kk = min(k, len(right))
+        norms = (zr * zr).sum(1)
         out = []
-        step = max(1, 4_000_000 // max(1, zr.size))
+        step = max(1, 4_000_000 // len(zr))
         for s in range(0, len(zt), step):
             q = zt[s:s + step]
-            d = np.round(np.sqrt(((q[:, None, :] - zr[None, :, :]) ** 2).sum(2)), digits)
-            near = np.argsort(d, axis=1, kind="stable")[:, :kk]
-            rows = np.repeat(np.arange(len(q)), kk)
+            own = (q * q).sum(1)
+            rough = own[:, None] + norms[None, :] - 2.0 * q @ zr.T
+            # The fast form is inexact: keep all within its error of the k-th, then measure those exactly.
+            kth = np.partition(rough, kk - 1, axis=1)[:, kk - 1]
+            r, c = np.nonzero(rough <= (kth + 1e-9 * (own + norms.max()) + 1e-9)[:, None])
+            d = np.concatenate([
+                np.sqrt(((q[r[i:i + 100_000]] - zr[c[i:i + 100_000]]) ** 2).sum(1)) for i in range(0, len(r), 100_000)])
+            d = np.round(d, digits)
+            order = np.lexsort((c, d, r))
+            r, c, d = r[order], c[order], d[order]
+            rank = np.arange(len(r)) - np.searchsorted(r, r)
+            top_k = rank < kk
+            r, c, d = r[top_k], c[top_k], d[top_k]
             out.append(pd.DataFrame({
-                "fit": left["fit"].iloc[0], "row_id": left["row_id"].to_numpy()[s + rows],
-                "d": d[rows, near.ravel()], "nid": ids[near.ravel()], "y": ys[near.ravel()],
-            }))
+                "fit": left["fit"].iloc[0], "row_id": left["row_id"].to_numpy()[s + r], "d": d, "nid": ids[c], "y": ys[c]}))
         return pd.concat(out)[cols]
 
     candidates = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(
@@ -289,12 +306,16 @@ def nearest_targets(train: DataFrame, test: DataFrame, k: int = 7, digits: int =
 
 
 def committee_scores(train: DataFrame, test: DataFrame, width: int, alpha: float = 1000.0, k: int = 7,
-                     used: dict[int, np.ndarray] | None = None) -> DataFrame:
-    """(fit, row_id, ridge, knn, score) of every test row under its fit; score is their mean."""
-    params = fit_ridge(train, width, alpha, used)
+                     used: dict[int, np.ndarray] | None = None, pieces: DataFrame | None = None,
+                     parts: dict[int, list[int]] | None = None) -> DataFrame:
+    """(fit, row_id, ridge, knn, score) of every test row under its fit; score is their mean.
+
+    ``pieces`` and ``parts`` let the ridge moments be summed from disjoint pieces (see ``fit_ridge``).
+    """
+    params = fit_ridge(train if pieces is None else pieces, width, alpha, used, parts)
     known = F.col("fit").isin(*params) if params else F.lit(False)
     scored = materialise(apply_ridge(test.where(known), params), "ridge")
-    neighbours = nearest_targets(scale_rows(train, params), scored.select("fit", "row_id", "z"), k)
+    neighbours = nearest_targets(scale_rows(train.where(known), params), scored.select("fit", "row_id", "z"), k)
     return (
         scored.select("fit", "row_id", "ridge").join(neighbours, ["fit", "row_id"])
         .withColumn("score", (F.col("ridge") + F.col("knn")) / 2)

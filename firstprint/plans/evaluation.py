@@ -87,14 +87,17 @@ def _scored_folds(rows: DataFrame, plan: FoldPlan, features: list[str], variants
     test_rows = test.withColumns({"_k": F.lit(final), "part": F.lit("test")})
     ask = keyed(oof_rows.unionByName(test_rows, allowMissingColumns=True))
 
-    used = {}
+    # Ridge moments are taken once per fold and block; a fit sums the blocks it trains on.
+    pieces = train.withColumn("fit", (F.col("fold_id") * 10 + b).cast("bigint")).select("fit", "vec", "y")
+    used, parts = {}, {}
     for i, name in enumerate(names):
         mask = np.array([c in variants[name] or c not in V1_COLS for c in features])
         for f in range(n_folds):
             for k in range(1, final + 1):
-                used[i * n_folds * 10 + f * 10 + k] = mask
+                fit = i * n_folds * 10 + f * 10 + k
+                used[fit], parts[fit] = mask, [f * 10 + j for j in range(k)]
     scores = CM.committee_scores(
-        fit_rows.select("fit", "row_id", "vec", "y"), ask.select("fit", "row_id", "vec"), len(features), plan.alpha, plan.k, used)
+        fit_rows.select("fit", "row_id", "vec", "y"), ask.select("fit", "row_id", "vec"), len(features), plan.alpha, plan.k, used, pieces, parts)
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_v") + 1)
     facts = ask.select("fit", "row_id", "part", label.alias("variant"), "fold_id", "test_year", "asof_date", "sector",
                        "y", "adverse_20", "severe_30")

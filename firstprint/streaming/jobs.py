@@ -49,7 +49,8 @@ def ingest_latest(stream: DataFrame, path: str, checkpoint: str, batches_per_day
         merged = materialise(
             rows.groupBy(batches_per_day, "symbol", "ts").agg(F.max_by(F.struct(*body), F.struct("_seq", "_in")).alias("_b"))
             .select("symbol", "ts", "_b.*", batches_per_day), "merged")
-        (merged.repartition(batches_per_day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        # rebalance: one file per small day, but a hot day is split over many tasks
+        (merged.hint("rebalance", batches_per_day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(batches_per_day).parquet(path))
 
     return (
