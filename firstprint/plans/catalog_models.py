@@ -539,3 +539,81 @@ def _(spark, d):
 def _(spark, d):
     rows = E.river_rows(snapshots(spark, d), RIVER_FEATURES)
     return tidy(E.river_baselines(rows, F.col("yr") <= 1998, len(RIVER_FEATURES)))
+
+
+# ---- the whole fold pipeline on two features, small enough for SQL to restate -----------------------------------
+
+TWO = ["river_realized_vol", "river_cum_return"]
+_TWO_FITS = f"""mem as (select symbol, asof_date, sector, risk_severity y, adverse_20, severe_30, {TWO[0]} a, {TWO[1]} b, fold_id, test_year,
+      year(asof_date)<=train_end tr from river join {{folds}} on year(asof_date)<=train_end or year(asof_date)=test_year),
+    bl as (select *, case when tr then ntile(4) over (partition by fold_id, tr order by asof_date, symbol)-1 else 4 end block from mem),
+    tt as (select bl.*, k from bl join (values (1),(2),(3),(4)) ks(k) on tr and block<k),
+    st as (select fold_id, k, avg(a) am, stddev_pop(a) sa, avg(b) bm, stddev_pop(b) sb, avg(y) ym from tt group by 1,2),
+    zt as (select tt.fold_id, tt.k, symbol, y, y-ym yc, case when sa>1e-12 then (a-am)/sa else 0 end u, case when sb>1e-12 then (b-bm)/sb else 0 end v
+           from tt join st on st.fold_id=tt.fold_id and st.k=tt.k),
+    gm as (select fold_id, k, sum(u*u)+1000 g1, sum(u*v) g2, sum(v*v)+1000 g3, sum(u*yc) c1, sum(v*yc) c2 from zt group by 1,2),
+    qs as (select bl.fold_id, bl.block k, bl.test_year, symbol, sector, adverse_20, severe_30, ym,
+             case when sa>1e-12 then (a-am)/sa else 0 end u, case when sb>1e-12 then (b-bm)/sb else 0 end v
+           from bl join st on st.fold_id=bl.fold_id and st.k=bl.block),
+    rg as (select qs.*, ym+(c1*g3-c2*g2)/(g1*g3-g2*g2)*u+(c2*g1-c1*g2)/(g1*g3-g2*g2)*v ridge from qs join gm on gm.fold_id=qs.fold_id and gm.k=qs.k),
+    nn as (select q.fold_id, q.k, q.symbol, z.y, row_number() over (partition by q.fold_id, q.k, q.symbol
+             order by round(sqrt((q.u-z.u)*(q.u-z.u)+(q.v-z.v)*(q.v-z.v)),10), z.symbol) rn from qs q join zt z on z.fold_id=q.fold_id and z.k=q.k),
+    kn as (select fold_id, k, symbol, avg(y) knn from nn where rn<=7 group by 1,2,3),
+    sc as (select rg.*, knn, (ridge+knn)/2 score from rg join kn on kn.fold_id=rg.fold_id and kn.k=rg.k and kn.symbol=rg.symbol)"""
+_ONE_FOLD = "(values (0,9999,0)) f(fold_id,train_end,test_year)"
+_YEAR_FOLDS = "(values " + ",".join(f"({i},{a},{b})" for i, (a, b) in enumerate(FOLDS)) + ") f(fold_id,train_end,test_year)"
+
+
+@query("m03_committee_two_features", compose("with " + _TWO_FITS.format(folds="(values (0,1998,1999)) f(fold_id,train_end,test_year)").replace(
+    "or year(asof_date)=test_year", "or year(asof_date)>1998") + f" select symbol, {rd('ridge')} ridge, {rd('knn')} knn, {rd('score')} score from sc where k=4", "river"))
+def _(spark, d):
+    rows = E.river_rows(snapshots(spark, d), TWO)
+    out = E.committee_on_split(rows.withColumn("held", F.col("yr") > 1998), F.col("yr") <= 1998, 2).where("held")
+    return tidy(out.select(F.col("row_id").alias("symbol"), "ridge", "knn", "score"))
+
+
+@query("m07_oof_two_features", compose("with " + _TWO_FITS.format(folds=_ONE_FOLD) + f" select symbol, k::int fold_id, {rd('score')} score, adverse_20 from sc where k<4", "river"))
+def _(spark, d):
+    rows = materialise(E.river_rows(snapshots(spark, d), TWO), "river")
+    return tidy(E.oof_scores(rows, 2).select(F.col("row_id").alias("symbol"), "fold_id", "score", "adverse_20"))
+
+
+_TWO_POLICY = _TWO_FITS.format(folds=_YEAR_FOLDS) + """,
+    lv as (select fold_id, score s, count(*)::double n, sum(adverse_20)::double pos, row_number() over (partition by fold_id order by score) i from sc where k<4 group by 1,2),
+    cum as (select fold_id, i, s, n, pos, sum(n) over (partition by fold_id order by i) cn, sum(pos) over (partition by fold_id order by i) cp from lv),
+    ab as (select a.fold_id, a.i a, b.i b, b.s, (b.cp-a.cp+a.pos)/(b.cn-a.cn+a.n) v from cum a join cum b on b.fold_id=a.fold_id and b.i>=a.i),
+    mn as (select *, min(v) over (partition by fold_id, a order by b desc rows unbounded preceding) mv from ab),
+    iso as (select fold_id, s, max(mv) p from mn group by 1,2),
+    lo as (select sc.fold_id, sc.k, symbol, max(s) s, arg_max(p,s) p from sc join iso on iso.fold_id=sc.fold_id and s<=score group by 1,2,3),
+    hi as (select sc.fold_id, sc.k, symbol, min(s) s, arg_min(p,s) p from sc join iso on iso.fold_id=sc.fold_id and s>=score group by 1,2,3),
+    pt as (select sc.*, case when lo.p is null then hi.p when hi.p is null then lo.p when hi.s=lo.s or hi.p=lo.p then lo.p
+             else lo.p+(hi.p-lo.p)*(score-lo.s)/(hi.s-lo.s) end p_tail
+           from sc left join lo on lo.fold_id=sc.fold_id and lo.k=sc.k and lo.symbol=sc.symbol left join hi on hi.fold_id=sc.fold_id and hi.k=sc.k and hi.symbol=sc.symbol)"""
+_TWO_BEST = best_sql("select fold_id, p_tail p, severe_30, adverse_20 from pt where k<4", _OK.format(fsr=0.03, sb=0.12), "fold_id").strip()[5:]
+_TWO_TEST = f"""acts as (select pt.*, fin.fold_min, fin.small_bet_min, fin.false_safe_rate oof_fsr,
+      case when p_tail>=fin.fold_min then 'FOLD' when p_tail>=fin.small_bet_min then 'SMALL_BET' else 'SIZE_UP' end as action from pt join fin using (fold_id) where k=4)"""
+
+
+@query("e08_predictions_two_features", compose(f"with {_TWO_POLICY}, {_TWO_BEST}, {_TWO_TEST} select fold_id, test_year, symbol, {rd('score')} score, {rd('p_tail')} p_tail, action from acts", "river"))
+def _(spark, d):
+    return tidy(two_feature_rows(spark, d).select("fold_id", "test_year", F.col("row_id").alias("symbol"), "score", "p_tail", "action"))
+
+
+def two_feature_rows(spark, d):
+    return shared(spark, d, "two", lambda: E.evaluate_folds_detailed(snapshots(spark, d), PLAN, TWO, {"two": []}))
+
+
+@query("e07_metrics_two_features", compose(f"""with {_TWO_POLICY}, {_TWO_BEST}, {_TWO_TEST} select fold_id, test_year, {rd('fold_min')} fold_min, {rd('small_bet_min')} small_bet_min,
+    {rd('oof_fsr')} oof_fsr, {_MIX}, {_FSR} fsr, {_DET} detection, {rd(f'case when {_CLIMO}>0 then 1-{_BRIER}/({_CLIMO}) else 0 end')} bss from acts group by 1,2,3,4,5""", "river"))
+def _(spark, d):
+    return tidy(E.fold_metrics(two_feature_rows(spark, d)).select(
+        "fold_id", "test_year", "fold_min", "small_bet_min", "oof_fsr", "n", "fold_pct", "small_bet_pct", "size_up_pct", "fsr", "detection", "bss"))
+
+
+@query("e09_gates_two_features", compose(f"""with {_TWO_POLICY}, {_TWO_BEST}, {_TWO_TEST},
+    f as (select fold_id, coalesce(count(*) filter (where severe_30=1 and action='SIZE_UP')/nullif(sum(severe_30),0)::double,0) fsr,
+      case when {_CLIMO}>0 then 1-{_BRIER}/({_CLIMO}) else 0 end bss, count(*) filter (where action='SMALL_BET')/count(*)::double sb from acts group by 1)
+    select quantile_cont(fsr,0.5)<=0.1::double med_fsr_pass, max(fsr)<=0.15::double worst_fsr_pass, quantile_cont(bss,0.5)>0 med_bss_pass, quantile_cont(sb,0.5)>=0.1::double med_small_pass,
+      quantile_cont(fsr,0.5)<=0.1::double and max(fsr)<=0.15::double and quantile_cont(bss,0.5)>0 and quantile_cont(sb,0.5)>=0.1::double all_pass from f""", "river"))
+def _(spark, d):
+    return M.acceptance_gates(E.fold_metrics(two_feature_rows(spark, d)))
