@@ -617,3 +617,9 @@ def _(spark, d):
       quantile_cont(fsr,0.5)<=0.1::double and max(fsr)<=0.15::double and quantile_cont(bss,0.5)>0 and quantile_cont(sb,0.5)>=0.1::double all_pass from f""", "river"))
 def _(spark, d):
     return M.acceptance_gates(E.fold_metrics(two_feature_rows(spark, d)))
+
+
+@query("s13_run_manifest")
+def _(spark, d):
+    return tidy(E.full_run(snapshots(spark, d), RIVER_FEATURES, n_boot=20, n_perm=5)).withColumn(
+        "feature_cols", F.concat_ws(",", "feature_cols"))
