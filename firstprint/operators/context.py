@@ -16,13 +16,21 @@ from pyspark.sql import functions as F
 from firstprint.session import materialise
 
 
+MAX_BROADCAST_ROWS = 1_000_000  # about 100 MB of calendar; a century of a dozen indices is 440,000 rows
+
+
 @dataclass(frozen=True)
 class IndexCalendar:
-    """Dense per-day state of every index, and the first and last day it covers."""
+    """Dense per-day state of every index, the first and last day it covers, and its row count."""
 
     days: DataFrame
     first: date
     last: date
+    rows: int
+
+    @property
+    def small(self) -> bool:
+        return self.rows <= MAX_BROADCAST_ROWS
 
 
 def index_calendar(index_bars: DataFrame, lookback: int = 20) -> IndexCalendar:
@@ -52,7 +60,7 @@ def index_calendar(index_bars: DataFrame, lookback: int = 20) -> IndexCalendar:
         }),
         "calendar",
     )
-    lo, hi = states.agg(F.min("d"), F.date_add(F.max("d"), 1)).first()
+    lo, hi, indices = states.agg(F.min("d"), F.date_add(F.max("d"), 1), F.count_distinct("index_symbol")).first()
     # A bar answers for the days after the previous bar up to its own; the last one also for the rest.
     upto_bar = F.sequence(F.coalesce(F.date_add("_prev", 1), F.lit(lo)), F.col("d"))
     after_last = F.when(F.col("_next").isNull() & (F.col("d") < F.lit(hi)), F.sequence(F.date_add("d", 1), F.lit(hi)))
@@ -64,16 +72,20 @@ def index_calendar(index_bars: DataFrame, lookback: int = 20) -> IndexCalendar:
         states.select("index_symbol", F.inline(spells))
         .select("index_symbol", F.explode("days").alias("d"), "before", "next")
     )
-    return IndexCalendar(out, lo, hi)
+    return IndexCalendar(out, lo, hi, indices * ((hi - lo).days + 1))
 
 
 def _lookup(df: DataFrame, calendar: IndexCalendar, index: Column, day: Column, name: str) -> DataFrame:
-    """Left equi-join of ``df`` with the calendar row of (index, day clamped to the covered span)."""
+    """Left equi-join of ``df`` with the calendar row of (index, day clamped to the covered span).
+
+    The calendar is broadcast while its row count allows; beyond that Spark shuffles both sides.
+    """
     rows = calendar.days.select(
         F.col("index_symbol").alias("_ix"), F.col("d").alias("_day"), F.struct("before", "next").alias(name)
     )
     clamped = F.least(F.greatest(day, F.lit(calendar.first)), F.lit(calendar.last))
-    return df.join(rows, (index == F.col("_ix")) & (clamped == F.col("_day")), "left").drop("_ix", "_day")
+    side = F.broadcast(rows) if calendar.small else rows
+    return df.join(side, (index == F.col("_ix")) & (clamped == F.col("_day")), "left").drop("_ix", "_day")
 
 
 def with_index_stats(windows: DataFrame, calendar: IndexCalendar, index: Column, prefix: str,

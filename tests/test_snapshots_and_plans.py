@@ -60,6 +60,30 @@ def test_snapshot_plan_shuffles_bars_once_and_stays_in_the_jvm(spark, sf):
     assert "Python" not in whole and "CartesianProduct" not in whole and "BroadcastNestedLoopJoin" not in whole
 
 
+def test_snapshot_plan_without_automatic_broadcasts(spark, sf, monkeypatch):
+    from firstprint.operators import context as C
+
+    bars, listed, index = stored_bars(spark, sf), scratch_path(spark, "listings"), scratch_path(spark, "index")
+    fx.listings(spark, sf).write.parquet(listed)
+    fx.index_bars(spark, sf).write.parquet(index)
+
+    def plan():
+        return plan_of(S.build_snapshots(bars, spark.read.parquet(listed), spark.read.parquet(index), market=fx.MARKET,
+                                         sector_index=fx.fixture_index))
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = plan()
+        monkeypatch.setattr(C, "MAX_BROADCAST_ROWS", 10)
+        large = plan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # bars, listing dates and listing facts: one exchange each, the bars' one serves every window
+    assert len(re.findall(r"Exchange hashpartitioning\(symbol", small)) == 3
+    assert "BroadcastHashJoin" in small and "BroadcastHashJoin" not in large and "NestedLoop" not in large
+
+
 def test_bucketed_bars_need_no_shuffle(spark, sf):
     TB.write_bucketed_bars(fx.daily_bars(spark, sf).drop("d"), "bucketed_bars", 4)
     plan = plan_of(B.forward_extremes(spark.table("bucketed_bars")))
