@@ -84,7 +84,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         from n where n_days>=6"""),
     "win": (("ses",), """
         select symbol, street, min(d) win_start, max(d) asof_date, (max(d)+interval 1 day)::date win_end,
-               count(distinct d) sessions from ses where street is not null group by 1,2"""),
+               count(distinct d)::int sessions from ses where street is not null group by 1,2"""),
     "barcols": (("ses",), """
         select *, ln(close)-ln(lag(close) over w) log_return, (high-low)/close rng, close*volume dollar_volume,
                (open-lag(close) over w)/lag(close) over w overnight_gap,
@@ -205,7 +205,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         from lst l left join fb using (symbol) left join am using (cik)"""),
     "scored": ((), """
         with s as (select o_orderkey row_id, ((o_orderkey*7919)%1000)/1000.0::double p_tail,
-                          ((o_orderkey*104729+13)%1000)/1000.0::double u, o_orderpriority sector, year(o_orderdate) yr,
+                          ((o_orderkey*104729+13)%1000)/1000.0::double u, o_orderpriority sector, year(o_orderdate)::int yr,
                           o_orderdate::date asof_date from orders)
         select row_id, p_tail, sector, yr, asof_date, (u<p_tail)::int adverse_20, (u<0.6::double*p_tail*p_tail)::int severe_30 from s"""),
     "acted": (("scored",), """
