@@ -7,8 +7,11 @@ groups are fitted by the same few jobs. A fitted calibrator is a table keyed by
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,9 @@ from firstprint.operators.metrics import brier, climatology_brier, skill
 from firstprint.operators.ordering import exact_quantiles, running_totals, temporal_blocks
 from firstprint.session import materialise
 
+# Task functions travel by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 METHODS = ("platt", "isotonic", "binned")
 
 

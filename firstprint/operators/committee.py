@@ -8,15 +8,20 @@ removes them from both the ridge system and the distances.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firstprint.session import materialise
 
+# Task functions travel by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def feature_vector(features: list[str], log_features=()) -> Column:
     """Dense array of the feature columns; ``log_features`` pass through log1p."""
