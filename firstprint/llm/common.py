@@ -18,8 +18,10 @@ from firstprint.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
-#: Leaders per bucket in the rounds of `bucket_components`; a row meets at most this many in one round.
-LEADERS = (1, 4, 16, 64)
+#: Leaders of a bucket in each round of `bucket_components`; a row meets at most so many. Later rounds use the last.
+LEADERS = (1, 8, 32, 64)
+#: Rows a task of an iteration takes at least: rounds over few rows are not spread over thousands of tasks.
+TASK_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +86,12 @@ def lists(values: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
+def kept_small(df: DataFrame, rows: int, label: str) -> DataFrame:
+    """Written and read back, by no more tasks than ``rows`` rows are worth."""
+    tasks = rows // TASK_ROWS + 1
+    return materialise(df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df, label)
+
+
 # ---------------------------------------------------------------- components
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -95,23 +103,24 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     kind = edges.schema[u].dataType
     edges = materialise(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "edges")
-    labels, step = None, 0
-    while not edges.isEmpty():
+    labels, step, n = None, 0, edges.count()
+    rows = n
+    while n:
         order = lambda c: F.struct(F.xxhash64(c, F.lit(step)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
         near = (edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
                 .groupBy("u").agg(F.min(order("v")).alias("m"))
                 .select("u", F.least("m", order("u"))["id"].alias("l")))
-        near = materialise(near, "labels")
-        labels = near.toDF("id", "l") if labels is None else materialise(
-            labels.join(near.toDF("l", "n"), "l", "left").select("id", F.coalesce("n", "l").alias("l")), "labels")
-        edges = materialise(edges.join(near.toDF("u", "lu"), "u").join(near.toDF("v", "lv"), "v")
-                            .where("lu <> lv").select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v"))
-                            .distinct(), "edges")
-        step += 1
+        near = kept_small(near, 2 * n, "labels")
+        labels = near.toDF("id", "l") if labels is None else kept_small(
+            labels.join(near.toDF("l", "n"), "l", "left").select("id", F.coalesce("n", "l").alias("l")), 2 * rows, "labels")
+        edges = kept_small(edges.join(near.toDF("u", "lu"), "u").join(near.toDF("v", "lv"), "v")
+                           .where("lu <> lv").select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v"))
+                           .distinct(), n, "edges")
+        step, n = step + 1, edges.count()
     if labels is None:
         return edges.sparkSession.createDataFrame([], T.StructType([T.StructField("id", kind), T.StructField("comp", kind)]))
     first = labels.groupBy("l").agg(F.min("id").alias("comp"))
-    return materialise(labels.join(first, "l").select("id", "comp"), "components")
+    return kept_small(labels.join(first, "l").select("id", "comp"), 2 * rows, "components")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,38 +157,41 @@ def bucket_components(live: DataFrame, fits: Callable[[Column, Column], Column],
     """(id, comp) of all ids linked to another one. ``live``: a written table of (key, id, n), see `shared_buckets`.
 
     A link joins two ids that share a key, whose sizes fit and that ``confirm`` (pairs with columns a, b in,
-    those that hold out) accepts. No bucket is ever paired with itself as a whole: in each round the members of a
-    bucket meet a few leaders, only where they are not yet in one component; a leader that has met its whole
-    bucket leaves it. A bucket ends when one component is left in it, or when every member has led, so no
-    link that joins two components is missed and no cap is needed. Buckets of mutual copies end in one round.
+    those that hold out) accepts. A bucket is never paired with itself as a whole: in each round its members meet LEADERS of
+    those outside the bucket's largest component (all of them, where no more are left), and only where they are not
+    yet in one component. A leader that has met its bucket leaves it. A bucket ends when one component is left in
+    it, so no link that joins two components is missed and no cap is needed; a bucket of mutual copies ends in the
+    first round, and outsiders of a large component meet it once.
     """
-    comp, step = None, 0
+    comp, step, rows = None, 0, live.count()
     while True:
         if comp is not None:
             live = live.join(comp, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
         else:
             live = live.withColumn("comp", F.col("id"))
-        open_keys = live.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        live = materialise(live.join(open_keys, "key", "left_semi"), "buckets")
-        if live.isEmpty():
+        sizes = live.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(
+            F.max_by("comp", "c").alias("main"), F.count("*").alias("comps"), (F.sum("c") - F.max("c")).alias("others"))
+        live = kept_small(live.join(sizes.where("comps > 1").select("key", "main", "others"), "key"), rows, "buckets")
+        rows = live.count()
+        if not rows:
             break
-        slots = LEADERS[min(step, len(LEADERS) - 1)]
-        heads = (live.groupBy("key", F.pmod(F.xxhash64("id", F.lit(step)), F.lit(slots)).alias("slot"))
-                 .agg(F.min(F.struct("id", "n", "comp")).alias("head")))
-        heads = materialise(heads.select("key", "head.*").toDF("key", "hid", "hn", "hcomp"), "heads")
+        slots, spread = LEADERS[min(step, len(LEADERS) - 1)], F.xxhash64("id", F.lit(step))
+        slot = F.when(F.col("others") <= slots, spread).otherwise(F.pmod(spread, F.lit(slots)))
+        heads = live.where("comp <> main").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("id", "n", "comp")).alias("head"))
+        heads = kept_small(heads.select("key", "head.*").toDF("key", "hid", "hn", "hcomp"), rows, "heads")
+        live = live.select("key", "id", "n", "comp")
         met = live.join(heads, "key").where((F.col("hcomp") != F.col("comp")) & fits(F.col("hn"), F.col("n")))
         swap = F.col("hid") < F.col("id")
         pairs = met.select(F.when(swap, F.col("hid")).otherwise(F.col("id")).alias("a"),
                            F.when(swap, F.col("id")).otherwise(F.col("hid")).alias("b"),
                            F.when(swap, F.col("hcomp")).otherwise(F.col("comp")).alias("ca"),
                            F.when(swap, F.col("comp")).otherwise(F.col("hcomp")).alias("cb")).distinct()
-        links = materialise(confirm(materialise(pairs, "pairs")).select("ca", "cb"), "links")
-        joined = components(links, "ca", "cb")
+        joined = components(confirm(pairs), "ca", "cb")
         if comp is None:
             comp = joined
         else:
             comp = comp.join(joined.toDF("comp", "better"), "comp", "left").select("id", F.coalesce("better", "comp").alias("comp"))
-            comp = materialise(comp.unionByName(joined.join(comp, "id", "left_anti")), "components")
+            comp = kept_small(comp.unionByName(joined.join(comp, "id", "left_anti")), comp.count(), "components")
         live = live.drop("comp").join(heads.select("key", F.col("hid").alias("id")), ["key", "id"], "left_anti")
         step += 1
     if comp is None:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firstprint.llm import byte_bpe, secrets, toxicity
+from firstprint.llm import byte_bpe, decontamination, secrets, substring_dedup, toxicity
 from firstprint.llm.common import table, texts
 from firstprint.llm.near_dedup import near_duplicates
 
@@ -41,6 +41,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          offsets.alias("spans"))
 
 
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op8_decontamination", decontamination.SQL)
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 @query("op9_secret_scan")
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
