@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firstprint.llm.common import lists
+from firstprint.llm.common import lists, plus
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -146,7 +146,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
 
     if to in docs.columns:
         raise ValueError(f"column {to} exists; name another with to=")
-    return docs.mapInArrow(run, docs.schema.add(to, "array<int>"))
+    return docs.mapInArrow(run, plus(docs.schema, **{to: "array<int>"}))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", to: str = "bytes") -> DataFrame:
@@ -161,7 +161,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", to
 
     if to in encoded.columns:
         raise ValueError(f"column {to} exists; name another with to=")
-    return encoded.mapInArrow(run, encoded.schema.add(to, "binary"))
+    return encoded.mapInArrow(run, plus(encoded.schema, **{to: "binary"}))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -38,6 +38,11 @@ def put(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.withColumns({k: v.cast(docs.schema[k].dataType) for k, v in columns.items() if k in docs.columns})
 
 
+def plus(schema: T.StructType, **columns: str) -> T.StructType:
+    """A copy of ``schema`` with columns added (``add`` would change the schema of the DataFrame it came from)."""
+    return T.StructType([*schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in columns.items())])
+
+
 # ---------------------------------------------------------------- hashes inside tasks
 
 class Words(dict):

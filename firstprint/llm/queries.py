@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firstprint.llm import byte_bpe, decontamination, secrets, substring_dedup, toxicity
+from firstprint.llm import ann, byte_bpe, chat, decontamination, quality, secrets, substring_dedup, toxicity
 from firstprint.llm.common import table, texts
+from firstprint.llm.line_dedup import dedup_lines
 from firstprint.llm.near_dedup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,12 +42,34 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          offsets.alias("spans"))
 
 
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(texts(table(spark, sf_dir, "documents")))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op4_substring_dedup")
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op5_chat_formatting", chat.SQL)
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op6_quality_resampling")
+def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, _ = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores
+
+
+@query("op7_nearest_neighbours")
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op8_decontamination", decontamination.SQL)
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))

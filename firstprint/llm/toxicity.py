@@ -18,9 +18,9 @@ from firstprint.llm.common import texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Labelled documents of each class that the model is fitted on, the first by a hash of their text; and characters of
+#: Labelled documents of each class that the model is fitted on, the first by a hash of their id; and characters of
 #: each that are used in fitting. These bound what the driver holds. Scoring reads whole texts.
-SAMPLE, SAMPLE_CHARS = 3000, 20_000
+SAMPLE, SAMPLE_CHARS = 2500, 20_000
 #: A feature marks a token as toxic when so many toxic documents have it and this share of them, and at least so many
 #: of all documents that have it are toxic (both classes weighed alike).
 SEEN, SEEN_SHARE, PURE = 3, 0.015, 0.97
@@ -141,9 +141,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     marks = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
              .where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    own = texts(docs, id_col, text_col).where("text <> ''").join(marks, "doc_id")
-    own = own.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "toxic", F.xxhash64("text").alias("h"))
-    picked = [r for toxic in (0, 1) for r in own.where(F.col("toxic") == toxic).orderBy("h", "text").limit(sample).collect()]
+    chosen = [r for toxic in (0, 1) for r in marks.where(F.col("toxic") == toxic)
+              .orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample).collect()]  # ids only
+    chosen = docs.sparkSession.createDataFrame(chosen or [], "doc_id long, toxic int")
+    own = texts(docs, id_col, text_col).where("text <> ''").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
+    picked = own.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "toxic").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     find = re.compile(TOKEN).findall
     distinct = {(r.text, r.toxic): None for r in picked}  # copies say nothing new
     return fit_sample([(find(text.lower()), toxic) for text, toxic in distinct])
