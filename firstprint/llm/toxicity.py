@@ -85,7 +85,7 @@ def fit_sample(samples: list[tuple[list[str], int]], seed: int = 5) -> Crf:
         own = [int(bool(toxic) and not marks.isdisjoint(features(t))) for t in tokens]
         cuts = list(range(0, len(tokens), SEQUENCE))
         plain = [c for c in cuts if not any(own[c : c + SEQUENCE])]
-        chosen = [c for c in cuts if any(own[c : c + SEQUENCE])][:8] + list(rng.permutation(plain)[: 3 if toxic else 12])
+        chosen = [c for c in cuts if any(own[c : c + SEQUENCE])][:8] + list(rng.permutation(plain)[: 3 if toxic else 24])
         if toxic and not any(own):
             chosen = []  # nothing in it is known to be the cause
         rows += [(tokens[c : c + SEQUENCE], own[c : c + SEQUENCE]) for c in chosen]
