@@ -20,7 +20,7 @@ from firstprint.llm.common import lists, plus
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Pre-tokens up to this length are remembered, so many at most a worker; longer ones are encoded each time they occur.
-REMEMBERED_CHARS, REMEMBERED = 64, 1_000_000
+REMEMBERED_CHARS, REMEMBERED = 64, 400_000
 #: Largest rank file that is sent to the executors as a whole.
 MAX_RANK_FILE_BYTES = 64 << 20
 
@@ -156,7 +156,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", to
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = {rank: token for token, rank in sent.value.items()}.__getitem__
         for batch in batches:
-            out = [b"".join(map(of, own or ())) for own in batch[ids_col].to_pylist()]
+            column = batch[ids_col]
+            flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            known = column.is_valid().to_numpy(zero_copy_only=False)
+            out = [b"".join(map(of, flat[a:b].tolist())) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], known, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, to])
 
     if to in encoded.columns:
