@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firstprint.llm.common import lists, plus
@@ -167,9 +167,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", to
     return encoded.mapInArrow(run, plus(encoded.schema, **{to: "binary"}))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 from columns ids and bytes, beside doc_id."""
-    return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"))
+def digest_columns() -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 from columns ids and bytes."""
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
+            F.sha2("bytes", 256).alias("decoded_sha256")]

@@ -18,8 +18,8 @@ from firstprint.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
-#: Leaders of a bucket in each round of `bucket_components`; a row meets at most so many. Later rounds use the last.
-LEADERS = (1, 8, 32, 64)
+#: Rounds of `bucket_components` in which an id meets one other at most, and the leaders a bucket names in each later round.
+MEETINGS, LEADERS = 3, 32
 #: Rows a task of an iteration takes at least: rounds over few rows are not spread over thousands of tasks.
 TASK_ROWS = 50_000
 
@@ -162,11 +162,11 @@ def bucket_components(live: DataFrame, fits: Callable[[Column, Column], Column],
     """(id, comp) of all ids linked to another one. ``live``: a written table of (key, id, n), see `shared_buckets`.
 
     A link joins two ids that share a key, whose sizes fit and that ``confirm`` (pairs with columns a, b in,
-    those that hold out) accepts. A bucket is never paired with itself as a whole: in each round its members meet LEADERS of
-    those outside the bucket's largest component (all of them, where no more are left), and only where they are not
-    yet in one component. A leader that has met its bucket leaves it. A bucket ends when one component is left in
-    it, so no link that joins two components is missed and no cap is needed; a bucket of mutual copies ends in the
-    first round, and outsiders of a large component meet it once.
+    those that hold out) accepts. A bucket is never paired with itself as a whole. In the first MEETINGS rounds each id
+    outside the largest component of a bucket meets a single member of such a component, so copies join at a cost of
+    one pair an id. After that each bucket names up to LEADERS of its outsiders; a leader meets all that share any
+    bucket with it and are not yet in its component, and then leaves every bucket. A bucket ends when one component
+    is left in it, so no link that joins two components is missed, and no cap is needed.
     """
     comp, step, rows = None, 0, live.count()
     while True:
@@ -175,17 +175,21 @@ def bucket_components(live: DataFrame, fits: Callable[[Column, Column], Column],
         else:
             live = live.withColumn("comp", F.col("id"))
         sizes = live.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(
-            F.max_by("comp", "c").alias("main"), F.count("*").alias("comps"), (F.sum("c") - F.max("c")).alias("others"))
+            F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count("*").alias("comps"), (F.sum("c") - F.max("c")).alias("others"))
         live = kept_small(live.join(sizes.where("comps > 1").select("key", "main", "others"), "key"), rows, "buckets")
         rows = live.count()
         if not rows:
             break
-        slots, spread = LEADERS[min(step, len(LEADERS) - 1)], F.xxhash64("id", F.lit(step))
-        slot = F.when(F.col("others") <= slots, spread).otherwise(F.pmod(spread, F.lit(slots)))
-        heads = live.where("comp <> main").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("id", "n", "comp")).alias("head"))
-        heads = kept_small(heads.select("key", "head.*").toDF("key", "hid", "hn", "hcomp"), rows, "heads")
-        live = live.select("key", "id", "n", "comp")
-        met = live.join(heads, "key").where((F.col("hcomp") != F.col("comp")) & fits(F.col("hn"), F.col("n")))
+        spread, outside = F.xxhash64("id", F.lit(step)), live.where("comp <> main")
+        if step < MEETINGS:
+            heads = live.where("comp = main").groupBy("key").agg(F.min(F.struct(spread.alias("h"), "id", "n", "comp")).alias("head"))
+            first = outside.join(heads, "key").where(fits(F.col("head.n"), F.col("n"))).groupBy("id", "comp").agg(F.min("head").alias("head"))
+            met, gone = first.select("id", "comp", F.col("head.id").alias("hid"), F.col("head.comp").alias("hcomp")), None
+        else:
+            slot = F.when(F.col("others") <= LEADERS, spread).otherwise(F.pmod(spread, F.lit(LEADERS)))
+            gone = kept_small(outside.groupBy("key", slot.alias("slot")).agg(F.min("id").alias("id")).select("id").distinct(), rows, "leaders")
+            heads = live.join(gone, "id").select("key", F.col("id").alias("hid"), F.col("n").alias("hn"), F.col("comp").alias("hcomp"))
+            met = live.join(heads, "key").where((F.col("hcomp") != F.col("comp")) & fits(F.col("hn"), F.col("n")))
         swap = F.col("hid") < F.col("id")
         pairs = met.select(F.when(swap, F.col("hid")).otherwise(F.col("id")).alias("a"),
                            F.when(swap, F.col("id")).otherwise(F.col("hid")).alias("b"),
@@ -197,7 +201,7 @@ def bucket_components(live: DataFrame, fits: Callable[[Column, Column], Column],
         else:
             comp = comp.join(joined.toDF("comp", "better"), "comp", "left").select("id", F.coalesce("better", "comp").alias("comp"))
             comp = kept_small(comp.unionByName(joined.join(comp, "id", "left_anti")), comp.count(), "components")
-        live = live.drop("comp").join(heads.select("key", F.col("hid").alias("id")), ["key", "id"], "left_anti")
+        live = live.select("key", "id", "n") if gone is None else live.select("key", "id", "n").join(gone, "id", "left_anti")
         step += 1
     if comp is None:
         comp = components(live.select(F.col("id").alias("u"), F.col("comp").alias("v")))

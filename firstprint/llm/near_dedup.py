@@ -102,9 +102,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        with_b = pairs.join(sets.toDF("b", "sb"), "b")
-        both = with_b.join(sets.toDF("a", "sa"), "a").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        return both.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both")))
+        both = F.size(F.array_intersect("sa", "sb"))
+        near = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
+        one, two = pairs.join(sets.toDF("b", "sb"), "b"), sets.toDF("a_id", "sa")
+        return one.join(two, (F.col("a") == F.col("a_id")) & near)
 
     comp = bucket_components(live, fits, confirm)
     named = first.join(comp.toDF("doc_id", "comp"), "doc_id").select("set_id", "comp")

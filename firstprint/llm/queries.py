@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from firstprint.llm import ann, byte_bpe, chat, decontamination, quality, secrets, substring_dedup, toxicity
 from firstprint.llm.common import table, texts
 from firstprint.llm.line_dedup import dedup_lines
@@ -85,4 +86,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.load_ranks(spark, "file://" + public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = byte_bpe.encode(texts(table(spark, sf_dir, "documents")), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(encoded.drop("text"), ranks))
+    return byte_bpe.decode(encoded.drop("text"), ranks).select("doc_id", *byte_bpe.digest_columns())
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -32,6 +32,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SYMBOLS = len(ALPHABET) + 1
 #: A string is reported from this mean log-likelihood ratio a character on.
 PER_CHAR = 0.75
+#: Weight, in occurrences, of the single-symbol frequencies in the odds of what follows a symbol.
+BACK_OFF = 4.0
 
 _CODE = np.zeros(256, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(1, SYMBOLS)
@@ -80,8 +82,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np
     """Log-likelihood ratio (random over ordinary) of each symbol pair, from all documents.
 
     The labelled samples: what a base pattern found is a random string, every other string of eight or more
-    characters is ordinary. Each task sends one table of counts; half a count is added to each pair, so without any
-    sample of a kind its model is uniform.
+    characters is ordinary. Each task sends one table of counts. Rare pairs back off to how frequent a symbol is
+    alone, and without any sample of a kind its model is uniform. Random strings may use symbols that no sample has: their model is mixed
+    evenly with the uniform one.
     """
     cells = SYMBOLS * SYMBOLS
 
@@ -102,11 +105,16 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np
 
     found = (texts(docs, id_col, text_col).select("text").mapInArrow(run, "cell long, secret long, plain long")
              .groupBy("cell").agg(F.sum("secret").alias("secret"), F.sum("plain").alias("plain")).collect())  # <= cells rows
-    counts = np.full((2, SYMBOLS, SYMBOLS), 0.5)
+    counts = np.zeros((2, SYMBOLS, SYMBOLS))
     for r in found:
         counts[0, r.cell // SYMBOLS, r.cell % SYMBOLS] += r.secret
         counts[1, r.cell // SYMBOLS, r.cell % SYMBOLS] += r.plain
-    logs = np.log(counts[:, :, 1:]) - np.log(counts[:, :, 1:].sum(axis=2, keepdims=True))
+    counts = counts[:, :, 1:]
+    single = counts.sum(axis=1, keepdims=True) + 0.5
+    single /= single.sum(axis=2, keepdims=True)
+    odds = (counts + BACK_OFF * single) / (counts.sum(axis=2, keepdims=True) + BACK_OFF)
+    odds[0] = (odds[0] + 1 / (SYMBOLS - 1)) / 2
+    logs = np.log(odds)
     ratio = np.zeros((SYMBOLS, SYMBOLS))
     ratio[:, 1:] = logs[0] - logs[1]
     return ratio.ravel()
