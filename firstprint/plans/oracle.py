@@ -142,8 +142,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         select symbol, count(*)::double bar_count_1d, 100*avg((volume=0)::int::double) zero_volume_pct,
                quantile_cont(volume,0.5)::double median_daily_volume from ses group by 1"""),
     "fil": (("lst",), f"""
-        with f as (select o_orderkey, o_custkey k, company_name, sic sic0, o_orderdate, o_orderpriority
-                   from orders join lst on o_custkey=cik::bigint)
+        with o as (select orders.*, o_custkey%(select count(*) from supplier) k from orders),
+             f as (select o_orderkey, k, company_name, sic sic0, o_orderdate, o_orderpriority
+                   from o join lst on k=cik::bigint)
         select o_orderkey, k::varchar cik, company_name||case when k%11=0 then ' Acquisition Corp' when k%11=1 then ' Fund' else '' end company_name,
                company_name||case when k%11=0 then ' Acquisition Corp' when k%11=1 then ' Fund' else '' end
                  ||case when k%5<>0 then '  ('||{_TICKER}||')' else '' end||'  (CIK '||lpad(k::varchar,10,'0')||')' display_name,

@@ -132,11 +132,12 @@ def _name_suffix(key: Column) -> Column:
 
 
 def filing_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order whose customer key is also a supplier key, as raw filing fields."""
-    suppliers = listings(spark, sf_dir).select(
-        F.col("cik").cast("bigint").alias("o_custkey"), "company_name", "sic"
-    )
-    key = F.col("o_custkey")
+    """One row per order, as raw filing fields; the customer key modulo the number of suppliers names the listing."""
+    suppliers = listings(spark, sf_dir).select(F.col("cik").cast("bigint").alias("k"), "company_name", "sic")
+    key = F.col("k")
+    # one row: the number of suppliers
+    n = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n_suppliers"))
+    orders = table(spark, sf_dir, "orders").join(F.broadcast(n)).withColumn("k", F.col("o_custkey") % F.col("n_suppliers"))
     display = F.concat(
         F.col("company_name"), _name_suffix(key),
         F.when(key % 5 != 0, F.concat(F.lit("  ("), _ticker(key), F.lit(")"))).otherwise(""),
@@ -147,7 +148,7 @@ def filing_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderpriority") == "2-HIGH", "F-1").otherwise("S-1/A")
     )
     return (
-        table(spark, sf_dir, "orders").join(suppliers, "o_custkey")
+        orders.join(suppliers, "k")
         .select(
             "o_orderkey",
             F.lpad(key.cast("string"), 10, "0").alias("cik10"),
