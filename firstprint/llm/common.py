@@ -157,9 +157,20 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
             .mapInArrow(_shared, rows.select("key", "id", "n").schema))
 
 
+def bag_distance(x: Column, y: Column) -> Column:
+    """Sum of the differences of two count vectors: never more than the elements in which what they count differs."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda t, d: t + d)
+
+
+def bag(values: np.ndarray, size: int = 64) -> np.ndarray:
+    """Counts of values by remainder, cut at 127, which can only make two of them more alike."""
+    return np.minimum(np.bincount((values % size).astype(np.int64), minlength=size), 127).astype(np.int8)
+
+
 def bucket_components(live: DataFrame, fits: Callable[[Column, Column], Column],
                       confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, comp) of all ids linked to another one. ``live``: a written table of (key, id, n), see `shared_buckets`.
+    """(id, comp) of all ids linked to another one. ``live``: a written table of (key, id, n), see `shared_buckets`;
+    n is whatever ``fits`` compares, a size or a struct.
 
     A link joins two ids that share a key, whose sizes fit and that ``confirm`` (pairs with columns a, b in,
     those that hold out) accepts. A bucket is never paired with itself as a whole. In the first MEETINGS rounds each id

@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firstprint.llm.common import bucket_components, put, shared_buckets, texts
+from firstprint.llm.common import bag, bag_distance, bucket_components, lists, put, shared_buckets, texts
 from firstprint.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -152,7 +152,8 @@ def near_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) ->
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = {digest(x): x for text in batch["text"].to_pylist() for x in (text or "").split("\n") if len(x) >= shortest}
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.string())], ["id", "line"])
+            bags = lists([bag(np.frombuffer(x.encode("utf-32-le"), np.uint32)) for x in own.values()], pa.int8())
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.string()), bags], ["id", "line", "bag"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,14 +170,19 @@ def near_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) ->
                 start = stop
             yield from pa.Table.from_batches([batch]).select(["a", "b", "ca", "cb"]).filter(pa.array(near)).to_batches()
 
-    found = docs.select("text").mapInArrow(lines, "id binary, line string").join(need, "id", "left_semi")
-    table = materialise(found.groupBy("id").agg(F.first("line").alias("line")), "lines")
+    found = docs.select("text").mapInArrow(lines, "id binary, line string, bag array<byte>").join(need, "id", "left_semi")
+    table = materialise(found.groupBy("id").agg(F.first("line").alias("line"), F.first("bag").alias("bag")), "lines")
+    live = live.join(table.select("id", "bag"), "id").select("key", "id", F.struct("n", "bag").alias("n"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(table.toDF("b", "lb"), "b").join(table.toDF("a", "la"), "a").select("a", "b", "ca", "cb", "la", "lb")
+        both = pairs.join(table.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").join(table.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").select("a", "b", "ca", "cb", "la", "lb")
         return both.mapInArrow(compare, "a binary, b binary, ca binary, cb binary")
 
-    return bucket_components(live, lambda x, y: F.abs(x - y) <= edits, confirm)
+    def fits(x, y):
+        """Lengths that allow so few edits, and bags of code points: an edit changes two counts at most, by one."""
+        return (F.abs(x["n"] - y["n"]) <= edits) & (bag_distance(x["bag"], y["bag"]) <= 2 * edits)
+
+    return bucket_components(live, fits, confirm)
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firstprint.llm.common import Words, bucket_components, grams, lists, odd_constants, shared_buckets, texts
+from firstprint.llm.common import Words, bag, bag_distance, bucket_components, grams, lists, odd_constants, shared_buckets, texts
 from firstprint.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -67,10 +67,11 @@ def shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sets = [shingle_set(text, words, shingle_words).view(np.int64) for text in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], lists(sets)], ["id", "shingles"])
+            sets = [shingle_set(text, words, shingle_words) for text in batch["text"].to_pylist()]
+            bags = lists([bag(s) for s in sets], pa.int8())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], lists([s.view(np.int64) for s in sets]), bags], ["id", "shingles", "bag"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return docs.mapInArrow(run, "id long, shingles array<long>, bag array<byte>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
@@ -84,8 +85,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A link at similarity s is missed with probability 1 - (1 - (1 - s**width)**side)**2: 2e-5 at 0.85 as set here.
 
     Null text and texts without words: no shingles, linked with nothing. Rows with a null id: left out, as nothing
-    can name them. Repeated rows: each comes back, with equal values. One id with several texts: each text is
-    linked for itself. Other columns of ``docs`` play no part.
+    can name them. Repeated rows: each comes back, with equal values. An id is taken to name one text
+    only. Other columns of ``docs`` play no part.
     """
     own = texts(docs, id_col, text_col).where("doc_id is not null")
     signed = materialise(signatures(own, shingle_words, side, width), "signatures")
@@ -97,14 +98,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = materialise(shared_buckets(rows), "buckets")
     need = live.select(F.col("id").alias("doc_id")).distinct()
     sets = materialise(shingle_sets(own.join(need, "doc_id", "left_semi"), shingle_words), "sets")
+    live = live.join(sets.select("id", "bag"), "id").select("key", "id", F.struct("n", "bag").alias("n"))
 
     def fits(x, y):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+        """Sizes that allow the similarity, and no more differences in the bags than it allows in the sets."""
+        a, b = x["n"], y["n"]
+        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (
+            (100 + percent) * bag_distance(x["bag"], y["bag"]) <= (100 - percent) * (a + b))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("sa", "sb"))
         near = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
-        one, two = pairs.join(sets.toDF("b", "sb"), "b"), sets.toDF("a_id", "sa")
+        one, two = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"), sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("sa"))
         return one.join(two, (F.col("a") == F.col("a_id")) & near)
 
     comp = bucket_components(live, fits, confirm)
