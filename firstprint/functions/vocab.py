@@ -71,4 +71,5 @@ NON_FEATURES = (
     "zero_volume_pct", "median_daily_volume", "bar_count_1d",
 )
 MIN_SEVERE_EVENTS = 50
+HISTORY_DAYS = 130
 # ---- fixed values: end ---------------------------------------------------

@@ -36,28 +36,28 @@ def score_levels(df: DataFrame, score: str, label: str, group: str) -> DataFrame
 
 def fit_platt(df: DataFrame, score: str, label: str, group: str, c: float = 1.0,
               max_iter: int = 50, tol: float = 1e-12) -> DataFrame:
-    """(group, slope, intercept) of the L2-penalised logistic fit (intercept unpenalised).
+    """(group, slope, intercept, converged) of the L2-penalised logistic fit (intercept unpenalised).
 
     Newton steps: each is one aggregation of six sums per group over the levels; only the two
-    parameters of each group travel through the driver.
+    parameters of each group travel through the driver. A group of one class has no finite fit: it gets slope 0, the
+    log-odds with half a count added to each class, and ``converged`` false, as does one that ``max_iter`` steps leave open.
     """
     spark = df.sparkSession
     levels = materialise(score_levels(df, score, label, group), "platt")
     key_type = levels.schema[group].dataType
     schema = T.StructType([T.StructField(group, key_type), T.StructField("w", T.DoubleType()), T.StructField("b", T.DoubleType())])
-    params = {
-        r[0]: (0.0, float(np.log((r["pos"] + 0.5) / (r["n"] - r["pos"] + 0.5))))
-        for r in levels.groupBy(group).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect()  # one row per group
-    }
-    if not params:
-        return spark.createDataFrame([], schema).select(group, F.col("w").alias("slope"), F.col("b").alias("intercept"))
+    fitted = T.StructType([T.StructField(group, key_type), T.StructField("slope", T.DoubleType()),
+                           T.StructField("intercept", T.DoubleType()), T.StructField("converged", T.BooleanType())])
+    totals = levels.groupBy(group).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect()  # one row per group
+    params = {r[0]: (0.0, float(np.log((r["pos"] + 0.5) / (r["n"] - r["pos"] + 0.5)))) for r in totals}
     s = F.col("score")
     p = 1 / (1 + F.exp(-(F.col("w") * s + F.col("b"))))
     resid, weight = F.col("n") * F.col("p") - F.col("pos"), F.col("n") * F.col("p") * (1 - F.col("p"))
     sums = [F.sum(resid * s).alias("gw"), F.sum(resid).alias("gb"), F.sum(weight * s * s).alias("hww"),
             F.sum(weight * s).alias("hwb"), F.sum(weight).alias("hbb")]
-    open_groups = set(params)
-    for _ in range(max_iter):
+    lone = {r[0] for r in totals if not 0 < r["pos"] < r["n"]}
+    open_groups = set(params) - lone
+    for _ in range(max_iter if open_groups else 0):
         current = spark.createDataFrame([(g, *params[g]) for g in open_groups], schema)
         rows = levels.join(F.broadcast(current), group).withColumn("p", p).groupBy(group).agg(*sums).collect()
         for r in rows:
@@ -69,14 +69,13 @@ def fit_platt(df: DataFrame, score: str, label: str, group: str, c: float = 1.0,
                 open_groups.discard(r[0])
         if not open_groups:
             break
-    final = spark.createDataFrame([(g, *v) for g, v in params.items()], schema)
-    return final.select(group, F.col("w").alias("slope"), F.col("b").alias("intercept"))
+    return spark.createDataFrame([(g, *v, g not in lone and g not in open_groups) for g, v in params.items()], fitted)
 
 
 def apply_platt(df: DataFrame, model: DataFrame, score: str, group: str, name: str = "p") -> DataFrame:
     # one model row per group
     z = F.col("slope") * F.col(score) + F.col("intercept")
-    return df.join(F.broadcast(model), group).withColumn(name, 1 / (1 + F.exp(-z))).drop("slope", "intercept")
+    return df.join(F.broadcast(model), group).withColumn(name, 1 / (1 + F.exp(-z))).drop("slope", "intercept", "converged")
 
 
 # ---- isotonic -----------------------------------------------------------------------------------

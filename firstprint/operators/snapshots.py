@@ -48,7 +48,10 @@ def build_snapshots(bars: DataFrame, listings: DataFrame, index_bars: DataFrame,
 
     ``sector_index`` maps a sector Column to an index symbol Column. One shuffle of the bars on
     ``symbol`` serves every window and aggregation here; only the listing-sized context lookups add more.
+    Bars count up to ``history_days`` calendar days after listing; by default HISTORY_DAYS and the longest horizon.
     """
+    if history_days is None:
+        history_days = vocab.HISTORY_DAYS + max(horizons)
     calendar = C.index_calendar(index_bars)
     sessions = B.with_quality_flags(B.index_sessions(bars, listings, lengths, history_days))
     near = sessions.where(F.col("day_index") < lengths.total + max(horizons))

@@ -80,7 +80,7 @@ def metadata(spark, d):
 def build(spark, d, b=None, ix=None):
     return S.build_snapshots(
         bars(spark, d) if b is None else b, fx.listings(spark, d), index_bars(spark, d) if ix is None else ix,
-        market=fx.MARKET, sector_index=fx.fixture_index)
+        market=fx.MARKET, sector_index=fx.fixture_index, history_days=fx.HISTORY_DAYS)
 
 
 def snapshots(spark, d):
@@ -809,9 +809,10 @@ def _(spark, d):
     return w.join(train, "symbol", "left_semi").select("symbol", "street")
 
 
-@query("j10_skip_processed", compose("select cik from lst where cik not in (select cik from fil)", "lst", "fil"))
+@query("j10_skip_processed", compose("select cik from lst where cik not in (select cik from fil where form_type='F-1' and k%3=0)", "lst", "fil"))
 def _(spark, d):
-    return TB.unprocessed(fx.listings(spark, d).select("cik"), filings(spark, d).select("cik"), "cik")
+    done = filings(spark, d).where((F.col("form_type") == "F-1") & (F.col("cik").cast("bigint") % 3 == 0))
+    return TB.unprocessed(fx.listings(spark, d).select("cik"), done.select("cik"), "cik")
 
 
 @query("j14_symbol_map_default", compose("select l.symbol, coalesce(n,0)::double v from lst l left join (select cik, count(*) n from fil group by 1) f using (cik)", "lst", "fil"))

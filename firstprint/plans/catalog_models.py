@@ -293,7 +293,7 @@ _NEWTON = f"""with recursive lv as (select sector, p_tail s, count(*)::double n,
 
 @query("m04_platt", compose(_NEWTON, "scored").replace("with scored", "with recursive scored", 1).replace(",\nrecursive lv", ",\nlv", 1))
 def _(spark, d):
-    return tidy(K.fit_platt(fx.scored(spark, d), "p_tail", "adverse_20", "sector"), 5)
+    return tidy(K.fit_platt(fx.scored(spark, d), "p_tail", "adverse_20", "sector").drop("converged"), 5)
 
 
 _ISO = f"""with lv as (select p_tail s, count(*)::double n, sum(adverse_20)::double pos, row_number() over (order by p_tail) i from scored group by 1),
@@ -508,10 +508,21 @@ def _(spark, d):
 
 @query("e06_champion_holdout")
 def _(spark, d):
+    """Every challenger with its gates; the champion with its held-out report. Without a champion nothing is held out."""
     split = temporal_split(snapshots(spark, d), 0.70, 0.30)
-    table = materialise(E.challengers(split.where(F.col("split") != "val"), RIVER_FEATURES), "challengers")
-    chosen = P.select_champion(table).first() or table.orderBy("false_safe_rate", "name").first()
-    return tidy(E.holdout_evaluation(split, RIVER_FEATURES, chosen.asDict(), F.col("split") != "val"))
+    fit_part = F.col("split") != "val"
+    labelled = (F.col("street") == "RIVER") & F.col("risk_severity").isNotNull()
+    features = E.feature_columns(split.where(labelled & fit_part), exclude=(*vocab.NON_FEATURES, "split"))
+    table = materialise(E.challengers(split.where(fit_part), features), "challengers")
+    chosen = P.select_champion(table).first()
+    report = ["n", "fold_pct", "small_bet_pct", "size_up_pct", "fsr", "detection", "bss"]
+    shown = table.select("name", "gate_passed", "fold_min", "small_bet_min", F.col("false_safe_rate").alias("tuned_fsr"))
+    if chosen is None:
+        return tidy(shown.withColumns({"champion": F.lit(False), **{c: F.lit(None).cast("double") for c in report}}))
+    held = E.holdout_evaluation(split, features, chosen.asDict(), fit_part)
+    # one row: the champion's report
+    held = F.broadcast(held.select(F.col("champion").alias("name"), F.lit(True).alias("champion"), *[F.col(c).cast("double").alias(c) for c in report]))
+    return tidy(shown.join(held, "name", "left").withColumn("champion", F.coalesce("champion", F.lit(False))))
 
 
 @query("e12_shuffle_leakage")

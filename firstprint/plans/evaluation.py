@@ -166,20 +166,27 @@ def committee_on_split(rows: DataFrame, is_train, width: int, alpha: float = 100
 
 def challengers(snapshots_split: DataFrame, features: list[str], n_splits: int = 3, n_cal_folds: int = 3,
                 constraints: P.Constraints = CHALLENGER) -> DataFrame:
-    """Calibrated and ranking challengers on nested out-of-fold scores, with their gates."""
+    """Calibrated and ranking challengers on nested out-of-fold scores, with their gates.
+
+    Below the gate on severe events nothing is calibrated: the ranking challenger alone is tuned, on all out-of-fold scores.
+    """
     rows = materialise(river_rows(snapshots_split, features), "river")
     oof = materialise(oof_scores(rows, len(features), n_splits), "oof")
+
+    def ranked(scores: DataFrame) -> DataFrame:
+        return P.optimise_rank_policy(scores, "score", constraints).withColumns({
+            "name": F.lit("ranking"), "brier": F.lit(None).cast("double"), "bss": F.lit(None).cast("double"),
+            "n_unique": F.lit(None).cast("bigint")})
+
+    if not P.enough_events(rows).first()["should_calibrate"]:
+        return P.challenger_gates(ranked(oof))
     order = ["asof_date", "row_id"]
     cal = materialise(K.oof_calibrated(oof, "score", "adverse_20", order, n_cal_folds), "cal")
     skills = K.skill_by_method(cal, "adverse_20")
     levels = cal.groupBy("method").agg(M.distinct_levels("p").alias("n_unique"))
     best = P.optimise_thresholds(cal, "p", constraints, ["method"])
     calibrated = best.join(skills.select("method", "brier", "bss"), "method").join(levels, "method").withColumnRenamed("method", "name")
-    nested = cal.where(F.col("method") == "binned")
-    ranking = P.optimise_rank_policy(nested, "score", constraints).withColumns({
-        "name": F.lit("ranking"), "brier": F.lit(None).cast("double"), "bss": F.lit(None).cast("double"),
-        "n_unique": F.lit(None).cast("bigint")})
-    return P.challenger_gates(calibrated.unionByName(ranking))
+    return P.challenger_gates(calibrated.unionByName(ranked(cal.where(F.col("method") == "binned"))))
 
 
 def holdout_evaluation(snapshots: DataFrame, features: list[str], champion: dict, is_train, n_splits: int = 3) -> DataFrame:

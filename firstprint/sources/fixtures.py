@@ -119,6 +119,10 @@ def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The test series have a bar every four or five days, so 61 sessions span most of a year: all bars count.
+HISTORY_DAYS = 36_525
+
+
 def _ticker(key: Column) -> Column:
     def letter(div: int) -> Column:
         return F.chr(65 + F.floor(key / div).cast("bigint") % 26)

@@ -80,6 +80,29 @@ def test_platt_equals_spark_ml(spark, sf):
     assert got["intercept"] == pytest.approx(model.intercept, abs=1e-5)
 
 
+def test_platt_marks_what_did_not_converge(spark):
+    df = spark.createDataFrame([(0, 0.1 * i, int(i % 3 == 0)) for i in range(30)] + [(1, 0.1 * i, 1) for i in range(9)], "g int, s double, y int")
+    got = {r["g"]: r for r in K.fit_platt(df, "s", "y", "g").collect()}
+    assert got[0]["converged"] and not got[1]["converged"]
+    assert got[1]["slope"] == 0 and got[1]["intercept"] == pytest.approx(np.log(9.5 / 0.5))
+    assert not K.fit_platt(df.where("g = 0"), "s", "y", "g", max_iter=1).first()["converged"]
+    assert K.fit_platt(df.limit(0), "s", "y", "g").collect() == []
+
+
+def test_challengers_below_the_event_gate_only_rank(spark, monkeypatch):
+    rows = spark.range(80).select(F.col("id").cast("string").alias("row_id"), F.date_add(F.lit("2001-01-01").cast("date"), F.col("id").cast("int")).alias("asof_date"),
+                                  ((F.col("id") * 37) % 80 / 80.0).alias("score"), ((F.col("id") * 37) % 80 > 40).cast("int").alias("adverse_20"),
+                                  ((F.col("id") * 37) % 80 > 60).cast("int").alias("severe_30"))
+    monkeypatch.setattr(E, "river_rows", lambda *a, **k: rows)
+    monkeypatch.setattr(E, "oof_scores", lambda r, *a, **k: r.withColumn("fold_id", F.lit(0)))
+    few = E.challengers(rows, ["x"]).collect()  # 19 severe events
+    assert [r["name"] for r in few] == ["ranking"]
+    failing = spark.createDataFrame([("ranking", False, 0.0, 0.5, None)], "name string, gate_passed boolean, false_safe_rate double, size_up_pct double, bss double")
+    assert P.select_champion(failing).first() is None
+    with pytest.raises(RuntimeError):
+        P.require_champion(failing)
+
+
 def test_binned_monotone_pass(spark):
     df = spark.createDataFrame([(0.5, 0.6, 0.1)], "a double, b double, c double")
     assert list(K._monotone_pass(df, ["a", "b", "c"], False).first()) == pytest.approx([0.5, 0.35, 0.35])

@@ -118,6 +118,21 @@ def test_snapshot_counts_and_history_bound(spark, sf):
     assert short.count() > 0 and short.agg(F.max(F.datediff("asof_date", "ipo_date"))).first()[0] < 150
 
 
+def test_default_history_is_the_listing_window(spark):
+    """A bar each day for 400 days: 130 days and the longest horizon count, unless told otherwise."""
+    days = spark.range(400).select(F.lit("A").alias("symbol"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("d"), (F.lit(10.0) + F.col("id") % 7).alias("p"))
+    bars = days.select("symbol", F.col("d").cast("timestamp").alias("ts"), "d", *[F.col("p").alias(c) for c in ("open", "high", "low", "close", "vwap")],
+                       F.lit(5).cast("bigint").alias("volume"), F.lit(1).cast("bigint").alias("trade_count"))
+    listed = spark.sql("select 'A' symbol, date'2020-01-01' ipo_date, 'technology' sector, '7372' sic, 'NYSE' exchange, '1' cik, 'A Co' company_name, 1L filing_count")
+    index = days.select(F.lit(fx.MARKET).alias("index_symbol"), "d", F.col("p").alias("open"), F.col("p").alias("close"))
+    index = index.unionByName(index.withColumn("index_symbol", fx.fixture_index(F.lit("technology"))))
+
+    def count(**kw):
+        return S.build_snapshots(bars, listed, index, market=fx.MARKET, sector_index=fx.fixture_index, with_preflop=False, **kw).agg(F.max("bar_count_1d")).first()[0]
+
+    assert count() == 150 and count(horizons=(7,)) == 137 and count(history_days=1000) == 400
+
+
 def fake_metadata(spark):
     cols = ", ".join(f"{c} double" for c in vocab.METADATA_FEATURES)
     return spark.createDataFrame([], f"symbol string, s1_filing_date date, {cols}")
