@@ -134,13 +134,13 @@ def test_quality_counts_weights_and_top_k(spark):
     junk = [(100 + i, "BUY!! " * (20 + i)) for i in range(20)]
     odd = [(200, None), (201, ""), (None, "w1 w2"), (0, good[0][1])]
     docs = frame(spark, [(a, b, i) for i, (a, b) in enumerate(good + junk + odd)], "doc_id long, text string, target int")
-    labels = frame(spark, [(i, 1) for i in range(0, 60, 2)] + [(100, 0), (None, 1), (101, None)], "doc_id long, quality int")
+    labels = frame(spark, [(i, 1) for i in range(60)] + [(100, 0), (None, 1), (101, None)], "doc_id long, quality int")
     ratio = quality.importance(docs, labels)
     words, raw, target = quality.Words(), np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
     for a, b in good + junk + odd:
         for x in quality.buckets(b, words):
             raw[x] += 1
-            target[x] += a is not None and a < 60 and a % 2 == 0
+            target[x] += a is not None and a < 60
     assert np.allclose(ratio, np.log(target / target.sum()) - np.log(raw / raw.sum()))
     scores, kept = quality.resample(docs, labels)
     ids = {r.doc_id for r in kept.collect()}
