@@ -22,6 +22,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 MEETINGS, LEADERS = 3, 32
 #: Rows a task of an iteration takes at least: rounds over few rows are not spread over thousands of tasks.
 TASK_ROWS = 50_000
+#: Longs of an odd sketch.
+SKETCH_LONGS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,14 +159,15 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
             .mapInArrow(_shared, rows.select("key", "id", "n").schema))
 
 
-def bag_distance(x: Column, y: Column) -> Column:
-    """Sum of the differences of two count vectors: never more than the elements in which what they count differs."""
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda t, d: t + d)
+def odd_distance(x: Column, y: Column) -> Column:
+    """In how many bits two odd sketches differ: never in more than the elements in which their sets do."""
+    return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH_LONGS)), F.lit(0))
 
 
-def bag(values: np.ndarray, size: int = 64) -> np.ndarray:
-    """Counts of values by remainder, cut at 127, which can only make two of them more alike."""
-    return np.minimum(np.bincount((values % size).astype(np.int64), minlength=size), 127).astype(np.int8)
+def odd_sketch(values: np.ndarray) -> np.ndarray:
+    """The parity of how many values fall on each bit, as longs: each value more or less turns one bit over."""
+    bits = np.bincount((values % (64 * SKETCH_LONGS)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def bucket_components(live: DataFrame, fits: Callable[[Column, Column], Column],

@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firstprint.llm.common import bag, bag_distance, bucket_components, lists, put, shared_buckets, texts
+from firstprint.llm.common import bucket_components, lists, mixed, odd_distance, odd_sketch, put, shared_buckets, texts
 from firstprint.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -144,6 +144,12 @@ def within(left: list[str], right: list[str], edits: int) -> np.ndarray:
     return result & out
 
 
+def letter_pairs(line: str) -> np.ndarray:
+    """Odd sketch of the pairs of neighbouring code points, each as often as it occurs."""
+    code = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return odd_sketch(mixed(code[:-1] << np.uint64(32) | code[1:]))
+
+
 def near_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """(id, comp): lines (by digest) that are within ``edits`` of another one, and the smallest digest of their component."""
     live = materialise(shared_buckets(keys(docs, edits, shortest)), "buckets")
@@ -152,8 +158,8 @@ def near_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) ->
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = {digest(x): x for text in batch["text"].to_pylist() for x in (text or "").split("\n") if len(x) >= shortest}
-            bags = lists([bag(np.frombuffer(x.encode("utf-32-le"), np.uint32)) for x in own.values()], pa.int8())
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.string()), bags], ["id", "line", "bag"])
+            sketches = lists([letter_pairs(x) for x in own.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.string()), sketches], ["id", "line", "sketch"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,17 +176,17 @@ def near_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) ->
                 start = stop
             yield from pa.Table.from_batches([batch]).select(["a", "b", "ca", "cb"]).filter(pa.array(near)).to_batches()
 
-    found = docs.select("text").mapInArrow(lines, "id binary, line string, bag array<byte>").join(need, "id", "left_semi")
-    table = materialise(found.groupBy("id").agg(F.first("line").alias("line"), F.first("bag").alias("bag")), "lines")
-    live = live.join(table.select("id", "bag"), "id").select("key", "id", F.struct("n", "bag").alias("n"))
+    found = docs.select("text").mapInArrow(lines, "id binary, line string, sketch array<long>").join(need, "id", "left_semi")
+    table = materialise(found.groupBy("id").agg(F.first("line").alias("line"), F.first("sketch").alias("sketch")), "lines")
+    live = live.join(table.select("id", "sketch"), "id").select("key", "id", F.struct("n", "sketch").alias("n"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(table.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").join(table.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").select("a", "b", "ca", "cb", "la", "lb")
         return both.mapInArrow(compare, "a binary, b binary, ca binary, cb binary")
 
     def fits(x, y):
-        """Lengths that allow so few edits, and bags of code points: an edit changes two counts at most, by one."""
-        return (F.abs(x["n"] - y["n"]) <= edits) & (bag_distance(x["bag"], y["bag"]) <= 2 * edits)
+        """Lengths that allow so few edits, and sketches of code point pairs: an edit takes two away and adds two at most."""
+        return (F.abs(x["n"] - y["n"]) <= edits) & (odd_distance(x["sketch"], y["sketch"]) <= 4 * edits)
 
     return bucket_components(live, fits, confirm)
 

@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firstprint.llm.common import Words, bag, bag_distance, bucket_components, grams, lists, odd_constants, shared_buckets, texts
+from firstprint.llm.common import Words, bucket_components, grams, lists, odd_constants, odd_distance, odd_sketch, shared_buckets, texts
 from firstprint.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -68,10 +68,10 @@ def shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
         words = Words()
         for batch in batches:
             sets = [shingle_set(text, words, shingle_words) for text in batch["text"].to_pylist()]
-            bags = lists([bag(s) for s in sets], pa.int8())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], lists([s.view(np.int64) for s in sets]), bags], ["id", "shingles", "bag"])
+            sketches = lists([odd_sketch(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], lists([s.view(np.int64) for s in sets]), sketches], ["id", "shingles", "sketch"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>, bag array<byte>")
+    return docs.mapInArrow(run, "id long, shingles array<long>, sketch array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
@@ -98,13 +98,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = materialise(shared_buckets(rows), "buckets")
     need = live.select(F.col("id").alias("doc_id")).distinct()
     sets = materialise(shingle_sets(own.join(need, "doc_id", "left_semi"), shingle_words), "sets")
-    live = live.join(sets.select("id", "bag"), "id").select("key", "id", F.struct("n", "bag").alias("n"))
+    live = live.join(sets.select("id", "sketch"), "id").select("key", "id", F.struct("n", "sketch").alias("n"))
 
     def fits(x, y):
-        """Sizes that allow the similarity, and no more differences in the bags than it allows in the sets."""
+        """Sizes that allow the similarity, and no more differing bits than it allows differing shingles."""
         a, b = x["n"], y["n"]
         return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (
-            (100 + percent) * bag_distance(x["bag"], y["bag"]) <= (100 - percent) * (a + b))
+            (100 + percent) * odd_distance(x["sketch"], y["sketch"]) <= (100 - percent) * (a + b))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("sa", "sb"))
