@@ -24,18 +24,26 @@ from firstprint.session import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 METHODS = ("platt", "isotonic", "binned")
+#: Levels and replicates of one task that deals draws.
+LEVELS, REPLICATES = 4096, 50
 
 
-def score_levels(df: DataFrame, score: str, label: str, group: str) -> DataFrame:
+def weight_of(weight: str | None):
+    """How often a row counts: the column ``weight``, or once."""
+    return (F.col(weight) if weight else F.lit(1)).cast("double")
+
+
+def score_levels(df: DataFrame, score: str, label: str, group: str, weight: str | None = None) -> DataFrame:
+    w = weight_of(weight)
     return df.groupBy(group, F.col(score).alias("score")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(label).cast("double")).alias("pos")
+        F.sum(w).alias("n"), F.sum(w * F.col(label).cast("double")).alias("pos")
     )
 
 
 # ---- Platt ------------------------------------------------------------------------------------
 
 def fit_platt(df: DataFrame, score: str, label: str, group: str, c: float = 1.0,
-              max_iter: int = 50, tol: float = 1e-12) -> DataFrame:
+              max_iter: int = 50, tol: float = 1e-12, weight: str | None = None) -> DataFrame:
     """(group, slope, intercept, converged) of the L2-penalised logistic fit (intercept unpenalised).
 
     Newton steps: each is one aggregation of six sums per group over the levels; only the two
@@ -43,7 +51,7 @@ def fit_platt(df: DataFrame, score: str, label: str, group: str, c: float = 1.0,
     log-odds with half a count added to each class, and ``converged`` false, as does one that ``max_iter`` steps leave open.
     """
     spark = df.sparkSession
-    levels = materialise(score_levels(df, score, label, group), "platt")
+    levels = materialise(score_levels(df, score, label, group, weight), "platt")
     key_type = levels.schema[group].dataType
     schema = T.StructType([T.StructField(group, key_type), T.StructField("w", T.DoubleType()), T.StructField("b", T.DoubleType())])
     fitted = T.StructType([T.StructField(group, key_type), T.StructField("slope", T.DoubleType()),
@@ -91,7 +99,7 @@ def _pool(lo, hi, n, pos):
     return out
 
 
-def isotonic_pools(df: DataFrame, score: str, label: str, group: str) -> DataFrame:
+def isotonic_pools(df: DataFrame, score: str, label: str, group: str, weight: str | None = None) -> DataFrame:
     """(group, lo, hi, n, pos): the pools of the increasing least-squares fit, value = pos / n.
 
     Two rounds: contiguous score ranges are pooled where they lie, then each group's surviving
@@ -99,7 +107,7 @@ def isotonic_pools(df: DataFrame, score: str, label: str, group: str) -> DataFra
     labels a group of N rows keeps at most O(N^(2/3)) pools, so the second round is small even
     when one group holds most rows.
     """
-    levels = score_levels(df, score, label, group)
+    levels = score_levels(df, score, label, group, weight)
     key_type = levels.schema[group].dataType.simpleString()
     schema = f"`{group}` {key_type}, lo double, hi double, n double, pos double"
 
@@ -208,20 +216,20 @@ def _monotone_pass(df: DataFrame, names: list[str], strict: bool) -> DataFrame:
 
 
 def fit_binned(df: DataFrame, score: str, label: str, group: str, n_bins: int = 4, alpha: float = 1.0,
-               strict: bool = False) -> DataFrame:
+               strict: bool = False, weight: str | None = None) -> DataFrame:
     """(group, edges, probs): inner quantile edges and Laplace-smoothed, monotone-passed bin rates."""
-    edges = exact_quantiles(df, score, [i / n_bins for i in range(1, n_bins)], [group]).withColumnRenamed("quantiles", "edges")
-    return fit_bins_on_edges(df, edges, score, label, group, n_bins, alpha, strict)
+    edges = exact_quantiles(df, score, [i / n_bins for i in range(1, n_bins)], [group], weight).withColumnRenamed("quantiles", "edges")
+    return fit_bins_on_edges(df, edges, score, label, group, n_bins, alpha, strict, weight)
 
 
 def fit_bins_on_edges(df: DataFrame, edges: DataFrame, score: str, label: str, group: str, n_bins: int = 4,
-                      alpha: float = 1.0, strict: bool = False) -> DataFrame:
+                      alpha: float = 1.0, strict: bool = False, weight: str | None = None) -> DataFrame:
     binned = df.join(F.broadcast(edges), group).withColumn("_bin", bin_index(F.col("edges"), F.col(score)))  # one row per group
-    y = F.col(label).cast("double")
+    y, w = F.col(label).cast("double"), weight_of(weight)
     aggs = []
     for i in range(n_bins):
         here = F.col("_bin") == i
-        rate = (F.coalesce(F.sum(F.when(here, y)), F.lit(0.0)) + alpha) / (F.count_if(here) + 2 * alpha)
+        rate = (F.coalesce(F.sum(F.when(here, w * y)), F.lit(0.0)) + alpha) / (F.sum(F.when(here, w).otherwise(0.0)) + 2 * alpha)
         aggs.append(rate.alias(f"_p{i}"))
     names = [f"_p{i}" for i in range(n_bins)]
     rates = binned.groupBy(group).agg(F.first("edges").alias("edges"), *aggs)
@@ -239,15 +247,16 @@ def apply_binned(df: DataFrame, model: DataFrame, score: str, group: str, name:
 
 # ---- selection ------------------------------------------------------------------------------------
 
-def fit_apply(method: str, train: DataFrame, rows: DataFrame, score: str, label: str, group: str, name: str = "p") -> DataFrame:
-    """Fits ``method`` per group on ``train`` and adds the calibrated ``name`` to ``rows``."""
+def fit_apply(method: str, train: DataFrame, rows: DataFrame, score: str, label: str, group: str, name: str = "p",
+              weight: str | None = None) -> DataFrame:
+    """Fits ``method`` per group on ``train`` (rows counted ``weight`` times) and adds the calibrated ``name`` to ``rows``."""
     if method == "platt":
-        return apply_platt(rows, fit_platt(train, score, label, group), score, group, name)
+        return apply_platt(rows, fit_platt(train, score, label, group, weight=weight), score, group, name)
     if method == "isotonic":
-        pools = materialise(isotonic_pools(train, score, label, group), "pools")
+        pools = materialise(isotonic_pools(train, score, label, group, weight), "pools")
         return apply_isotonic(rows, isotonic_segments(pools, group), score, group, name)
     if method == "binned":
-        return apply_binned(rows, materialise(fit_binned(train, score, label, group), "bins"), score, group, name)
+        return apply_binned(rows, materialise(fit_binned(train, score, label, group, weight=weight), "bins"), score, group, name)
     raise ValueError(f"unknown calibrator {method!r}")
 
 
@@ -269,19 +278,27 @@ def oof_calibrated(df: DataFrame, score: str, label: str, order: list[str], n_fo
     base = df if group else df.withColumn("_one", F.lit(0))
     g = group or "_one"
     blocks = materialise(temporal_blocks(base, order, n_folds + 1, [g], "_block"), "blocks")
-    keyed = lambda d: d.withColumn("_fit", F.col(g) * (n_folds + 1) + F.col("fold"))
+    return oof_on_blocks(blocks, score, label, n_folds, g, methods).drop("_block", *([] if group else ["_one"]))
+
+
+def oof_on_blocks(blocks: DataFrame, score: str, label: str, n_folds: int, group: str, methods=METHODS,
+                  weight: str | None = None) -> DataFrame:
+    """As ``oof_calibrated`` for rows whose ``_block`` (0..n_folds) is known; ``weight`` says how often a row counts."""
+    keyed = lambda d: d.withColumn("_fit", F.col(group) * (n_folds + 1) + F.col("fold"))
     train, test = (keyed(d) for d in expanding_members(blocks, "_block", n_folds))
     out = None
     for m in methods:
-        part = fit_apply(m, train, test, score, label, "_fit").withColumn("method", F.lit(m))
+        part = fit_apply(m, train, test, score, label, "_fit", weight=weight).withColumn("method", F.lit(m))
         out = part if out is None else out.unionByName(part)
-    return out.drop("_fit", "_block", *([] if group else ["_one"]))
+    return out.drop("_fit")
 
 
-def skill_by_method(oof: DataFrame, label: str, group=()) -> DataFrame:
+def skill_by_method(oof: DataFrame, label: str, group=(), weight: str | None = None) -> DataFrame:
     """(group..., method, brier, brier_climatology, bss) against the out-of-fold mean outcome."""
+    w, miss = weight_of(weight), F.col("p") - F.col(label)
+    mean = F.sum(w * F.col(label)) / F.sum(w)
     out = oof.groupBy(*group, "method").agg(
-        brier("p", label).alias("brier"), climatology_brier(label).alias("brier_climatology")
+        (F.sum(w * miss * miss) / F.sum(w)).alias("brier"), (mean * (1 - mean)).alias("brier_climatology")
     )
     return out.withColumn("bss", skill(F.col("brier"), F.col("brier_climatology")))
 
@@ -308,20 +325,55 @@ def holdout_skills(train: DataFrame, val: DataFrame, score: str, label: str) ->
 
 # ---- bootstrap -------------------------------------------------------------------------------------
 
-def resamples(df: DataFrame, n_boot: int, seed: int, order: list[str], keep: list[str]) -> DataFrame:
-    """n_boot draws with replacement of the whole table: (rep, keep...), one row per draw.
+def dealt(levels: DataFrame, keys: list[str], total: int, n_rep: int, seed: int, kind: str) -> DataFrame:
+    """(rep, keys..., _c, times): in each of ``n_rep`` replicates, ``total`` draws dealt over levels of ``_c`` rows each.
 
-    Each (replicate, draw) hashes to a row position; draws are joined to the numbered rows.
+    ``kind`` is "multinomial" (with replacement) or "multivariate_hypergeometric" (without; numpy takes fewer than 10^9
+    rows for it). The draws are dealt to chunks of LEVELS levels in key order, then inside each chunk, which is the same
+    distribution, so no draw exists as a row. Each (replicate, chunk) has its own seed: partitioning changes nothing.
     """
     from firstprint.operators.ordering import global_position
 
-    numbered = materialise(global_position(df.select(*{*order, *keep}), order, None, "_pos"), "numbered")
-    n = numbered.count()
-    pick = F.pmod(F.xxhash64(F.col("rep"), F.col("_pos"), F.lit(seed)), F.lit(n)) if n else F.lit(0)
-    reps = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
-    draws = numbered.select("_pos", reps).select("rep", pick.alias("_pos"))
-    counted = draws.groupBy("rep", "_pos").agg(F.count(F.lit(1)).alias("times"))
-    return counted.join(numbered, "_pos").select("rep", "times", *keep)
+    spark = levels.sparkSession
+    placed = global_position(levels.select(*keys, "_c"), keys, None, "_pos")
+    placed = materialise(placed.withColumn("_chunk", F.floor(F.col("_pos") / LEVELS)), "levels")
+    sizes = np.array([r[1] for r in placed.groupBy("_chunk").agg(F.sum("_c")).orderBy("_chunk").collect()], np.int64)  # one row per LEVELS levels
+
+    def deal(rng, n, counts):
+        if kind == "multinomial":
+            return rng.multinomial(n, counts / counts.sum())
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+
+    def to_chunks(batches):
+        for pdf in batches:
+            for rep in pdf["rep"]:
+                yield pd.DataFrame({"rep": rep, "_chunk": np.arange(len(sizes)),
+                                    "_drawn": deal(np.random.default_rng([seed, rep]), total, sizes) if len(sizes) else []})
+
+    def in_chunk(key, part, drawn):
+        part, drawn = part.sort_values("_pos"), drawn.sort_values("rep")
+        counts = part["_c"].to_numpy(np.int64)
+        times = [deal(np.random.default_rng([seed, rep, key[0] + 1]), n, counts) for rep, n in zip(drawn["rep"], drawn["_drawn"])]
+        out = pd.concat([part[[*keys, "_c"]]] * len(drawn), ignore_index=True)
+        return out.assign(rep=np.repeat(drawn["rep"].to_numpy(), len(part)), times=np.concatenate(times))[["rep", *keys, "_c", "times"]]
+
+    batch = F.floor(F.col("rep") / REPLICATES)
+    per_chunk = spark.range(n_rep).select(F.col("id").cast("int").alias("rep")).mapInPandas(
+        to_chunks, "rep int, _chunk long, _drawn long").withColumn("_batch", batch)
+    copies = placed.withColumn("_batch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((n_rep - 1) // REPLICATES).cast("bigint"))))
+    types = ", ".join(f"`{k}` {placed.schema[k].dataType.simpleString()}" for k in keys)
+    by = ["_chunk", "_batch"]
+    return copies.groupBy(*by).cogroup(per_chunk.groupBy(*by)).applyInPandas(in_chunk, f"rep int, {types}, _c long, times long")
+
+
+def resamples(df: DataFrame, n_boot: int, seed: int, order: list[str], keep: list[str]) -> DataFrame:
+    """n_boot draws with replacement of the whole table: (rep, times, keep...), one row per distinct ``keep`` drawn.
+
+    Rows equal in ``keep`` are one level with a count, so no row order is needed: ``order`` plays no part.
+    """
+    levels = df.groupBy(*keep).agg(F.count(F.lit(1)).alias("_c"))
+    n = df.count()
+    return dealt(levels, keep, n, n_boot, seed, "multinomial").where("times > 0").select("rep", "times", *keep)
 
 
 def bootstrap_skills(df: DataFrame, score: str, label: str, order: list[str], method: str,
@@ -331,17 +383,13 @@ def bootstrap_skills(df: DataFrame, score: str, label: str, order: list[str], me
     Resamples with a single outcome are left out. The fit is constant inside a pool or bin, so the
     Brier score follows from pool sums and no row is scored individually.
     """
-    draws = resamples(df, n_boot, seed, order, [score, label])
-    rows = draws.select("rep", score, label, F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("_x"))
+    rows = resamples(df, n_boot, seed, order, [score, label])
     if method == "isotonic":
-        sums = isotonic_pools(rows, score, label, "rep").withColumn("v", F.col("pos") / F.col("n"))
+        sums = isotonic_pools(rows, score, label, "rep", "times").withColumn("v", F.col("pos") / F.col("n"))
     elif method == "binned":
-        rows = materialise(rows.drop("_x"), "resamples")
-        model = materialise(fit_binned(rows, score, label, "rep"), "bins")
-        fitted = apply_binned(rows, model, score, "rep", "v")
-        sums = fitted.groupBy("rep", "v").agg(
-            F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(label).cast("double")).alias("pos")
-        )
+        rows = materialise(rows, "resamples")
+        model = materialise(fit_binned(rows, score, label, "rep", weight="times"), "bins")
+        sums = score_levels(apply_binned(rows, model, score, "rep", "v"), "v", label, "rep", "times").withColumnRenamed("score", "v")
     else:
         raise ValueError(f"bootstrap is defined for isotonic and binned, not {method!r}")
     v, n, pos = F.col("v"), F.col("n"), F.col("pos")
@@ -400,15 +448,27 @@ def permuted_labels(df: DataFrame, label: str, order: list[str], n_perm: int, se
     )
 
 
+def permuted_levels(df: DataFrame, score: str, label: str, order: list[str], n_perm: int, n_folds: int, seed: int) -> DataFrame:
+    """(rep, _block, score, label, times): how often each label falls on each score of each block under a fresh permutation."""
+    blocks = temporal_blocks(df, order, n_folds + 1, name="_block")
+    levels = materialise(blocks.groupBy("_block", score).agg(
+        F.count(F.lit(1)).alias("_c"), F.sum(F.col(label).cast("bigint")).alias("_pos")), "cells")
+    events = levels.agg(F.coalesce(F.sum("_pos"), F.lit(0))).first()[0]
+    got = dealt(levels, ["_block", score], events, n_perm, seed, "multivariate_hypergeometric")
+    both = F.array(F.struct(F.lit(1).alias(label), F.col("times")), F.struct(F.lit(0).alias(label), (F.col("_c") - F.col("times")).alias("times")))
+    return got.select("rep", "_block", score, F.inline(both)).where("times > 0")
+
+
 def shuffle_test(df: DataFrame, score: str, label: str, order: list[str], n_perm: int = 100, n_folds: int = 3,
                  seed: int = 42) -> DataFrame:
     """One row: real best skill, mean and 95th percentile under label shuffling, and the p-value.
 
-    All replicates, folds and methods are fitted together.
+    Labels are 0 or 1. A permutation only decides how many events each (block, score) level gets, so these counts are
+    drawn, without replacement. All replicates, folds and methods are fitted together on the weighted levels.
     """
     real = skill_by_method(oof_calibrated(df, score, label, order, n_folds), label).agg(F.max("bss").alias("real_bss"))
-    perms = materialise(permuted_labels(df, label, order, n_perm, seed), "perms")
-    shuffled = skill_by_method(oof_calibrated(perms, score, label, order, n_folds, group="rep"), label, ["rep"])
+    perms = materialise(permuted_levels(df, score, label, order, n_perm, n_folds, seed), "perms")
+    shuffled = skill_by_method(oof_on_blocks(perms, score, label, n_folds, "rep", weight="times"), label, ["rep"], "times")
     best = shuffled.groupBy("rep").agg(F.max("bss").alias("bss"))
     return (
         best.join(F.broadcast(real))  # one row

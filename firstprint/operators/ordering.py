@@ -65,14 +65,16 @@ def temporal_blocks(df: DataFrame, order: list[str], k: int, group: list[str] |
     return placed.withColumn(name, block.cast("int")).drop("_pos", "_n")
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], group: list[str] | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], group: list[str] | None = None,
+                    weight: str | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles: (group..., quantiles array), in the order of ``probs``.
 
+    ``weight``, if named, is a whole number that says how often a row counts.
     Equal values are counted first, then ranked with ``running_totals``; each wanted rank selects
     the one value whose rank span holds it. No group is ever sorted or buffered in a single task.
     """
     group = list(group or [])
-    levels = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    levels = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.sum(F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_c"))
     ranked = running_totals(levels, [value], {"_before": F.col("_c")}, group)
     sizes = levels.groupBy(*group).agg(F.sum("_c").alias("_n"))
     points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(probs)])

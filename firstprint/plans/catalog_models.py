@@ -384,12 +384,12 @@ def _(spark, d):
 
 @query("m11_hardened_selection")
 def _(spark, d):
-    return tidy(K.hardened_selection(fx.scored(spark, d), "p_tail", "adverse_20", ORDER, n_boot=20))
+    return tidy(K.hardened_selection(fx.scored(spark, d), "p_tail", "adverse_20", ORDER))
 
 
 @query("m12_bootstrap_interval")
 def _(spark, d):
-    return tidy(K.bootstrap_interval(fx.scored(spark, d), "p_tail", "adverse_20", ORDER, "isotonic", n_boot=50))
+    return tidy(K.bootstrap_interval(fx.scored(spark, d), "p_tail", "adverse_20", ORDER, "isotonic"))
 
 
 # ---- committee ---------------------------------------------------------------------------------------------
@@ -528,7 +528,7 @@ def _(spark, d):
 @query("e12_shuffle_leakage")
 def _(spark, d):
     s = fx.scored(spark, d).select("row_id", "asof_date", "p_tail", "adverse_20")
-    return tidy(K.shuffle_test(s, "p_tail", "adverse_20", ORDER, n_perm=20))
+    return tidy(K.shuffle_test(s, "p_tail", "adverse_20", ORDER))
 
 
 @query("e13_shift_sentinel")
@@ -632,5 +632,5 @@ def _(spark, d):
 
 @query("s13_run_manifest")
 def _(spark, d):
-    return tidy(E.full_run(snapshots(spark, d), RIVER_FEATURES, n_boot=20, n_perm=5)).withColumn(
+    return tidy(E.full_run(snapshots(spark, d), RIVER_FEATURES)).withColumn(
         "feature_cols", F.concat_ws(",", "feature_cols"))

@@ -224,3 +224,40 @@ def test_bootstrap_brier_from_pools(spark, sf):
         want = 1 - ((pdf["p"] - y) ** 2).mean() / (y.mean() * (1 - y.mean()))
         got = K.bootstrap_skills(rows, "p_tail", "adverse_20", ["row_id"], method, 1, 42).first()["bss"]
         assert got == pytest.approx(want)
+
+
+def test_replicates_are_the_operators_own_number(spark, sf):
+    from __spark_entry__ import queries
+
+    assert queries()["m12_bootstrap_interval"](spark, sf).first()["replicates"] == 1000
+
+
+def test_weighted_levels_fit_like_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 2), float(s), int(rng.random() < s), int(w)) for i, (s, w) in enumerate(zip(rng.integers(0, 20, 120) / 20, rng.integers(1, 5, 120)))]
+    few = spark.createDataFrame(rows, "g int, s double, y int, w int")
+    many = few.select("g", "s", "y", F.explode(F.array_repeat(F.lit(1), F.col("w"))).alias("x"))
+    for method in K.METHODS:
+        a, b = (K.fit_apply(method, t, few, "s", "y", "g", weight=w).orderBy("g", "s", "y", "w").toPandas()["p"].to_numpy() for t, w in ((few, "w"), (many, None)))
+        assert a == pytest.approx(b, abs=1e-9)
+
+
+def test_dealt_draws_do_not_depend_on_chunks_being_several(spark, monkeypatch):
+    """Counts of each level add up to the draws, with and without replacement, over several chunks; their means are right."""
+    monkeypatch.setattr(K, "LEVELS", 4)
+    levels = spark.createDataFrame([(float(i), 5 + i) for i in range(11)], "s double, _c long")
+    n = sum(5 + i for i in range(11))
+    for kind, total in (("multinomial", n), ("multivariate_hypergeometric", 40)):
+        got = K.dealt(levels, ["s"], total, 400, 3, kind).toPandas()
+        assert (got.groupby("rep")["times"].sum() == total).all() and got["rep"].nunique() == 400
+        assert got.groupby("s")["times"].mean().to_numpy() == pytest.approx(np.array([5 + i for i in range(11)]) * total / n, rel=0.1)
+        if kind != "multinomial":
+            assert (got["times"] <= got["_c"]).all()
+
+
+def test_shuffled_levels_hold_all_rows_and_events(spark, sf):
+    rows = scored(spark, sf).select("row_id", "asof_date", "p_tail", "adverse_20")
+    got = K.permuted_levels(rows, "p_tail", "adverse_20", ["asof_date", "row_id"], 100, 3, 42).groupBy("rep").agg(
+        F.sum("times").alias("n"), F.sum(F.col("times") * F.col("adverse_20")).alias("s")).collect()
+    n, s = rows.count(), rows.agg(F.sum("adverse_20")).first()[0]
+    assert {(r["n"], r["s"]) for r in got} == {(n, s)} and len(got) == 100
