@@ -447,16 +447,27 @@ def _(spark, d):
     return tidy(CM.apply_ridge(rows.where("yr > 1998"), params).select(F.col("row_id").alias("symbol"), "ridge"))
 
 
+def all_river(spark, d, fitted_until=None):
+    """(rows, number of features): labelled river rows on every column that holds no null in those that fit."""
+    s = snapshots(spark, d)
+    labelled = s.where((F.col("street") == "RIVER") & F.col("risk_severity").isNotNull())
+    features = E.feature_columns(labelled if fitted_until is None else labelled.where(F.year("asof_date") <= fitted_until))
+    return E.river_rows(s, features), len(features)
+
+
 @query("m03_committee")
 def _(spark, d):
-    rows = E.river_rows(snapshots(spark, d), RIVER_FEATURES)
-    out = E.committee_on_split(rows.withColumn("held", F.col("yr") > 1998), F.col("yr") <= 1998, len(RIVER_FEATURES))
+    rows, width = all_river(spark, d, 1998)
+    out = E.committee_on_split(rows.withColumn("held", F.col("yr") > 1998), F.col("yr") <= 1998, width)
     return tidy(out.select("row_id", "held", "ridge", "knn", "score"))
 
 
 def oof_river(spark, d):
-    rows = E.river_rows(snapshots(spark, d), RIVER_FEATURES)
-    return shared(spark, d, "oof_river", lambda: E.oof_scores(materialise(rows, "river"), len(RIVER_FEATURES)))
+    def build():
+        rows, width = all_river(spark, d)
+        return E.oof_scores(materialise(rows, "river"), width)
+
+    return shared(spark, d, "oof_river", build)
 
 
 @query("m07_oof_scores")
@@ -548,8 +559,8 @@ def _(spark, d):
 
 @query("e14_river_baselines")
 def _(spark, d):
-    rows = E.river_rows(snapshots(spark, d), RIVER_FEATURES)
-    return tidy(E.river_baselines(rows, F.col("yr") <= 1998, len(RIVER_FEATURES)))
+    rows, width = all_river(spark, d, 1998)
+    return tidy(E.river_baselines(rows, F.col("yr") <= 1998, width))
 
 
 # ---- the whole fold pipeline on two features, small enough for SQL to restate -----------------------------------
@@ -632,5 +643,5 @@ def _(spark, d):
 
 @query("s13_run_manifest")
 def _(spark, d):
-    return tidy(E.full_run(snapshots(spark, d), RIVER_FEATURES)).withColumn(
+    return tidy(E.full_run(snapshots(spark, d))).withColumn(
         "feature_cols", F.concat_ws(",", "feature_cols"))

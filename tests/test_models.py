@@ -261,3 +261,34 @@ def test_shuffled_levels_hold_all_rows_and_events(spark, sf):
         F.sum("times").alias("n"), F.sum(F.col("times") * F.col("adverse_20")).alias("s")).collect()
     n, s = rows.count(), rows.agg(F.sum("adverse_20")).first()[0]
     assert {(r["n"], r["s"]) for r in got} == {(n, s)} and len(got) == 100
+
+
+def test_committee_queries_take_all_null_free_features(spark, sf, monkeypatch):
+    from __spark_entry__ import queries
+    from firstprint.plans.catalog_data import snapshots
+
+    labelled = snapshots(spark, sf).where("street = 'RIVER' and risk_severity is not null")
+    wide, early = (len(E.feature_columns(rows)) for rows in (labelled, labelled.where("year(asof_date) <= 1998")))
+    assert min(wide, early) > 11
+    given = {}
+
+    def stop(name, at):
+        def run(*a, **kw):
+            given[name] = a[at] if len(a) > at else None
+            raise InterruptedError
+        return run
+
+    for fn, at in (("committee_on_split", 2), ("oof_scores", 1), ("full_run", 1)):
+        monkeypatch.setattr(E, fn, stop(fn, at))
+    for name, fn, want in (("m03_committee", "committee_on_split", early), ("e14_river_baselines", "committee_on_split", early),
+                           ("m07_oof_scores", "oof_scores", wide), ("s13_run_manifest", "full_run", None)):
+        with pytest.raises(InterruptedError):
+            queries()[name](spark, sf)
+        assert given.pop(fn) == want
+
+
+def test_committee_scores_every_row_on_all_features(spark, sf):
+    from __spark_entry__ import queries
+
+    rows = queries()["m03_committee"](spark, sf).toPandas()
+    assert len(rows) and rows[["ridge", "knn", "score"]].notna().all().all()
