@@ -34,15 +34,32 @@ def usable(vec: str) -> Column:
     return F.col(vec).isNotNull() & (F.size(vec) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(vec, lambda x: x != 0)
 
 
-def nearest_rows(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row of ``a`` the k nearest rows of ``b`` (unordered), and exact distances.
+def nearest_rows(a: np.ndarray, b: np.ndarray, k: int, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of ``a`` the k nearest rows of ``b`` in order, equal distances by ``ids`` (default: position), and exact distances.
 
-    Matrix products find a few more than k; these are measured by differences, so rounding cannot lose a neighbour.
+    Matrix products of the rows less a common centre give squared distances up to a proven rounding bound. Whatever lies
+    within the bounds of the k-th is measured by differences, in slices, so neither rounding nor ties can lose a neighbour.
     """
-    rough = (b * b).sum(axis=1) - 2 * (a @ b.T)
-    wide = min(len(b), k + 8)
-    at = np.argpartition(rough, wide - 1, axis=1)[:, :wide] if wide < len(b) else np.tile(np.arange(len(b)), (len(a), 1))
-    return at, np.sqrt(((a[:, None, :] - b[at]) ** 2).sum(axis=2))
+    k, dim = min(k, len(b)), b.shape[1]
+    if not len(a) or not k:
+        return np.empty((len(a), k), np.int64), np.empty((len(a), k))
+    ids = np.arange(len(b)) if ids is None else ids
+    with np.errstate(over="ignore", invalid="ignore"):
+        centre = b.mean(axis=0)
+        left, right = a - centre, b - centre
+        aa, bb = (left * left).sum(axis=1)[:, None], (right * right).sum(axis=1)[None]
+        rough = aa + bb - 2 * (left @ right.T)
+        # u = eps / 2: centring errs by 2u (|a| + |b|)^2, sums and product by (dim + 3)u, measuring and its root by (dim + 6)u
+        bound = (dim + 12) * (np.finfo(np.float64).eps * (np.sqrt(aa) + np.sqrt(bb)) ** 2 + np.finfo(np.float64).tiny)
+        last = np.partition(rough + bound, k - 1, axis=1)[:, k - 1 : k]
+        i, j = np.nonzero(~(rough - bound > last))  # what is not finite is measured too
+        far, step = np.empty(len(i)), max(1, (1 << 21) // dim)
+        for start in range(0, len(i), step):
+            cut = slice(start, start + step)
+            far[cut] = np.sqrt(((a[i[cut]] - b[j[cut]]) ** 2).sum(axis=1))
+    order = np.lexsort((ids[j], far, i))
+    first = np.searchsorted(i, np.arange(len(a)))[:, None] + np.arange(k)[None]
+    return j[order][first], far[order][first]
 
 
 def balanced(graph: np.ndarray, vectors: np.ndarray, parts: int, rng: np.random.Generator) -> np.ndarray:
@@ -138,7 +155,7 @@ def learn(vectors: DataFrame, parts: int, seed: int = 9) -> tuple[Router, int]:
             rows = batch["id"].to_numpy()
             at, far = nearest_rows(every[rows], every, GRAPH_K + 1)
             far[at == rows[:, None]] = np.inf
-            best = np.take_along_axis(at, np.argsort(far, axis=1)[:, :GRAPH_K], axis=1)
+            best = np.take_along_axis(at, np.argsort(far, axis=1, kind="stable")[:, :GRAPH_K], axis=1)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(best.tolist(), pa.list_(pa.int64()))], ["id", "near"])
 
     rows = spark.range(len(x)).repartition(max(1, len(x) // 512)).mapInArrow(block, "id long, near array<long>").toPandas().sort_values("id")
@@ -210,14 +227,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
         def block(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(r):
                 return pd.DataFrame({"query_id": [], "entry": [], "score": []}).astype({"query_id": "int64", "entry": "int64", "score": "float64"})
-            rows, out = np.array(r["vec"].tolist(), np.float64), []
+            rows, ids, out = np.array(r["vec"].tolist(), np.float64), r["vec_id"].to_numpy(), []
             for start in range(0, len(q), 128):
                 part = q.iloc[start : start + 128]
-                at, far = nearest_rows(np.array(part["vec"].tolist(), np.float64), rows, k + 1)
-                ids = r["vec_id"].to_numpy()[at]
-                best = np.lexsort((ids, far), axis=1)[:, : k + 1]
-                out.append(pd.DataFrame({"query_id": np.repeat(part["vec_id"].to_numpy(), best.shape[1]),
-                                         "entry": np.take_along_axis(ids, best, axis=1).ravel(), "score": np.take_along_axis(far, best, axis=1).ravel()}))
+                at, far = nearest_rows(np.array(part["vec"].tolist(), np.float64), rows, k + 1, ids)
+                out.append(pd.DataFrame({"query_id": np.repeat(part["vec_id"].to_numpy(), at.shape[1]), "entry": ids[at].ravel(), "score": far.ravel()}))
             return pd.concat(out)
 
         pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(block, "query_id long, entry long, score double")

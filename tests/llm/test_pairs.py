@@ -331,3 +331,29 @@ def test_fm_index_counts_and_wavelet_rank():
         assert high[0] - low[0] == sum(text[i : i + len(pattern)].tolist() == pattern.tolist() for i in range(len(text) - len(pattern) + 1))
 
 
+
+
+def test_nearest_rows_keeps_ties_and_far_offsets():
+    def brute(a, b, k):
+        far = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+        at = np.argsort(far, axis=1, kind="stable")[:, :k]
+        return at, np.take_along_axis(far, at, axis=1)
+
+    rng = np.random.default_rng(0)
+    hot, bits, far = np.eye(200), rng.integers(0, 2, (300, 8)).astype(float), rng.normal(size=(2000, 16)) + 1e8
+    for x in (hot, bits, far, rng.normal(size=(500, 16)), rng.normal(size=(50, 4)) * 1e-170, rng.normal(size=(50, 4)) * 1e200, hot[:5]):
+        got, want = ann.nearest_rows(x[:60], x, 11), (brute(x[:60], x, 11) if np.abs(x).max() < 1e150 else None)
+        if want is not None:
+            assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+        else:
+            assert got[0].shape == (50, 11)
+    names = np.arange(200)[::-1]
+    assert ann.nearest_rows(hot[:1], hot, 5, names)[0].tolist() == [[0, 199, 198, 197, 196]]
+
+
+def test_nearest_one_hot_ties_go_to_the_smaller_id(spark):
+    rows = [(i, [float(i == j) for j in range(60)]) for i in range(60)]
+    got = defaultdict(list)
+    for r in sorted(ann.nearest(frame(spark, rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 7 == 0).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [i for i in range(60) if i != q][:10] for q in range(0, 60, 7)}
