@@ -22,8 +22,10 @@ SAMPLE = 8192
 PARTITION_ROWS, MAX_PARTITIONS = 1024, 256
 #: Neighbours in the graph, hidden units, passes and step of the classifier.
 GRAPH_K, HIDDEN, PASSES, STEP = 10, 128, 40, 3e-3
-#: Share of a sample vector's graph neighbours that the probed partitions have to hold; sets the number of probes.
-COVER = 0.94
+#: Share of the graph neighbours that the probed partitions have to hold, among sample vectors held out of the router; sets the number of probes.
+COVER = 0.97
+#: One vector of the sample in so many is held out.
+HELD = 4
 #: Rows and queries of one search task.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 1024
 
@@ -142,7 +144,8 @@ def learn(vectors: DataFrame, parts: int, seed: int = 9) -> tuple[Router, int]:
     """The router and the number of partitions to probe, from at most SAMPLE vectors chosen by a hash of their id.
 
     The neighbour graph of the sample is made in tasks, a block of vectors against the sample each. It is split
-    on the driver; what counts as probes is the fewest that hold COVER of the sample's graph neighbours.
+    on the driver. The router is fitted without every HELD-th vector of the sample, and the probes are the fewest that
+    hold COVER of the neighbours that these vectors have among themselves: both ends are new to it, as nearly all vectors are.
     """
     picked = vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE).select("vec").toPandas()["vec"]
     x = np.array(picked.tolist(), np.float64)
@@ -164,12 +167,17 @@ def learn(vectors: DataFrame, parts: int, seed: int = 9) -> tuple[Router, int]:
     soft = np.zeros((len(x), parts))
     soft[np.arange(len(x)), label] += GRAPH_K / 2
     np.add.at(soft, (np.repeat(np.arange(len(x)), graph.shape[1]), label[graph.ravel()]), 1.0)
-    router = Router.fit(x, soft / soft.sum(axis=1, keepdims=True), rng)
+    kept = np.arange(len(x)) % HELD != 0  # the sample is in hash order
+    router = Router.fit(x[kept], (soft / soft.sum(axis=1, keepdims=True))[kept], rng)
     odds = router.odds(x)
     own, ranked = odds.argmax(axis=1), np.argsort(-odds, axis=1)
     place = np.empty_like(ranked)
     np.put_along_axis(place, ranked, np.arange(parts)[None, :].repeat(len(x), axis=0), axis=1)
-    needed = np.sort(place[np.repeat(np.arange(len(x)), graph.shape[1]), own[graph.ravel()]])
+    asks, near = np.repeat(np.arange(len(x)), graph.shape[1]), graph.ravel()
+    new = ~kept[asks] & ~kept[near]
+    needed = np.sort(place[asks[new], own[near[new]]])
+    if not len(needed):
+        return router, parts
     return router, int(needed[int(np.ceil(COVER * len(needed))) - 1]) + 1
 
 

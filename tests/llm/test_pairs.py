@@ -357,3 +357,19 @@ def test_nearest_one_hot_ties_go_to_the_smaller_id(spark):
     for r in sorted(ann.nearest(frame(spark, rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 7 == 0).collect(), key=lambda r: (r.query_id, r.rank)):
         got[r.query_id].append(r.vec_id)
     assert got == {q: [i for i in range(60) if i != q][:10] for q in range(0, 60, 7)}
+
+
+def test_probes_are_set_on_vectors_the_router_has_not_seen(spark, monkeypatch):
+    """Without structure a router that has seen the sample needs fewer probes on it than on new vectors."""
+    x = np.random.default_rng(5).normal(size=(1200, 24))
+    vectors = frame(spark, [(i, v) for i, v in enumerate(x[:800].tolist())], "vec_id long, vec array<double>")
+    seen = []
+    fit = ann.Router.fit.__func__
+    monkeypatch.setattr(ann.Router, "fit", classmethod(lambda cls, z, soft, rng: seen.append(len(z)) or fit(cls, z, soft, rng)))
+    router, probes = ann.learn(vectors, 8)
+    assert seen == [600]
+    odds, base = router.odds(x[800:]), router.odds(x).argmax(axis=1)
+    near, _ = ann.nearest_rows(x[800:], x[800:], 11)
+    top = np.argsort(-odds, axis=1)[:, :probes]
+    held = [(base[800 + j] == top[i]).any() for i, row in enumerate(near) for j in row if j != i]
+    assert np.mean(held) >= 0.94
