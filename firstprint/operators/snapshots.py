@@ -193,10 +193,17 @@ def backfill_context(snapshots: DataFrame, listings: DataFrame, index_bars: Data
     )
 
 
-def null_report(df: DataFrame, columns) -> DataFrame:
-    """(column_name, nulls, mean) of numeric columns from one pass."""
-    row = df.agg(*[F.struct(F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(c).alias("mean")).alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}.nulls"), F.col(f"{c}.mean")) for c in columns])
+def null_report(df: DataFrame, columns, spread: bool = False) -> DataFrame:
+    """(column_name, nulls, mean) of numeric columns from one pass; ``spread`` adds median, min and max.
+
+    The median is an exact percentile over distinct values: for columns of counts, days and flags.
+    """
+    def facts(c):
+        more = {"median": F.percentile(c, F.lit(0.5)), "min": F.min(c).cast("double"), "max": F.max(c).cast("double")} if spread else {}
+        return {"nulls": F.count_if(F.col(c).isNull()), "mean": F.avg(c), **more}
+
+    row = df.agg(*[F.struct(*[v.alias(n) for n, v in facts(c).items()]).alias(c) for c in columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}.{n}") for n in facts(c)]) for c in columns])
     return row.select(F.inline(rows))
 
 

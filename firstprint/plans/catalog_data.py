@@ -187,8 +187,10 @@ def _(spark, d):
 
 @query("s14_content_hash")
 def _(spark, d):
-    return TB.content_hash(fx.table(spark, d, "lineitem")).withColumn(
-        "files", F.lit(TB.file_hashes(spark, f"{d}/lineitem.parquet").count()))
+    files = TB.file_hashes(spark, f"{d}/lineitem.parquet").select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content_hash").alias("file_hash"))
+    # one row
+    return files.join(F.broadcast(TB.content_hash(fx.table(spark, d, "lineitem"))))
 
 
 @query("s15_registry_head", compose("select symbol, ipo_date, sector from lst order by symbol limit 25", "lst"))
@@ -743,12 +745,24 @@ def _(spark, d):
     return tidy(S.audit_gates(build_audit(spark, d)))
 
 
+@query("a29_failure_reasons", compose(f"select trim(split_part(error,':',1)) reason, count(*) n from {_BAUD} where error<>'' group by 1", "snap", "bars"))
+def _(spark, d):
+    return S.failure_reasons(build_audit(spark, d))
+
+
 @query("a32_new_column_report", compose(" union all ".join(
     f"select '{c}' column_name, count(*) filter (where {c} is null) nulls, {rd(f'avg({c})', 6)} as mean from meta" for c in vocab.METADATA_FEATURES), "meta"))
 def _(spark, d):
     return tidy(S.null_report(metadata(spark, d), vocab.METADATA_FEATURES), 6)
 
 
+@query("a32_new_column_spread", compose(" union all ".join(
+    f"select '{c}' column_name, count(*) filter (where {c} is null) nulls, {rd(f'avg({c})', 6)} as mean, "
+    f"{rd(f'quantile_cont({c},0.5)', 6)} as median, {rd(f'min({c})', 6)} as min, {rd(f'max({c})', 6)} as max from meta" for c in vocab.METADATA_FEATURES), "meta"))
+def _(spark, d):
+    return tidy(S.null_report(metadata(spark, d), vocab.METADATA_FEATURES, spread=True), 6)
+
+
 @query("a33_split_integrity", compose(f"""select split, count(*) n_rows, count(distinct w.symbol) n_symbols, min(w.asof_date) first_asof, max(w.asof_date) last_asof,
     (select max(c) from (select symbol, count(distinct split) c from ({_SPLIT}) group by 1))::bigint max_splits_per_symbol
     from win w join ({_SPLIT}) s using (symbol) group by 1""", "win"))

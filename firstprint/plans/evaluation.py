@@ -17,6 +17,7 @@ from firstprint.operators import policy as P
 from firstprint.operators.ordering import rolled, temporal_blocks, temporal_split
 from firstprint.operators.snapshots import feature_columns
 from firstprint.session import materialise
+from firstprint.sources.tables import content_hash
 
 ONE_HOTS = [f"preflop_sector_{s}" for s in vocab.ONE_HOT_SECTORS]
 FILING_COLS = ["preflop_s1_lead_days", "preflop_exchange_nyse", "preflop_exchange_nasdaq"]
@@ -253,7 +254,7 @@ FULL_RUN = P.Constraints(0.10, min_size_up_pct=0.10, min_small_bet_pct=0.0, max_
 def full_run(snapshots: DataFrame, features: list[str] | None = None, *, n_splits: int = 3, n_boot: int = 1000,
              n_perm: int = 100, seed: int = 42, tune_on: str = "in_sample", train_frac: float = 0.6,
              val_frac: float = 0.2) -> DataFrame:
-    """One manifest row: split sizes, calibrator, thresholds, held-out metrics, leakage checks.
+    """One manifest row: split sizes, row-set hash of each split, calibrator, thresholds, held-out metrics, leakage checks.
 
     Train and val rows fit and tune, test rows are looked at once. With fewer severe events than
     the gate asks for, the rank policy takes the place of calibration. ``tune_on`` picks the
@@ -284,12 +285,16 @@ def full_run(snapshots: DataFrame, features: list[str] | None = None, *, n_split
         acted = P.with_action(held, "p_tail", thresholds)
     else:
         acted = P.assign_by_rank(tested, "score", reference=trained).withColumn("p_tail", F.col("score"))
-    report = M.policy_metrics(materialise(acted, "acted"), [])
+    acted = materialise(acted, "acted")
+    report = M.policy_metrics(acted, [])
+    actions = acted.agg(*[F.count_if(F.col("action") == a).alias(f"n_{a.lower()}") for a in ("FOLD", "SMALL_BET", "SIZE_UP")])
+    hashes = {s: content_hash(split.where(F.col("split") == s)).first()["content_hash"] for s in ("train", "val", "test")}
     shuffled = shuffle_columns(oof, order, n_perm, n_splits, seed)
     shifted = shift_test(oof, "score", "adverse_20", order, 5, n_splits).select("shift_bss", "shift_destroys_signal")
     bss = F.col("bss") if calibrated else F.lit(None).cast("double")
-    return report.join(F.broadcast(shuffled)).join(F.broadcast(shifted)).select(  # single rows
+    return report.join(F.broadcast(actions)).join(F.broadcast(shuffled)).join(F.broadcast(shifted)).select(  # single rows
         F.lit(seed).alias("seed"), *[F.lit(sizes[s]).alias(f"river_{s}") for s in ("train", "val", "test")],
+        *[F.lit(hashes[s]).cast("string").alias(f"dataset_hash_{s}") for s in hashes],
         F.lit(len(features)).alias("n_features"),
         F.array(*[F.lit(c) for c in features]).alias("feature_cols"),
         F.lit("calibrated" if calibrated else "ranking").alias("calibration_mode"), F.lit(chosen).cast("string").alias("calibrator"),
@@ -297,7 +302,7 @@ def full_run(snapshots: DataFrame, features: list[str] | None = None, *, n_split
         F.lit(thresholds.fold_min if thresholds else None).cast("double").alias("fold_min"),
         F.lit(thresholds.small_bet_min if thresholds else None).cast("double").alias("small_bet_min"),
         bss.alias("test_bss"), F.col("fsr").alias("test_false_safe_rate"), F.col("detection").alias("test_adverse_detection"),
-        "fold_pct", "small_bet_pct", "size_up_pct", "real_bss", "p_value", "shift_bss", "shift_destroys_signal")
+        "n_fold", "n_small_bet", "n_size_up", "fold_pct", "small_bet_pct", "size_up_pct", "real_bss", "p_value", "shift_bss", "shift_destroys_signal")
 
 
 def shuffle_columns(oof: DataFrame, order: list[str], n_perm: int, n_splits: int, seed: int) -> DataFrame:

@@ -176,3 +176,27 @@ def test_fold_evaluation_end_to_end(spark, sf):
     assert rows.where(~F.col("p_tail").between(0, 1)).count() == 0
     metrics = E.fold_metrics(rows).collect()
     assert sorted(r["fold_id"] for r in metrics) == [0, 1]
+
+
+def test_file_digests_and_spread_are_returned(spark, sf):
+    import hashlib
+    from pathlib import Path
+
+    from __spark_entry__ import queries
+
+    path = Path(sf) / "lineitem.parquet"
+    files = [path] if path.is_file() else [p for p in path.rglob("*") if p.is_file()]
+    got = {r["file"]: r["file_hash"] for r in queries()["s14_content_hash"](spark, sf).collect()}
+    assert got == {p.name: hashlib.sha256(p.read_bytes()).hexdigest()[:16] for p in files}
+    df = spark.createDataFrame([(1.0,), (4.0,), (None,), (9.0,), (2.0,)], "a double")
+    from firstprint.operators.snapshots import null_report
+
+    assert tuple(null_report(df, ["a"], spread=True).first()) == ("a", 1, 4.0, 3.0, 1.0, 9.0)
+
+
+def test_manifest_has_hashes_and_action_counts(spark, sf):
+    from __spark_entry__ import queries
+
+    row = queries()["s13_run_manifest"](spark, sf).first()
+    assert all(row[f"dataset_hash_{s}"] for s in ("train", "val", "test"))
+    assert row["n_fold"] + row["n_small_bet"] + row["n_size_up"] == row["river_test"]
