@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from firstprint.llm import ann, byte_bpe, chat, decontamination, quality, secrets, substring_dedup, toxicity
+from firstprint.llm import ann, byte_bpe, chat, collocations, decontamination, licenses, periodic, quality, secrets, substring_dedup, toxicity
 from firstprint.llm.common import table, texts
 from firstprint.llm.line_dedup import dedup_lines
 from firstprint.llm.near_dedup import near_duplicates
@@ -89,6 +89,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(encoded.drop("text"), ranks).select("doc_id", *byte_bpe.digest_columns())
 
 
+@query("op11_license_scan")
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
+@query("op13_collocations", collocations.SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
