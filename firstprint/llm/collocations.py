@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: One window of words in so many ends a chunk.
 TRIGGER = 24
-#: Bits of the filter of frequent phrases that is sent to the tasks (32 MB), whatever the size of the input. A fuller filter
-#: lets more infrequent phrases through to the shuffle; it never loses a frequent one.
+#: The filter of frequent phrases that is sent to the tasks has 32 bits or more for each of them, and 2 ** FILTER_BITS bits (32 MB)
+#: at most, whatever the size of the input. A fuller filter lets more infrequent phrases through to the shuffle; it never loses
+#: a frequent one.
 FILTER_BITS = 28
 #: Phrase occurrences that a task sums up before it hands them to the shuffle.
 SUMMED_AT_ONCE = 1 << 20
@@ -98,8 +99,8 @@ class Chunks:
         return (mixed(self.hash) if n == 1 else grams(self.hash, n)), fits
 
 
-def passes(bits: np.ndarray, hashes: np.ndarray, filter_bits: int) -> np.ndarray:
-    at = hashes >> np.uint64(64 - filter_bits)
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes >> np.uint64(65 - (8 * len(bits)).bit_length())
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -118,12 +119,13 @@ def batches_of_chunks(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterat
             yield Chunks(batch.slice(at, 5000), words, overlap)
 
 
-def frequent_filter(counts: DataFrame, filter_bits: int) -> np.ndarray:
-    """A bit for each value of the leading bits of the hashes of ``counts`` (hash); at most 2 ** filter_bits / 64 rows reach the driver."""
-    at = F.shiftrightunsigned("hash", 64 - filter_bits)
-    rows = (counts.select((at / 64).cast("long").alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - filter_bits}) % 64 as int))").alias("bit"))
+def frequent_filter(frequent: DataFrame, most_bits: int) -> np.ndarray:
+    """A bit for each value of the leading bits of the hashes of ``frequent`` (hash); at most 2 ** most_bits / 64 rows reach the driver."""
+    width = max(6, min(most_bits, (32 * frequent.count()).bit_length()))
+    at = F.shiftrightunsigned("hash", 64 - width)
+    rows = (frequent.select(F.shiftrightunsigned(at, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - width}) & 63L as int))").alias("bit"))
             .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
-    bits = np.zeros(1 << (filter_bits - 6), np.int64)
+    bits = np.zeros(1 << (width - 6), np.int64)
     bits[rows["at"].to_numpy()] = rows["bits"].to_numpy()
     return bits.view(np.uint8)
 
@@ -144,7 +146,7 @@ def word_counts(parsed: DataFrame, overlap: int) -> DataFrame:
     return rows.groupBy("lang", "phrase", "hash").agg(F.sum("a").alias("a"))
 
 
-def hashed_counts(parsed: DataFrame, n: int, sent, overlap: int, filter_bits: int) -> DataFrame:
+def hashed_counts(parsed: DataFrame, n: int, sent, overlap: int) -> DataFrame:
     """hash, a: how often phrases of n words occur (by hash), of those whose parts of n - 1 words pass the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -153,7 +155,7 @@ def hashed_counts(parsed: DataFrame, n: int, sent, overlap: int, filter_bits: in
 
         hashes, weights, held = [], [], 0
         for own in batches_of_chunks(batches, overlap):
-            found, places = whole_parts(own, n, sent.value, filter_bits)
+            found, places = whole_parts(own, n, sent.value)
             hashes.append(found[places])
             weights.append(own.freq[own.row[places]])
             held += len(places)
@@ -166,25 +168,25 @@ def hashed_counts(parsed: DataFrame, n: int, sent, overlap: int, filter_bits: in
     return parsed.mapInArrow(run, "hash long, a long").groupBy("hash").agg(F.sum("a").alias("a"))
 
 
-def whole_parts(own: Chunks, n: int, bits: np.ndarray, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def whole_parts(own: Chunks, n: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the phrases of n words, and the places of those whose first and last n - 1 words both pass the filter."""
     hashes, fits = own.phrases(n)
     shorter, _ = own.phrases(n - 1)
     if len(hashes):
-        known = passes(bits, shorter, filter_bits)
+        known = passes(bits, shorter)
         fits &= known[:-1] & known[1:]
     return hashes, np.flatnonzero(fits)
 
 
-def phrase_counts(parsed: DataFrame, filters: list, longest: int, overlap: int, filter_bits: int) -> DataFrame:
+def phrase_counts(parsed: DataFrame, filters: list, longest: int, overlap: int) -> DataFrame:
     """lang, phrase, a: exact counts, by the phrase itself, of what passes the filters; ``filters[n - 1]`` is that of n words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in batches_of_chunks(batches, overlap):
             langs, texts_, sums_ = [], [], []
             for n in range(2, longest + 1):
-                hashes, places = whole_parts(own, n, filters[n - 2].value, filter_bits)
+                hashes, places = whole_parts(own, n, filters[n - 2].value)
                 if n < longest:
-                    places = places[passes(filters[n - 1].value, hashes[places], filter_bits)]
+                    places = places[passes(filters[n - 1].value, hashes[places])]
                 _, sums, first = summed(hashes[places], own.freq[own.row[places]])
                 at = places[first].tolist()
                 langs += [own.langs[k] for k in own.row[at].tolist()]
@@ -208,11 +210,12 @@ def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", leas
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     parsed = materialise(parse(own.where("text <> ''"), overlap, trigger).groupBy("lang", "chunk", "ends").agg(F.count("*").alias("freq")), "chunks")
     words = materialise(word_counts(parsed, overlap), "words")
-    send: Callable = lambda level: spark.sparkContext.broadcast(frequent_filter(level.where(F.col("a") >= least), filter_bits))
-    filters = [send(words)]  # 2 ** filter_bits bits each
+    frequent = F.col("a") >= least
+    filters = [spark.sparkContext.broadcast(frequent_filter(words.where(frequent), filter_bits))]  # 2 ** filter_bits bits at most, each
     for n in range(2, longest):
-        filters.append(send(hashed_counts(parsed, n, filters[-1], overlap, filter_bits)))
-    phrases = materialise(phrase_counts(parsed, filters, longest, overlap, filter_bits).where(F.col("a") >= least), "phrases")
+        level = materialise(hashed_counts(parsed, n, filters[-1], overlap).where(frequent).select("hash"), "level")
+        filters.append(spark.sparkContext.broadcast(frequent_filter(level, filter_bits)))
+    phrases = materialise(phrase_counts(parsed, filters, longest, overlap).where(frequent), "phrases")
     return words.select("lang", "phrase", "a"), phrases
 
 
