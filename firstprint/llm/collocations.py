@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firstprint.llm.common import Words, grams, mixed, signed
+from firstprint.llm.common import grams, mixed, signed
 from firstprint.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,17 +24,45 @@ TRIGGER = 24
 #: a frequent one.
 FILTER_BITS = 28
 #: Phrase occurrences that a task sums up before it hands them to the shuffle.
-SUMMED_AT_ONCE = 1 << 20
+SUMMED_AT_ONCE = 1 << 21
 
 _LOWER_AND_BREAKS = bytes(0xFF if chr(i) in ".,;:!?\n\x0b\x0c\r" else i + 32 if 65 <= i <= 90 else i for i in range(256))
-_BREAK = b"\xff"  # in no UTF-8 text
-_BREAKS = re.compile(rb"[\xff\x20\t]*\xff[\xff\x20\t]*")
-_BREAK_HASH = np.uint64(xxhash.xxh3_64_intdigest(_BREAK))
-
-
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words of a text, A-Z lower-cased, with one break token wherever one piece or more ends."""
-    return _BREAKS.sub(b" \xff ", (text or "").encode().translate(_LOWER_AND_BREAKS)).split()
+_BREAK, _APART = b"\xff", b"\xfe"  # tokens of their own, in no UTF-8 text: the end of a piece, the end of a text or chunk
+#: Bytes of text worked on together; a longer text is worked on alone.
+BYTES_AT_ONCE = 4 << 20
+
+
+class Tokens:
+    """Words of many byte strings, laid end to end with an _APART token between them, as arrays."""
+
+    def __init__(self, parts: list[bytes]):
+        self.raw = b" \xfe ".join(parts)
+        data = np.frombuffer(self.raw, np.uint8)
+        letter = (data != 32) & (data != 9)
+        edges = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+        self.starts, self.ends = edges[::2], edges[1::2]
+        offsets = np.r_[0, np.cumsum(self.ends - self.starts)].astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[letter])])
+        coded = words.dictionary_encode()
+        self.code = coded.indices.to_numpy()
+        self.distinct = coded.dictionary.to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct), np.uint64, len(self.distinct))
+        self.hash = hashes[self.code] if len(self.code) else np.empty(0, np.uint64)
+        number = {w: k for k, w in enumerate(self.distinct)}
+        self.apart = self.code == number.get(_APART, -1)
+        self.word = ~self.apart & (self.code != number.get(_BREAK, -1))
+        #: first token of each part, and behind the last
+        self.begins = np.r_[0, np.flatnonzero(self.apart) + 1]
+        self.stops = np.r_[np.flatnonzero(self.apart), len(self.code)]
+
+    def text(self, first: int, last: int) -> bytes:
+        """The tokens from ``first`` to before ``last``, with whatever blanks stand between them."""
+        return self.raw[self.starts[first] : self.ends[last - 1]]
+
+
+def pieces_of(text: str | None) -> bytes:
+    """A text in UTF-8, A-Z lower-cased, with a break token for each mark that ends a piece."""
+    return (text or "").encode().translate(_LOWER_AND_BREAKS).replace(_BREAK, b" \xff ")
 
 
 def parse(docs: DataFrame, overlap: int, trigger: int = TRIGGER) -> DataFrame:
@@ -45,48 +72,62 @@ def parse(docs: DataFrame, overlap: int, trigger: int = TRIGGER) -> DataFrame:
     equal passages are cut alike; the chunk before the cut goes on to the end of the window. ``ends`` says that a chunk ends with its text.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            langs, chunks, ends = [], [], []
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                own = tokens_of(text)
-                if not own:
-                    continue
-                cuts = np.flatnonzero(grams(words.of(own), overlap) % np.uint64(trigger) == 0).tolist() if len(own) > overlap else []
-                at = 0
-                for cut in cuts:
-                    if cut:
-                        langs.append(lang)
-                        chunks.append(b" ".join(own[at : cut + overlap]))
-                        ends.append(False)
+            known = batch["lang"].to_pylist()
+            for low, parts in in_slices(map(pieces_of, batch["text"].to_pylist())):
+                tokens, langs, chunks, ends = Tokens(parts), [], [], []
+                fits = grams(tokens.hash, overlap) % np.uint64(trigger) == 0 if len(tokens.hash) >= overlap else np.zeros(0, bool)
+                for i in range(overlap):
+                    fits &= ~tokens.apart[i : i + len(fits)]  # a window lies in one text
+                cuts = np.flatnonzero(fits)
+                spans = np.searchsorted(cuts, np.c_[tokens.begins + 1, np.maximum(tokens.begins + 1, tokens.stops)])
+                for row, (first, stop, (a, b)) in enumerate(zip(tokens.begins.tolist(), tokens.stops.tolist(), spans.tolist(), strict=True)):
+                    if first == stop:
+                        continue
+                    at = first
+                    for cut in cuts[a:b].tolist():
+                        chunks.append(tokens.text(at, cut + overlap))
                         at = cut
-                langs.append(lang)
-                chunks.append(b" ".join(own[at:]))
-                ends.append(True)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(chunks, pa.binary()), pa.array(ends, pa.bool_())],
-                                             ["lang", "chunk", "ends"])
+                    chunks.append(tokens.text(at, stop))
+                    ends += [False] * (b - a) + [True]
+                    langs += [known[low + row]] * (b - a + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(chunks, pa.binary()), pa.array(ends, pa.bool_())],
+                                                 ["lang", "chunk", "ends"])
 
     return docs.mapInArrow(run, "lang string, chunk binary, ends boolean")
 
 
-class Chunks:
-    """The distinct chunks of a batch laid end to end, as arrays over their tokens."""
-
-    def __init__(self, batch: pa.RecordBatch, words: Words, overlap: int):
-        chunks = batch["chunk"].to_pylist()
-        self.tokens = b" \xff ".join(chunks).split()
-        plain = words.of(self.tokens)
-        lengths = np.fromiter((c.count(b" ") + 1 for c in chunks), np.int64, len(chunks))
-        self.row = np.repeat(np.arange(len(chunks)), lengths + 1)[: len(plain)]
-        self.langs = batch["lang"].to_pylist()
-        self.freq = batch["freq"].to_numpy()
-        seeds = {lang: np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), 5)) for lang in set(self.langs)}
-        self.hash = plain ^ np.fromiter((seeds[lang] for lang in self.langs), np.uint64, len(chunks))[self.row]
+def in_slices(parts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, parts) of parts that together have up to BYTES_AT_ONCE bytes."""
+    held, size, low = [], 0, 0
+    for k, part in enumerate(parts):
+        if held and size + len(part) > BYTES_AT_ONCE:
+            yield low, held
+            held, size, low = [], 0, k
+        held.append(part)
+        size += len(part)
+    if held:
+        yield low, held
+
+
+class Chunks(Tokens):
+    """Distinct chunks laid end to end by language, as arrays over their tokens."""
+
+    def __init__(self, rows: list[tuple[str, bytes, bool, int]], overlap: int):
+        rows.sort(key=lambda r: r[0])
+        super().__init__([r[1] for r in rows])
+        lengths = self.stops - self.begins
+        row = np.cumsum(self.apart)
+        self.freq = np.array([r[3] for r in rows], np.int64)[row]
         # a phrase belongs to the chunk in which it starts before the overlap: there it is whole, and counted once
-        ends = batch["ends"].to_numpy(zero_copy_only=False)
-        place = np.arange(len(plain)) - np.repeat(np.cumsum(np.r_[0, lengths[:-1] + 1]), lengths + 1)[: len(plain)]
-        self.word = plain != _BREAK_HASH
-        self.own = self.word & (place < (lengths - np.where(ends, 0, overlap))[self.row])
+        own = lengths - np.array([0 if r[2] else overlap for r in rows])
+        self.own = self.word & (np.arange(len(row)) - self.begins[row] < own[row])
+        #: language, first and last token of the tokens of each
+        first = [k for k, r in enumerate(rows) if not k or rows[k - 1][0] != r[0]]
+        at = [*self.begins[first].tolist(), len(row)]
+        self.langs = [(rows[k][0], a, b) for k, a, b in zip(first, at, at[1:])]  # noqa: B905 - one more end
+        for lang, a, b in self.langs:
+            self.hash[a:b] ^= np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), 5))
 
     def phrases(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash (with the language) of the n words from each token on, and which of these places count as a phrase."""
@@ -98,6 +139,9 @@ class Chunks:
             fits &= self.word[i : last + i]
         return (mixed(self.hash) if n == 1 else grams(self.hash, n)), fits
 
+    def lang_at(self, places: np.ndarray) -> list[str]:
+        return [self.langs[k][0] for k in (np.searchsorted([a for _, a, _ in self.langs], places, "right") - 1).tolist()]
+
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = hashes >> np.uint64(65 - (8 * len(bits)).bit_length())
@@ -106,17 +150,32 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def summed(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes, the sum of the weights of each (whole numbers), and a place where each stands."""
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     ordered = hashes[order]
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(order) else np.empty(0, np.int64)
     return ordered[starts], np.add.reduceat(weights[order], starts) if len(starts) else weights[:0], order[starts]
 
 
+def partly_summed(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and sums; those of weight 1, nearly all, are sorted on their own (no order to carry), so a hash may come twice."""
+    once = weights == 1
+    ordered = np.sort(hashes[once])
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
+    distinct, sums, _ = summed(hashes[~once], weights[~once])
+    return np.r_[ordered[starts], distinct], np.r_[np.diff(np.r_[starts, len(ordered)]), sums].astype(np.int64)
+
+
 def batches_of_chunks(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[Chunks]:
-    words = Words()
+    rows, size = [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 5000):
-            yield Chunks(batch.slice(at, 5000), words, overlap)
+        for row in zip(*(batch[c].to_pylist() for c in ("lang", "chunk", "ends", "freq")), strict=True):
+            rows.append(row)
+            size += len(row[1])
+            if size > BYTES_AT_ONCE:
+                yield Chunks(rows, overlap)
+                rows, size = [], 0
+    if rows:
+        yield Chunks(rows, overlap)
 
 
 def frequent_filter(frequent: DataFrame, most_bits: int) -> np.ndarray:
@@ -134,13 +193,15 @@ def word_counts(parsed: DataFrame, overlap: int) -> DataFrame:
     """lang, phrase, hash, a: all words and how often they occur."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in batches_of_chunks(batches, overlap):
-            hashes, fits = own.phrases(1)
-            places = np.flatnonzero(fits)
-            distinct, sums, first = summed(hashes[places], own.freq[own.row[places]])
-            at = places[first].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([own.langs[k] for k in own.row[at].tolist()], pa.string()), pa.array([own.tokens[k] for k in at], pa.binary()),
-                 signed(distinct), pa.array(sums, pa.int64())], ["lang", "phrase", "hash", "a"])
+            hashes, _ = own.phrases(1)
+            for lang, a, b in own.langs:
+                places = a + np.flatnonzero(own.own[a:b])
+                sums, first = np.zeros(len(own.distinct), np.int64), np.zeros(len(own.distinct), np.int64)
+                np.add.at(sums, own.code[places], own.freq[places])
+                first[own.code[places]] = places
+                used = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array([own.distinct[k] for k in used.tolist()], pa.binary()),
+                                                  signed(hashes[first[used]]), pa.array(sums[used])], ["lang", "phrase", "hash", "a"])
 
     rows = parsed.mapInArrow(run, "lang string, phrase binary, hash long, a long")
     return rows.groupBy("lang", "phrase", "hash").agg(F.sum("a").alias("a"))
@@ -150,14 +211,14 @@ def hashed_counts(parsed: DataFrame, n: int, sent, overlap: int) -> DataFrame:
     """hash, a: how often phrases of n words occur (by hash), of those whose parts of n - 1 words pass the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            distinct, sums, _ = summed(np.concatenate(hashes), np.concatenate(weights))
+            distinct, sums = partly_summed(np.concatenate(hashes), np.concatenate(weights))
             return pa.RecordBatch.from_arrays([signed(distinct), pa.array(sums, pa.int64())], ["hash", "a"])
 
         hashes, weights, held = [], [], 0
         for own in batches_of_chunks(batches, overlap):
             found, places = whole_parts(own, n, sent.value)
             hashes.append(found[places])
-            weights.append(own.freq[own.row[places]])
+            weights.append(own.freq[places])
             held += len(places)
             if held > SUMMED_AT_ONCE:
                 yield out()
@@ -187,10 +248,10 @@ def phrase_counts(parsed: DataFrame, filters: list, longest: int, overlap: int)
                 hashes, places = whole_parts(own, n, filters[n - 2].value)
                 if n < longest:
                     places = places[passes(filters[n - 1].value, hashes[places])]
-                _, sums, first = summed(hashes[places], own.freq[own.row[places]])
-                at = places[first].tolist()
-                langs += [own.langs[k] for k in own.row[at].tolist()]
-                texts_ += [b" ".join(own.tokens[k : k + n]) for k in at]
+                _, sums, first = summed(hashes[places], own.freq[places])
+                codes = own.code[places[first][:, None] + np.arange(n)].tolist()
+                langs += own.lang_at(places[first])
+                texts_ += [b" ".join([own.distinct[c] for c in row]) for row in codes]
                 sums_.append(sums)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts_, pa.binary()), pa.array(np.concatenate(sums_), pa.int64())],
                                              ["lang", "phrase", "a"])

@@ -48,10 +48,10 @@ def plus(schema: T.StructType, **columns: str) -> T.StructType:
 # ---------------------------------------------------------------- hashes inside tasks
 
 class Words(dict):
-    """Hash of a word (bytes), remembered while a task runs; forgotten when it grows beyond a million words."""
+    """Hash of a word (bytes), remembered while a task runs; forgotten when it grows beyond 200,000 words (some 25 MB)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -76,9 +76,9 @@ def grams(words: np.ndarray, n: int, seed: int = 11) -> np.ndarray:
     n = min(n, len(words))
     if not n:
         return words
-    factors, out = odd_constants(n, seed + n), np.zeros(len(words) - n + 1, np.uint64)
+    factors, out, spread = odd_constants(n, seed + n), np.zeros(len(words) - n + 1, np.uint64), mixed(words)
     for i in range(n):
-        out += mixed(words[i : len(words) - n + 1 + i]) * factors[i]
+        out += spread[i : len(words) - n + 1 + i] * factors[i]
     return mixed(out)
 
 

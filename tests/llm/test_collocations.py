@@ -65,8 +65,8 @@ def test_mining_equals_brute_force(spark):
 def test_chunks_cover_each_start_once(spark):
     rows = made(60, 9)
     parsed = collocations.parse(spark.createDataFrame(rows, "lang string, text string").coalesce(1), 3, 4).collect()
-    whole = [t for _, text in rows for t in collocations.tokens_of(text)]
-    own = [t for r in parsed for t in (bytes(r.chunk).split(b" ") if r.ends else bytes(r.chunk).split(b" ")[:-3])]
+    whole = [t for _, text in rows for t in collocations.pieces_of(text).split()]
+    own = [t for r in parsed for t in (bytes(r.chunk).split() if r.ends else bytes(r.chunk).split()[:-3])]
     assert own == whole
 
 
@@ -74,3 +74,6 @@ def test_sums_are_whole_numbers():
     hashes = np.array([7, 3, 7, 3, 7], np.uint64)
     distinct, sums, first = collocations.summed(hashes, np.array([1, 1 << 60, 2, 1, 3]))
     assert distinct.tolist() == [3, 7] and sums.tolist() == [(1 << 60) + 1, 6] and hashes[first].tolist() == [3, 7]
+    hashes, weights = np.array([5, 5, 9, 5, 9, 1], np.uint64), np.array([1, 1, 4, 7, 1, 1])
+    distinct, sums = collocations.partly_summed(hashes, weights)
+    assert sorted(zip(distinct.tolist(), sums.tolist())) == [(1, 1), (5, 2), (5, 7), (9, 1), (9, 4)]
