@@ -84,9 +84,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_byte_bpe")
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = byte_bpe.load_ranks(spark, "file://" + public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = byte_bpe.encode(texts(table(spark, sf_dir, "documents")), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded.drop("text"), ranks).select("doc_id", *byte_bpe.digest_columns())
+    ranks = byte_bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = byte_bpe.encode(texts(table(spark, sf_dir, "documents")), ranks, public_tokenizers.PATTERN, bytes_to="bytes")
+    return encoded.select("doc_id", *byte_bpe.digest_columns())
 
 
 @query("op11_license_scan")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
 from firstprint.llm import byte_bpe, quality, secrets, toxicity
@@ -42,11 +43,24 @@ def test_bpe_merges_by_rank_then_place():
     ranks = {t: i for i, t in enumerate(tokens)} | {bytes([i]): 100 + i for i in range(256) if bytes([i]) not in b"abc"}
     own, encoder, rng = tiktoken.Encoding("own", pat_str=r".+", mergeable_ranks=ranks, special_tokens={}), byte_bpe.Encoder(ranks), random.Random(1)
     for _ in range(500):
-        text = "".join(rng.choice("abc") for _ in range(rng.randint(1, 40)))
-        assert encoder.merge(text.encode()) == own.encode_ordinary(text)
+        texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 6))]  # one queue for all
+        assert [ids.tolist() for ids in encoder.ids([[text] for text in texts])] == [own.encode_ordinary(text) for text in texts]
     assert not any(encoder.marks) and not encoder.buckets
 
 
+def test_bpe_forgets_in_generations_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(byte_bpe, "PAIRS", 3)
+    monkeypatch.setattr(byte_bpe, "CHARS_AT_ONCE", 40)
+    ranks = byte_bpe.load_ranks(spark, RANKS)
+    own, rng = reference(ranks), random.Random(8)
+    rows = [(i, " ".join(f"{rng.choice('xyz')}word{rng.randint(0, 30)}" for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(60, "q" * 300), (61, None)]
+    got = byte_bpe.encode(frame(spark, rows), ranks, public_tokenizers.PATTERN, bytes_to="bytes").collect()
+    assert [(r.doc_id, r.ids, bytes(r.bytes).decode()) for r in got] == [(i, own.encode_ordinary(t or ""), t or "") for i, t in rows]
+    with pytest.raises(ValueError):
+        byte_bpe.encode(frame(spark, rows), ranks, public_tokenizers.PATTERN, bytes_to="text")
+
+
 def test_bpe_keeps_other_columns(spark):
     ranks = byte_bpe.load_ranks(spark, RANKS)
     got = byte_bpe.encode(frame(spark, [(1, "x y", "k")], "doc_id long, text string, key string"), ranks, public_tokenizers.PATTERN).first()
