@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firstprint.llm.common import grams, mixed, signed
+from firstprint.llm.common import grams, hash_filter, mixed, passes, signed
 from firstprint.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -143,11 +143,6 @@ class Chunks(Tokens):
         return [self.langs[k][0] for k in (np.searchsorted([a for _, a, _ in self.langs], places, "right") - 1).tolist()]
 
 
-def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes >> np.uint64(65 - (8 * len(bits)).bit_length())
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
 def summed(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes, the sum of the weights of each (whole numbers), and a place where each stands."""
     order = np.argsort(hashes)
@@ -178,17 +173,6 @@ def batches_of_chunks(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterat
         yield Chunks(rows, overlap)
 
 
-def frequent_filter(frequent: DataFrame, most_bits: int) -> np.ndarray:
-    """A bit for each value of the leading bits of the hashes of ``frequent`` (hash); at most 2 ** most_bits / 64 rows reach the driver."""
-    width = max(6, min(most_bits, (32 * frequent.count()).bit_length()))
-    at = F.shiftrightunsigned("hash", 64 - width)
-    rows = (frequent.select(F.shiftrightunsigned(at, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - width}) & 63L as int))").alias("bit"))
-            .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
-    bits = np.zeros(1 << (width - 6), np.int64)
-    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy()
-    return bits.view(np.uint8)
-
-
 def word_counts(parsed: DataFrame, overlap: int) -> DataFrame:
     """lang, phrase, hash, a: all words and how often they occur."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,10 +256,10 @@ def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", leas
     parsed = materialise(parse(own.where("text <> ''"), overlap, trigger).groupBy("lang", "chunk", "ends").agg(F.count("*").alias("freq")), "chunks")
     words = materialise(word_counts(parsed, overlap), "words")
     frequent = F.col("a") >= least
-    filters = [spark.sparkContext.broadcast(frequent_filter(words.where(frequent), filter_bits))]  # 2 ** filter_bits bits at most, each
+    filters = [spark.sparkContext.broadcast(hash_filter(words.where(frequent), filter_bits))]  # 2 ** filter_bits bits at most, each
     for n in range(2, longest):
         level = materialise(hashed_counts(parsed, n, filters[-1], overlap).where(frequent).select("hash"), "level")
-        filters.append(spark.sparkContext.broadcast(frequent_filter(level, filter_bits)))
+        filters.append(spark.sparkContext.broadcast(hash_filter(level, filter_bits)))
     phrases = materialise(phrase_counts(parsed, filters, longest, overlap).where(frequent), "phrases")
     return words.select("lang", "phrase", "a"), phrases
 

@@ -99,6 +99,28 @@ def kept_small(df: DataFrame, rows: int, label: str) -> DataFrame:
     return materialise(df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df, label)
 
 
+# ---------------------------------------------------------------- bounded filters of hashes
+
+def hash_filter(hashes: DataFrame, most_bits: int) -> np.ndarray:
+    """A bit for each value of the leading bits of the hashes (column hash): 32 bits or more a row, 2 ** most_bits at most.
+
+    No hash of ``hashes`` is ever lost; a fuller filter lets others through. At most 2 ** most_bits / 64 rows reach the driver.
+    """
+    width = max(6, min(most_bits, (32 * hashes.count()).bit_length()))
+    at = F.shiftrightunsigned("hash", 64 - width)
+    rows = (hashes.select(F.shiftrightunsigned(at, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - width}) & 63L as int))").alias("bit"))
+            .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
+    bits = np.zeros(1 << (width - 6), np.int64)
+    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return bits.view(np.uint8)
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a filter of `hash_filter` lets through."""
+    at = hashes >> np.uint64(65 - (8 * len(bits)).bit_length())
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 # ---------------------------------------------------------------- components
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firstprint.llm.common import bucket_components, lists, mixed, odd_distance, odd_sketch, put, shared_buckets, texts
+from firstprint.llm.common import bucket_components, hash_filter, lists, mixed, odd_distance, odd_sketch, passes, put, shared_buckets, texts
 from firstprint.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -22,6 +22,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: are duplicates only of equal lines.
 EDITS, SHORTEST = 2, 40
 _PAIRS_AT_ONCE = 8192
+#: Most bits of the filter of lines that share a bucket (32 MB), which is sent to the tasks.
+FILTER_BITS = 28
 
 
 def probes(length: int, edits: int) -> list[tuple[int, int, int, int]]:
@@ -48,6 +50,11 @@ def digest(line: str) -> bytes:
     return hashlib.blake2b(line.encode(), digest_size=16).digest()
 
 
+def short(marks: list[bytes]) -> np.ndarray:
+    """The first eight bytes of digests, as whole numbers. What shares a bucket is named by these; lines keep the whole digest."""
+    return np.frombuffer(b"".join(m[:8] for m in marks), np.int64)
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, line (from 0), id (digest of the text), n (code points) of all lines that are not blank."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,12 +74,12 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def keys(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
-    """key, id, n: the segments and probes of each line, as hashes of (indexed length, segment, content)."""
+    """key, id, n: the segments and probes of each line, as hashes of (indexed length, segment, content); id is short, n plays no part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, list] = {}
         seen: set[bytes] = set()
         for batch in batches:
-            marks, sizes, found, repeats = [], [], [], []
+            marks, found, repeats = [], [], []
             for text in batch["text"].to_pylist():
                 for line in (text or "").split("\n"):
                     if len(line) < shortest or not line.strip():
@@ -87,15 +94,13 @@ def keys(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
                     if plan is None:
                         plan = plans[len(line)] = probes(len(line), edits)
                     marks.append(mark)
-                    sizes.append(len(line))
                     repeats.append(len(plan))
                     found += [xxhash.xxh3_64_intdigest(line[at : at + width].encode(), size << 8 | i) for size, i, at, width in plan]
-            where = np.repeat(np.arange(len(marks)), repeats)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(marks, pa.binary()).take(pa.array(where)),
-                 pa.array(np.array(sizes, np.int64)[where] if len(where) else np.empty(0, np.int64))], ["key", "id", "n"])
+            own = np.repeat(short(marks), repeats)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(own), pa.nulls(len(own), pa.int8())],
+                                             ["key", "id", "n"])
 
-    return docs.mapInArrow(run, "key long, id binary, n long")
+    return docs.mapInArrow(run, "key long, id long, n byte")
 
 
 def within(left: list[str], right: list[str], edits: int) -> np.ndarray:
@@ -153,13 +158,21 @@ def letter_pairs(line: str) -> np.ndarray:
 def near_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """(id, comp): lines (by digest) that are within ``edits`` of another one, and the smallest digest of their component."""
     live = materialise(shared_buckets(keys(docs, edits, shortest)), "buckets")
-    need = live.select("id").distinct()
+    need = materialise(live.select("id").distinct(), "needed")
+    # only lines that share a bucket are read again: a filter of bounded size first, the exact join behind it
+    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(need.select(F.col("id").alias("hash")), FILTER_BITS))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = {digest(x): x for text in batch["text"].to_pylist() for x in (text or "").split("\n") if len(x) >= shortest}
-            sketches = lists([letter_pairs(x) for x in own.values()])
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.string()), sketches], ["id", "line", "sketch"])
+            own = {digest(x): x for text in batch["text"].to_pylist() for x in (text or "").split("\n") if len(x) >= shortest and x.strip()}
+            marks = list(own)
+            near = short(marks)
+            found = np.flatnonzero(passes(sent.value, near.view(np.uint64)))
+            marks = [marks[k] for k in found.tolist()]
+            kept = [own[m] for m in marks]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(marks, pa.binary()), pa.array(near[found]), pa.array(list(map(len, kept)), pa.int64()), pa.array(kept, pa.string()),
+                 lists([letter_pairs(x) for x in kept])], ["id", "short", "n", "line", "sketch"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,9 +189,11 @@ def near_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) ->
                 start = stop
             yield from pa.Table.from_batches([batch]).select(["a", "b", "ca", "cb"]).filter(pa.array(near)).to_batches()
 
-    found = docs.select("text").mapInArrow(lines, "id binary, line string, sketch array<long>").join(need, "id", "left_semi")
-    table = materialise(found.groupBy("id").agg(F.first("line").alias("line"), F.first("sketch").alias("sketch")), "lines")
-    live = live.join(table.select("id", "sketch"), "id").select("key", "id", F.struct("n", "sketch").alias("n"))
+    found = (docs.select("text").mapInArrow(lines, "id binary, short long, n long, line string, sketch array<long>")
+             .join(need.withColumnRenamed("id", "short"), "short", "left_semi"))
+    table = materialise(found.groupBy("id").agg(*[F.first(c).alias(c) for c in ("short", "n", "line", "sketch")]), "lines")
+    live = (live.select("key", F.col("id").alias("short")).join(table.select("id", "short", "n", "sketch"), "short")
+            .select("key", "id", F.struct("n", "sketch").alias("n")))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(table.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").join(table.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").select("a", "b", "ca", "cb", "la", "lb")
@@ -196,8 +211,10 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST)
     occurrences = materialise(line_table(docs), "occurrences")
     comp = near_lines(docs, edits, shortest)
     named = occurrences.join(comp, "id", "left").select("doc_id", "line", F.coalesce("comp", "id").alias("comp"))
-    first = named.groupBy("comp").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("c"))
-    later = named.join(first.where("c > 1"), "comp").where(F.struct("doc_id", "line") != F.col("first"))
+    place = F.struct("doc_id", "line")
+    # written, so that the join back has a shuffle of its own on both sides, which Spark splits where a common line is hot
+    first = materialise(named.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("comp", "first"), "first")
+    later = named.join(first, "comp").where(place != F.col("first"))
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("drop"))
 
 
@@ -210,17 +227,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all others go, within a document too. Blank lines stay.
 
     Null text stays null (no lines). Rows with a null id stay as they are. Repeated rows: the rows of one id
-    are treated alike. Columns named n_lines or n_removed are an error, all others go along.
+    are treated alike. An empty table gives none. Columns named n_lines or n_removed are an error, all others go along.
     """
-    if clash := {"n_lines", "n_removed", "drop"} & set(docs.columns):
+    if clash := {"n_lines", "n_removed"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} exist")
     own = texts(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    drop = removed_lines(own, edits, shortest)
-    lines = F.split(text_col, "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("drop", i), F.lit(False)))
-    text = F.when(F.col("drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    joined = docs.join(drop.withColumnRenamed("doc_id", id_col), id_col, "left").select(*docs.columns, "drop")
+    drop = removed_lines(own, edits, shortest).select(F.col("doc_id").alias("_line_dedup_id"), F.col("drop").alias("_line_dedup_drop"))
+    gone, lines = F.col("_line_dedup_drop"), F.split(text_col, "\n", -1)
+    kept = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(gone, i), F.lit(False)))
+    text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    joined = docs.join(drop, F.col(id_col).cast("long") == F.col("_line_dedup_id"), "left").drop("_line_dedup_id")
     counted = joined.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-                                  "n_removed": F.coalesce(F.size("drop"), F.lit(0)).cast("long"), text_col: text})
-    counted = counted.withColumn("n_removed", F.greatest("n_removed", F.lit(0))).drop("drop")
-    return put(counted, n_chars=F.length(text_col))
+                                  "n_removed": F.coalesce(F.greatest(F.size(gone), F.lit(0)), F.lit(0)).cast("long"), text_col: text})
+    return put(counted.drop("_line_dedup_drop"), n_chars=F.length(text_col))

@@ -70,10 +70,13 @@ def with_scores(docs: DataFrame, ratio: np.ndarray, text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            own = [buckets(text, words) for text in batch[text_col].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([len(x) for x in own], pa.int64()), pa.array([float(ratio[x].sum()) for x in own], pa.float64())],
-                [*batch.schema.names, "n_grams", "log_weight"])
+            sizes, weights = [], []
+            for text in batch[text_col]:  # a text at a time: a batch may hold long ones
+                own = buckets(text.as_py(), words)
+                sizes.append(len(own))
+                weights.append(float(ratio[own].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(weights, pa.float64())],
+                                             [*batch.schema.names, "n_grams", "log_weight"])
 
     if clash := {"n_grams", "log_weight"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} exist")
