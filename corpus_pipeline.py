@@ -16,8 +16,8 @@ from firstprint.llm.line_dedup import dedup_lines
 from firstprint.llm.near_dedup import near_duplicates
 from firstprint.session import materialise
 
-#: The rank file of the last stage; any .tiktoken file that Spark can read.
-RANKS = "file://" + public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The rank file of the last stage: a .tiktoken file of the driver, or any that Spark can read.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, ids_sha256, decoded_sha256, intact (the ids decode to the text)."""
     ranks = byte_bpe.load_ranks(spark, RANKS)
-    encoded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks)
+    encoded = byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, bytes_to="bytes")
     intact = (F.col("bytes") == F.coalesce("text", F.lit("")).cast("binary")).alias("intact")
     return encoded.select("doc_id", "ids", *byte_bpe.digest_columns(), intact)
 
