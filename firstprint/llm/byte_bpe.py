@@ -19,7 +19,7 @@ from firstprint.llm.common import lists, plus
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Pre-tokens up to this length are remembered in a task, in two generations of so many; longer ones are encoded each time.
-REMEMBERED_CHARS, REMEMBERED = 64, 100_000
+REMEMBERED_CHARS, REMEMBERED = 64, 200_000
 #: Pairs of tokens whose rank is remembered.
 PAIRS = 200_000
 #: Characters of text worked on together; a longer text is worked on alone, as a whole.
