@@ -3,19 +3,25 @@
 A *fit* is one training set with one feature subset. Rows carry an integer ``fit`` key (a row may
 belong to many fits) and a dense ``vec`` array. Features a fit does not use get scale 0, which
 removes them from both the ridge system and the distances.
+
+Ridge is fitted on all rows. Neighbours are looked for among a bounded draw of the training rows (`drawn`), which
+goes to every task, so the rows to be scored are never shuffled and the work is linear in their number.
 """
 
 from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firstprint.session import materialise
 
@@ -147,181 +153,163 @@ def scale_rows(rows: DataFrame, params: dict[int, FitParams], keep=("y",)) -> Da
     return kept.mapInPandas(scaled, f"fit bigint, {types}, z array<double>")
 
 
-# ---- exact nearest neighbours ----------------------------------------------------------------------
+# ---- nearest neighbours ----------------------------------------------------------------------------
+
+FIT_ROWS = 16_384        # labelled rows that the neighbour model of one piece is drawn from, at most
+MODEL_BYTES = 256 << 20  # largest neighbour model that is sent to the tasks
+BLOCK = 1 << 22          # distances held at once
+
+
+def drawn(train: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """``train`` with ``_h``, md5 of row_id: of each fit the ``most`` rows that come first by (_h, row_id); all, if no more.
 
-PIVOTS = 1024        # most pivots per fit
-ALL_PIVOTS = 8192    # most pivots over all fits: they travel to every task, a few MB
-CHUNK = 16384        # training rows per task
-BLOCK = 4096         # test rows per task
+    The bound is what keeps scoring linear in the rows asked for. The draw depends on row ids alone, so it is repeatable, the
+    same however rows are dealt, and the draws of nested training sets are nested. A cut on the hash that lets through a few more
+    than ``most`` rows of a fit comes before the exact order, so no task sorts a whole fit.
+    """
+    hashed = train.withColumn("_h", F.md5(F.col("row_id").cast("string")))
+    sizes = {r["fit"]: r["n"] for r in train.groupBy("fit").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per fit
+    large = {f: n for f, n in sizes.items() if n > most}
+    if not large:
+        return hashed
+    lead, slack = F.substring("_h", 1, 12), 8.0
+    while True:
+        share = {f: min(1.0, (most + slack * math.sqrt(most)) / n) for f, n in large.items()}
+        bar = F.element_at(F.create_map(*[F.lit(x) for f, s in share.items() for x in (f, f"{int(s * (16 ** 12 - 1)):012x}")]), F.col("fit"))
+        near = hashed.where(~F.col("fit").isin(*large) | (lead <= bar))
+        found = {r["fit"]: r["n"] for r in near.where(F.col("fit").isin(*large)).groupBy("fit").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if all(found.get(f, 0) >= most for f in large):
+            break
+        slack *= 8
+    place = F.row_number().over(Window.partitionBy("fit").orderBy("_h", "row_id"))
+    return near.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
+@dataclass(frozen=True)
+class Neighbours:
+    """Drawn training rows in row_id order, and which of them each fit uses."""
 
+    rows: np.ndarray
+    y: np.ndarray
+    members: dict[int, np.ndarray]
 
-def nearest_targets(train: DataFrame, test: DataFrame, k: int = 7, digits: int = 10,
-                    pivots: int = PIVOTS, chunk: int = CHUNK, block_rows: int = BLOCK) -> DataFrame:
-    """(fit, row_id, knn): mean target of the k nearest training rows, exact; ties go to the lower row_id.
 
-    Pivot-partitioned kNN join (Lu et al., VLDB 2012). A bounded sample of training rows per fit
-    serves as pivots; every training row belongs to its closest pivot's cell. From the k smallest
-    pivot distances of each cell a test row gets an upper bound on its k-th distance, and it visits
-    only cells the triangle inequality cannot rule out. Cells are cut into chunks of about ``chunk``
-    rows and test rows into blocks of about ``block_rows``, so no task holds a hot cell whole. Each
-    (chunk, block) task returns at most k rows per test row; the k best are merged after.
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, dtype=float).reshape(len(column), len(flat) // max(1, len(column)))
 
-    ``train`` holds (fit, row_id, z, y), ``test`` (fit, row_id, z). The sample only steers the
-    partitioning; no row is dropped.
+
+def neighbour_rows(train: DataFrame, parts: dict[int, list[int]] | None = None, most: int = FIT_ROWS, limit: int = MODEL_BYTES,
+                   vec: str = "vec") -> Neighbours:
+    """Draws and collects the neighbour model of ``train`` (fit, row_id, ``vec``, y); a row that several fits share is held once.
+
+    With ``parts`` the fit column names disjoint pieces and a fit is made of several; its rows are the first ``most`` of theirs,
+    which is the draw from their union. A row has one vector and one y, whatever its fits.
     """
-    id_type = train.schema["row_id"].dataType.simpleString()
-    test_id = test.schema["row_id"].dataType.simpleString()
-    sizes = {r["fit"]: (r["n"], r["h"]) for r in train.groupBy("fit").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.abs(F.xxhash64("row_id"))).alias("h")).collect()}  # one row per fit
-    top = float(2 ** 63)
-    most = max(8, min(pivots, ALL_PIVOTS // max(1, len(sizes))))
-    bar = {f: max(h, int(min(1.0, min(most, math.ceil(n / chunk) * 8) / n) * top) if n > chunk else h) for f, (n, h) in sizes.items()}
-    limit = F.element_at(F.create_map(*[F.lit(x) for fb in bar.items() for x in (fb[0], min(fb[1], 2 ** 63 - 1))]), F.col("fit"))
-    chosen = train.where(F.abs(F.xxhash64("row_id")) <= limit).select("fit", "z").collect()  # <= about `pivots` rows per fit
-    centres = {}
-    for r in chosen:
-        centres.setdefault(r["fit"], []).append(r["z"])
-    centres = {f: np.array(v) for f, v in centres.items()}
-
-    def distances(z, fit):
-        c = centres[fit]
-        sq = (z * z).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * z @ c.T
-        return np.sqrt(np.maximum(sq, 0.0))
-
-    def to_cells(batches):
-        for pdf in batches:
-            if len(pdf):
-                z = np.stack(pdf["z"].to_numpy())
-                cell, dist = np.zeros(len(pdf), dtype=int), np.zeros(len(pdf))
-                for fit, at in pdf.groupby("fit").indices.items():
-                    d = distances(z[at], fit)
-                    cell[at] = d.argmin(1)
-                    dist[at] = d.min(1)
-                yield pdf.assign(cell=cell, dist=dist)
-
-    celled = materialise(
-        train.select("fit", "row_id", "z", "y").mapInPandas(
-            to_cells, f"fit bigint, row_id {id_type}, z array<double>, y double, cell int, dist double"),
-        "cells",
-    )
-    # Per cell: radius, row count and k pivot distances of distinct rows, the smallest of per-slice
-    # minima: any k rows give a valid bound, and no cell is buffered. pivots x k numbers per fit.
-    smallest = F.slice(F.sort_array(F.collect_list("dist")), 1, k)
-    nearest = (
-        celled.groupBy("fit", "cell", F.pmod(F.xxhash64("row_id"), F.lit(chunk)).alias("_s"))
-        .agg(F.min("dist").alias("dist")).groupBy("fit", "cell").agg(smallest.alias("near"))
-    )
-    stats = celled.groupBy("fit", "cell").agg(F.max("dist").alias("radius"), F.count(F.lit(1)).alias("n"))
-    cells: dict = {}
-    for r in stats.join(nearest, ["fit", "cell"]).collect():
-        cells.setdefault(r["fit"], {})[r["cell"]] = (r["radius"], r["n"], np.array(r["near"]))
-    test_n = {r["fit"]: r["n"] for r in test.groupBy("fit").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = {f: max(1, math.ceil(n / block_rows)) for f, n in test_n.items()}
-    slack = 1.0 + 1e-9
-
-    def visits(batches):
-        """Repeats each test row for every (cell, chunk) that may hold one of its k nearest."""
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            z = np.stack(pdf["z"].to_numpy())
-            for fit, at in pdf.groupby("fit").indices.items():
-                known = cells.get(fit)
-                if not known:
-                    continue
-                ids = np.array(sorted(known))
-                radius = np.array([known[c][0] for c in ids])
-                counts = np.array([known[c][1] for c in ids])
-                d_all = distances(z[at], fit)
-                d = d_all[:, ids]
-                reach = np.concatenate([d[:, [i]] + known[c][2][None, :] for i, c in enumerate(ids)], axis=1)
-                kth = min(k, reach.shape[1])
-                # with fewer known distances than k the bound does not hold: visit every cell
-                bound = np.partition(reach, kth - 1, axis=1)[:, kth - 1] if reach.shape[1] >= k else np.full(len(at), np.inf)
-                home = d.min(1)
-                between = distances(centres[fit][ids], fit)[:, ids]
-                at_home = d.argmin(1)
-                gap = np.where(between[at_home] > 0, (d ** 2 - home[:, None] ** 2) / np.where(between[at_home] > 0, 2 * between[at_home], 1.0), 0.0)
-                low = np.maximum(np.maximum(d - radius[None, :], 0.0), gap)
-                r, c = np.nonzero(low <= bound[:, None] * slack + 1e-9)
-                chunks = np.ceil(counts[c] / chunk).astype(int)
-                rep = np.repeat(np.arange(len(r)), chunks)
-                part = np.concatenate([np.arange(m) for m in chunks]) if len(chunks) else np.array([], dtype=int)
-                take = pdf.iloc[at[r[rep]]]
-                yield pd.DataFrame({
-                    "fit": take["fit"].to_numpy(), "row_id": take["row_id"].to_numpy(), "z": take["z"].to_numpy(),
-                    "cell": ids[c[rep]].astype("int32"), "part": part.astype("int32"),
-                })
-
-    def literal(mapping: dict, key: Column) -> Column:
-        return F.element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), key)
-
-    block = F.pmod(F.xxhash64("row_id", F.lit(1)), literal(blocks, F.col("fit"))).cast("int")
-    asked = test.select("fit", "row_id", "z").mapInPandas(
-        visits, f"fit bigint, row_id {test_id}, z array<double>, cell int, part int").withColumn("block", block)
-    parts_of = stats.select("fit", "cell", F.ceil(F.col("n") / chunk).alias("_parts"))
-    own = F.pmod(F.xxhash64("row_id", F.lit(2)), F.col("_parts")).cast("int")
-    needed = asked.groupBy("fit", "cell", "part", "block").count().select(
-        F.col("fit").alias("_fit"), F.col("cell").alias("_cell"), F.col("part").alias("_part"), F.col("block").alias("wanted"))
-    held = (
-        celled.join(F.broadcast(parts_of), ["fit", "cell"])  # fits x pivots rows
-        .withColumn("part", own)
-        .join(needed, (F.col("fit") == F.col("_fit")) & (F.col("cell") == F.col("_cell")) & (F.col("part") == F.col("_part")))
-        .select("fit", "cell", "part", F.col("wanted").alias("block"), "row_id", "z", "y")
-    )
-    keys = ["fit", "cell", "part", "block"]
-
-    def local_best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = ["fit", "row_id", "d", "nid", "y"]
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=cols)
-        right = right.sort_values("row_id")
-        zt, zr = np.stack(left["z"].to_numpy()), np.stack(right["z"].to_numpy())
-        ids, ys = right["row_id"].to_numpy(), right["y"].to_numpy()
-        kk = min(k, len(right))
-        norms = (zr * zr).sum(1)
-        out = []
-        step = max(1, 4_000_000 // len(zr))
-        for s in range(0, len(zt), step):
-            q = zt[s:s + step]
-            own = (q * q).sum(1)
-            rough = own[:, None] + norms[None, :] - 2.0 * q @ zr.T
-            # The fast form is inexact: keep all within its error of the k-th, then measure those exactly.
-            kth = np.partition(rough, kk - 1, axis=1)[:, kk - 1]
-            r, c = np.nonzero(rough <= (kth + 1e-9 * (own + norms.max()) + 1e-9)[:, None])
-            d = np.concatenate([
-                np.sqrt(((q[r[i:i + 100_000]] - zr[c[i:i + 100_000]]) ** 2).sum(1)) for i in range(0, len(r), 100_000)])
-            d = np.round(d, digits)
-            order = np.lexsort((c, d, r))
-            r, c, d = r[order], c[order], d[order]
-            rank = np.arange(len(r)) - np.searchsorted(r, r)
-            top_k = rank < kk
-            r, c, d = r[top_k], c[top_k], d[top_k]
-            out.append(pd.DataFrame({
-                "fit": left["fit"].iloc[0], "row_id": left["row_id"].to_numpy()[s + r], "d": d, "nid": ids[c], "y": ys[c]}))
-        return pd.concat(out)[cols]
-
-    candidates = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(
-        local_best, f"fit bigint, row_id {test_id}, d double, nid {id_type}, y double")
-    best = F.slice(F.sort_array(F.collect_list(F.struct("d", "nid", "y"))), 1, k)
-    # at most k candidates per visited chunk
-    merged = candidates.groupBy("fit", "row_id").agg(best.alias("best"))
-    total = F.aggregate("best", F.lit(0.0), lambda acc, b: acc + b["y"])
-    return merged.select("fit", "row_id", (total / F.size("best")).alias("knn"))
+    once = (drawn(train.select("fit", "row_id", vec, "y"), most).groupBy("row_id")
+            .agg(F.first("_h").alias("_h"), F.first(vec).alias(vec), F.first("y").cast("double").alias("y"), F.sort_array(F.collect_set("fit")).alias("fits")))
+    once = materialise(once, "neighbours")
+    size = once.agg(F.sum(8 * (F.size(vec) + F.size("fits")) + 64)).first()[0] or 0
+    if size > limit:
+        raise ValueError(f"the neighbour model takes {size} bytes, {limit} may be sent: draw fewer rows a fit (now {most})")
+    table = once.orderBy("row_id").toArrow()
+    hashes = np.array(table["_h"].to_pylist(), dtype=object)
+    fits, sizes = table["fits"].combine_chunks(), None
+    sizes = np.diff(fits.offsets.to_numpy()) if len(table) else np.zeros(0, int)
+    place, of = np.repeat(np.arange(len(table)), sizes), fits.flatten().to_numpy(zero_copy_only=False)
+    pieces = {int(f): place[of == f] for f in np.unique(of)}
+    members = {}
+    for fit, own in (parts or {f: [f] for f in pieces}).items():
+        at = np.concatenate([pieces[c] for c in own if c in pieces] or [np.zeros(0, int)]).astype(int)
+        if len(at) > most:
+            at = at[np.lexsort((at, hashes[at]))[:most]]
+        if len(at):
+            members[fit] = np.sort(at)
+    return Neighbours(_matrix(table[vec]), table["y"].to_numpy(), members)
+
+
+def mean_of_nearest(asked: np.ndarray, rows: np.ndarray, y: np.ndarray, k: int, digits: int) -> np.ndarray:
+    """Mean y of the k rows nearest to each row of ``asked``; distances rounded to ``digits``, ties to the earlier row.
+
+    Distances come from one matrix product a block. In floating point its error is below (p + 4) * 2^-52 * (|a|^2 + |b|^2) for
+    vectors of p numbers, so all rows within twice that of the k-th (and within the rounding of ties) are measured again, exactly.
+    """
+    k, width = min(k, len(rows)), rows.shape[1]
+    norms = (rows * rows).sum(axis=1)
+    out, step = np.empty(len(asked)), max(1, BLOCK // len(rows))
+    for s in range(0, len(asked), step):
+        q = asked[s:s + step]
+        own = (q * q).sum(axis=1)
+        rough = own[:, None] + norms[None, :] - 2.0 * q @ rows.T
+        kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+        error = (width + 4) * 2.0 ** -51 * (own + norms.max())
+        # two distances that round alike differ by one unit of the last digit at most
+        unit = 10.0 ** -digits
+        ties = 2 * unit * np.sqrt(np.maximum(kth + error, 0.0)) + unit * unit
+        at, near = np.nonzero(rough <= (kth + error + ties)[:, None])
+        d = np.concatenate([np.sqrt(((q[at[i:i + 100_000]] - rows[near[i:i + 100_000]]) ** 2).sum(axis=1)) for i in range(0, len(at), 100_000)])
+        order = np.lexsort((near, np.round(d, digits), at))
+        at, near = at[order], near[order]
+        first = np.searchsorted(at, np.arange(len(q)))
+        out[s:s + step] = y[near[first[:, None] + np.arange(k)]].mean(axis=1)
+    return out
 
 
-def committee_scores(train: DataFrame, test: DataFrame, width: int, alpha: float = 1000.0, k: int = 7,
-                     used: dict[int, np.ndarray] | None = None, pieces: DataFrame | None = None,
-                     parts: dict[int, list[int]] | None = None) -> DataFrame:
-    """(fit, row_id, ridge, knn, score) of every test row under its fit; score is their mean.
+def nearest_targets(train: DataFrame, test: DataFrame, k: int = 7, digits: int = 10, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(fit, row_id, knn): mean target of the k nearest of the drawn training rows; ties go to the lower row_id.
 
-    ``pieces`` and ``parts`` let the ridge moments be summed from disjoint pieces (see ``fit_ridge``).
+    ``train`` holds (fit, row_id, z, y), ``test`` (fit, row_id, z). Test rows are scored where they lie and never shuffled; those of
+    a fit without training rows are left out. A row of ``train`` that two fits share has one z here.
     """
-    params = fit_ridge(train if pieces is None else pieces, width, alpha, used, parts)
-    known = F.col("fit").isin(*params) if params else F.lit(False)
-    scored = materialise(apply_ridge(test.where(known), params), "ridge")
-    neighbours = nearest_targets(scale_rows(train.where(known), params), scored.select("fit", "row_id", "z"), k)
-    return (
-        scored.select("fit", "row_id", "ridge").join(neighbours, ["fit", "row_id"])
-        .withColumn("score", (F.col("ridge") + F.col("knn")) / 2)
-    )
+    sent = test.sparkSession.sparkContext.broadcast(neighbour_rows(train, None, fit_rows, vec="z"))  # at most MODEL_BYTES
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            z, fits = _matrix(batch["z"]) if len(batch) else None, batch["fit"].to_numpy()
+            knn = np.full(len(batch), np.nan)
+            for fit in np.unique(fits):
+                at, members = np.flatnonzero(fits == fit), model.members.get(int(fit))
+                if members is not None:
+                    knn[at] = mean_of_nearest(z[at], model.rows[members], model.y[members], k, digits)
+            known = pa.array(np.isin(fits, list(model.members)))
+            yield pa.RecordBatch.from_arrays([batch["fit"], batch["row_id"], pa.array(knn)], ["fit", "row_id", "knn"]).filter(known)
+
+    id_type = test.schema["row_id"].dataType.simpleString()
+    return test.select("fit", "row_id", "z").mapInArrow(score, f"fit bigint, row_id {id_type}, knn double")
+
+
+def committee_scores(train: DataFrame, test: DataFrame, width: int, alpha: float = 1000.0, k: int = 7,
+                     used: dict[int, np.ndarray] | None = None, parts: dict[int, list[int]] | None = None,
+                     fit_rows: int = FIT_ROWS, digits: int = 10) -> DataFrame:
+    """``test`` (fit, vec, any other columns) without vec, with ridge, knn and their mean, score.
+
+    Ridge moments cover all rows of ``train`` (fit, row_id, vec, y); neighbours come from at most ``fit_rows`` drawn rows a fit.
+    With ``parts`` the fit column of ``train`` names disjoint pieces, and a fit is made of several of them. Both models go to the
+    tasks, and each test row is scored where it lies: no shuffle and no join, whatever their number. Rows of fits without training
+    rows are left out.
+    """
+    params = fit_ridge(train, width, alpha, used, parts)
+    model = neighbour_rows(train, parts, fit_rows)
+    sent = test.sparkSession.sparkContext.broadcast((params, model))  # at most MODEL_BYTES, and p numbers a fit
+    kept = [f for f in test.schema.fields if f.name != "vec"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        params, model = sent.value
+        for batch in batches:
+            fits, ridge, knn = batch["fit"].to_numpy(), np.full(len(batch), np.nan), np.full(len(batch), np.nan)
+            vec = _matrix(batch["vec"]) if len(batch) else None
+            for fit in np.unique(fits):
+                at, own, members = np.flatnonzero(fits == fit), params.get(int(fit)), model.members.get(int(fit))
+                if own is None or members is None:
+                    continue
+                z = (vec[at] - own.mean) * own.inv_sd
+                ridge[at] = z @ own.coef + own.intercept
+                knn[at] = mean_of_nearest(z, (model.rows[members] - own.mean) * own.inv_sd, model.y[members], k, digits)
+            known = pa.array(np.isin(fits, list(params.keys() & model.members.keys())))
+            columns = [batch[f.name] for f in kept] + [pa.array(ridge), pa.array(knn), pa.array((ridge + knn) / 2)]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + ["ridge", "knn", "score"]).filter(known)
+
+    extra = [T.StructField(c, T.DoubleType()) for c in ("ridge", "knn", "score")]
+    return test.mapInArrow(score, T.StructType(kept + extra))

@@ -431,7 +431,21 @@ def _(spark, d):
     rows = river(spark, d, RIVER_FEATURES)
     params = CM.fit_ridge(rows.where("yr <= 1998"), len(RIVER_FEATURES))
     train = CM.scale_rows(rows.where("yr <= 1998"), params)
-    out = CM.nearest_targets(train, CM.scale_rows(rows.where("yr > 1998"), params, ()), 3, pivots=8, chunk=16)
+    out = CM.nearest_targets(train, CM.scale_rows(rows.where("yr > 1998"), params, ()), 3)
+    return tidy(out.select(F.col("row_id").alias("symbol"), "knn"))
+
+
+DRAWN = 64
+
+
+@query("m02_knn_drawn", compose(_KNN.replace("k as (", f"""dr as (select symbol nid from z where tr order by md5(symbol), symbol limit {DRAWN}),
+    k as (""").replace("rn from p)", "rn from p join dr using (nid))") + f" select symbol, {rd('avg(y)')} knn from k where rn<=7 group by 1", "river"))
+def _(spark, d):
+    """The neighbour model on its draw: with a bound below the number of labelled rows, SQL restates which rows it keeps."""
+    rows = river(spark, d, RIVER_FEATURES)
+    params = CM.fit_ridge(rows.where("yr <= 1998"), len(RIVER_FEATURES))
+    train = CM.scale_rows(rows.where("yr <= 1998"), params)
+    out = CM.nearest_targets(train, CM.scale_rows(rows.where("yr > 1998"), params, ()), 7, fit_rows=DRAWN)
     return tidy(out.select(F.col("row_id").alias("symbol"), "knn"))
 
 

@@ -77,19 +77,17 @@ def _scored_folds(rows: DataFrame, plan: FoldPlan, features: list[str], variants
     final = splits + 1
     names = list(variants)
 
-    def keyed(df: DataFrame) -> DataFrame:
-        v = F.explode(F.array(*[F.lit(i) for i in range(len(names))]))
-        return df.withColumn("_v", v).withColumn(
-            "fit", (F.col("_v") * n_folds * 10 + F.col("fold_id") * 10 + F.col("_k")).cast("bigint"))
-
     b = F.col("block")
-    fit_rows = keyed(train.withColumn("_k", F.explode(F.sequence(b + 1, F.lit(final)))))
     oof_rows = train.where(b >= 1).withColumns({"_k": b, "part": F.lit("oof")})
     test_rows = test.withColumns({"_k": F.lit(final), "part": F.lit("test")})
-    ask = keyed(oof_rows.unionByName(test_rows, allowMissingColumns=True))
+    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_v") + 1)
+    ask = (oof_rows.unionByName(test_rows, allowMissingColumns=True)
+           .withColumn("_v", F.explode(F.array(*[F.lit(i) for i in range(len(names))])))
+           .withColumns({"fit": (F.col("_v") * n_folds * 10 + F.col("fold_id") * 10 + F.col("_k")).cast("bigint"), "variant": label})
+           .withColumn("pf", F.floor(F.col("fit") / 10)))
 
-    # Ridge moments are taken once per fold and block; a fit sums the blocks it trains on.
-    pieces = train.withColumn("fit", (F.col("fold_id") * 10 + b).cast("bigint")).select("fit", "vec", "y")
+    # Rows are taken once per fold and block; a fit sums the moments and unites the draws of the blocks it trains on.
+    pieces = train.withColumn("fit", (F.col("fold_id") * 10 + b).cast("bigint")).select("fit", "row_id", "vec", "y")
     used, parts = {}, {}
     for i, name in enumerate(names):
         mask = np.array([c in variants[name] or c not in V1_COLS for c in features])
@@ -97,13 +95,9 @@ def _scored_folds(rows: DataFrame, plan: FoldPlan, features: list[str], variants
             for k in range(1, final + 1):
                 fit = i * n_folds * 10 + f * 10 + k
                 used[fit], parts[fit] = mask, [f * 10 + j for j in range(k)]
-    scores = CM.committee_scores(
-        fit_rows.select("fit", "row_id", "vec", "y"), ask.select("fit", "row_id", "vec"), len(features), plan.alpha, plan.k, used, pieces, parts)
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_v") + 1)
-    facts = ask.select("fit", "row_id", "part", label.alias("variant"), "fold_id", "test_year", "asof_date", "sector",
-                       "y", "adverse_20", "severe_30")
-    return materialise(facts.join(scores.select("fit", "row_id", "score"), ["fit", "row_id"])
-                       .withColumn("pf", F.floor(F.col("fit") / 10)), "scores")
+    asked = ask.select("fit", "pf", "row_id", "part", "variant", "fold_id", "test_year", "asof_date", "sector", "y", "adverse_20", "severe_30", "vec")
+    scores = CM.committee_scores(pieces, asked, len(features), plan.alpha, plan.k, used, parts)
+    return materialise(scores.drop("ridge", "knn"), "scores")
 
 
 def evaluate_folds_detailed(snapshots: DataFrame, plan: FoldPlan = FoldPlan(), features: list[str] | None = None,
@@ -148,21 +142,16 @@ def ablation_report(snapshots: DataFrame, plan: FoldPlan = FoldPlan(), **kw) ->
 def oof_scores(rows: DataFrame, width: int, n_splits: int = 3, alpha: float = 1000.0, k: int = 7) -> DataFrame:
     """Out-of-fold committee scores over expanding blocks: (row_id, ..., fold_id, ridge, knn, score)."""
     blocks = materialise(temporal_blocks(rows, ["asof_date", "row_id"], n_splits + 1), "blocks")
-    train, test = K.expanding_members(blocks, "block", n_splits, "fit")
-    scores = CM.committee_scores(train.withColumn("fit", F.col("fit").cast("bigint")).select("fit", "row_id", "vec", "y"),
-                                 test.withColumn("fit", F.col("fit").cast("bigint")).select("fit", "row_id", "vec"), width, alpha, k)
-    return (
-        scores.join(blocks.drop("vec", "block"), "row_id")
-        .withColumn("fold_id", F.col("fit").cast("int")).drop("fit")
-    )
+    keyed = blocks.withColumn("fit", F.col("block").cast("bigint")).drop("block")
+    parts = {k: list(range(k)) for k in range(1, n_splits + 1)}
+    scores = CM.committee_scores(keyed.select("fit", "row_id", "vec", "y"), keyed.where("fit >= 1"), width, alpha, k, parts=parts)
+    return scores.withColumn("fold_id", F.col("fit").cast("int")).drop("fit")
 
 
 def committee_on_split(rows: DataFrame, is_train, width: int, alpha: float = 1000.0, k: int = 7) -> DataFrame:
     """Scores of every row (train and held out) under the committee fitted on the ``is_train`` rows."""
     one = rows.withColumn("fit", F.lit(0).cast("bigint"))
-    scores = CM.committee_scores(one.where(is_train).select("fit", "row_id", "vec", "y"),
-                                 one.select("fit", "row_id", "vec"), width, alpha, k)
-    return rows.drop("vec").join(scores.drop("fit"), "row_id")
+    return CM.committee_scores(one.where(is_train).select("fit", "row_id", "vec", "y"), one, width, alpha, k).drop("fit")
 
 
 def challengers(snapshots_split: DataFrame, features: list[str], n_splits: int = 3, n_cal_folds: int = 3,

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -11,6 +13,7 @@ from firstprint.operators import committee as CM
 from firstprint.operators import ordering as O
 from firstprint.operators import policy as P
 from firstprint.plans import evaluation as E
+from firstprint.session import materialise
 from firstprint.sources import fixtures as fx
 
 
@@ -126,10 +129,52 @@ def test_ridge_and_neighbours_exact_with_hot_duplicates(spark):
     assert np.abs(got["ridge"] - (zt @ coef + y.mean())).max() < 1e-9
     d = np.round(np.sqrt(((zt[:, None] - z[None]) ** 2).sum(2)), 10)
     want = y[np.argsort(d, 1, kind="stable")[:, :7]].mean(1)
-    for pivots, chunk in ((64, 4096), (16, 50)):
-        knn = CM.nearest_targets(CM.scale_rows(train, params), rows.select("fit", "row_id", "z"), 7, pivots=pivots, chunk=chunk)
-        found = knn.toPandas().sort_values("row_id")
-        assert len(found) == m and np.abs(found["knn"].to_numpy() - want).max() < 1e-12
+    scaled, asked = CM.scale_rows(train, params), rows.select("fit", "row_id", "z")
+    found = CM.nearest_targets(scaled, asked, 7).toPandas().sort_values("row_id")
+    assert len(found) == m and np.abs(found["knn"].to_numpy() - want).max() < 1e-12
+    kept = sorted(range(n), key=lambda i: (hashlib.md5(b"r%04d" % i).hexdigest(), i))[:150]
+    few = CM.nearest_targets(scaled, asked, 7, fit_rows=150).toPandas().sort_values("row_id")
+    kept.sort()
+    want = y[kept][np.argsort(d[:, kept], 1, kind="stable")[:, :7]].mean(1)
+    assert np.abs(few["knn"].to_numpy() - want).max() < 1e-12
+    with pytest.raises(ValueError):
+        CM.neighbour_rows(train, limit=1000)
+
+
+def test_nearest_means_with_ties_offsets_and_blocks(monkeypatch):
+    """One-hot rows (all at one distance), a large common offset and tiny blocks: as measured one by one."""
+    monkeypatch.setattr(CM, "BLOCK", 500)
+    rng = np.random.default_rng(2)
+    for rows in (np.eye(60), rng.normal(size=(200, 9)) + 1e6, np.repeat(rng.normal(size=(5, 4)), 30, axis=0), rng.normal(size=(4, 3)) * 1e-9):
+        y, asked = rng.normal(size=len(rows)), np.r_[rows[:7], rng.normal(size=(5, rows.shape[1]))]
+        d = np.round(np.sqrt(((asked[:, None] - rows[None]) ** 2).sum(2)), 10)
+        want = np.take(y, np.argsort(d, 1, kind="stable")[:, :7]).mean(1)
+        assert CM.mean_of_nearest(asked, rows, y, 7, 10) == pytest.approx(want, abs=1e-12)
+
+
+def test_draws_of_pieces_unite_to_the_draw_of_the_whole(spark):
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"fit": rng.integers(0, 3, 400), "row_id": [f"k{i}" for i in range(400)], "vec": rng.normal(size=(400, 2)).tolist(), "y": rng.normal(size=400)})
+    pieces = spark.createDataFrame(frame)
+    united = CM.neighbour_rows(pieces, {9: [0, 1, 2], 4: [0]}, most=40)
+    whole = CM.neighbour_rows(pieces.withColumn("fit", F.lit(9).cast("bigint")), most=40)
+    assert united.rows[united.members[9]] == pytest.approx(whole.rows[whole.members[9]])
+    assert len(united.members[4]) == 40 and CM.neighbour_rows(pieces.limit(0)).members == {}
+
+
+def test_committee_scores_rows_where_they_lie(spark):
+    """No exchange, no join between the rows to be scored and their scores; other columns go along."""
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"fit": 0, "row_id": [f"k{i}" for i in range(80)], "vec": rng.normal(size=(80, 3)).tolist(), "y": rng.normal(size=80)})
+    train = spark.createDataFrame(frame)
+    asked = train.select("fit", "row_id", "vec", F.lit("x").alias("note")).unionByName(
+        train.limit(3).select(F.lit(5).cast("bigint").alias("fit"), "row_id", "vec", F.lit("unknown").alias("note")))
+    path = materialise(asked, "asked")
+    got = CM.committee_scores(train, path, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "MapInArrow" in plan
+    rows = got.toPandas()
+    assert len(rows) == 80 and set(rows["note"]) == {"x"} and np.allclose(rows["score"], (rows["ridge"] + rows["knn"]) / 2)
 
 
 def test_ridge_equals_spark_ml_and_masks_features(spark):
