@@ -11,7 +11,7 @@ import sys
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +24,12 @@ from firstprint.session import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 METHODS = ("platt", "isotonic", "binned")
-#: Levels and replicates of one task that deals draws.
+#: Levels of one task that deals draws, and replicates it holds at once.
 LEVELS, REPLICATES = 4096, 50
+#: Rounds of pooling whole runs before single steps; ranges merged by one task.
+PASSES, FAN = 64, 16
+#: Segments in a packed block, and bytes of a model that may be broadcast.
+BLOCK, BROADCAST_BYTES = 256, 64 << 20
 
 
 def weight_of(weight: str | None):
@@ -89,50 +93,77 @@ def apply_platt(df: DataFrame, model: DataFrame, score: str, group: str, name: s
 # ---- isotonic -----------------------------------------------------------------------------------
 
 def _pool(lo, hi, n, pos):
-    """Pools neighbours whose means fall; input sorted by score."""
+    """Pools neighbours whose means do not rise; arrays sorted by score, and so is the result.
+
+    Whole falling runs are pooled at once. What many passes leave open (a long cascade) is settled one by one.
+    """
+    lo, hi, n, pos = (np.asarray(a, float) for a in (lo, hi, n, pos))
+    for _ in range(PASSES):
+        falls = pos[:-1] * n[1:] >= pos[1:] * n[:-1]
+        if not falls.any():
+            return lo, hi, n, pos
+        start = np.flatnonzero(np.r_[True, ~falls])
+        end = np.r_[start[1:], len(n)] - 1
+        lo, hi, n, pos = lo[start], hi[end], np.add.reduceat(n, start), np.add.reduceat(pos, start)
     out = []
-    for a, b, m, s in zip(lo, hi, n, pos):
-        out.append([a, b, m, s])
+    for row in zip(lo, hi, n, pos):
+        out.append(list(row))
         while len(out) > 1 and out[-2][3] * out[-1][2] >= out[-1][3] * out[-2][2]:
-            a2, b2, m2, s2 = out.pop()
+            _, b2, m2, s2 = out.pop()
             out[-1][1], out[-1][2], out[-1][3] = b2, out[-1][2] + m2, out[-1][3] + s2
-    return out
+    return tuple(np.array(c, float) for c in zip(*out))
+
+
+def merge_pools(pools: DataFrame, group: str, parts: int) -> DataFrame:
+    """(group, lo, hi, n, pos) from pools of ``_part``s, which are consecutive score ranges of about ``parts`` numbers.
+
+    A merge tree: FAN neighbouring ranges are pooled into one until each group is one list. Pooling neighbours first
+    cannot change the result, so a task only ever holds what FAN pooled ranges leave over.
+    """
+    types = f"`{group}` {pools.schema[group].dataType.simpleString()}, _part long, lo double, hi double, n double, pos double"
+
+    def merge(key, pdf):
+        pdf = pdf.sort_values("lo")
+        lo, hi, n, pos = _pool(pdf["lo"], pdf["hi"], pdf["n"], pdf["pos"])
+        return pd.DataFrame({group: key[0], "_part": key[1], "lo": lo, "hi": hi, "n": n, "pos": pos})
+
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        pools = pools.withColumn("_part", F.floor(F.col("_part") / FAN)).groupBy(group, "_part").applyInPandas(merge, types)
+    return pools.withColumn("_part", F.lit(0).cast("bigint")).groupBy(group, "_part").applyInPandas(merge, types).drop("_part")
 
 
 def isotonic_pools(df: DataFrame, score: str, label: str, group: str, weight: str | None = None) -> DataFrame:
     """(group, lo, hi, n, pos): the pools of the increasing least-squares fit, value = pos / n.
 
-    Two rounds: contiguous score ranges are pooled where they lie, then each group's surviving
-    pools are pooled once more. Pooling neighbours first cannot change the result, and with 0/1
-    labels a group of N rows keeps at most O(N^(2/3)) pools, so the second round is small even
-    when one group holds most rows.
+    Contiguous score ranges are pooled where they lie, then merged along a tree (``merge_pools``). With 0/1 labels a
+    group of N rows keeps at most O(N^(2/3)) pools, so the last merge is small even when one group holds most rows.
     """
     levels = score_levels(df, score, label, group, weight)
-    key_type = levels.schema[group].dataType.simpleString()
-    schema = f"`{group}` {key_type}, lo double, hi double, n double, pos double"
+    schema = f"`{group}` {levels.schema[group].dataType.simpleString()}, _part long, lo double, hi double, n double, pos double"
 
     def pool_ranges(batches):
-        carry: dict = {}
+        part, held = TaskContext.get().partitionId(), None
+
+        def frame():
+            return pd.DataFrame({group: held[0], "_part": part, **dict(zip(("lo", "hi", "n", "pos"), held[1]))})
+
         for pdf in batches:
-            for g, part in pdf.groupby(group, sort=False):
-                held = carry.get(g)
-                rows = [part["score"], part["score"], part["n"], part["pos"]]
-                if held:
-                    rows = [list(col) + list(new) for col, new in zip(zip(*held), rows)]
-                carry[g] = _pool(*rows)
-        for g, pools in carry.items():
-            yield pd.DataFrame([[g, *p] for p in pools], columns=[group, "lo", "hi", "n", "pos"])
-
-    def pool_group(key, pdf):
-        pdf = pdf.sort_values("lo")
-        pools = _pool(pdf["lo"], pdf["hi"], pdf["n"], pdf["pos"])
-        return pd.DataFrame([[key[0], *p] for p in pools], columns=[group, "lo", "hi", "n", "pos"])
+            for g, rows in pdf.groupby(group, sort=False):
+                new = [rows[c].to_numpy(float) for c in ("score", "score", "n", "pos")]
+                if held and held[0] == g:
+                    new = [np.concatenate(both) for both in zip(held[1], new)]
+                elif held:
+                    yield frame()
+                held = (g, _pool(*new))
+        if held:
+            yield frame()
 
     local = (
         levels.repartitionByRange(group, "score").sortWithinPartitions(group, "score")
         .mapInPandas(pool_ranges, schema)
     )
-    return local.groupBy(group).applyInPandas(pool_group, schema)
+    return merge_pools(local, group, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def isotonic_segments(pools: DataFrame, group: str) -> DataFrame:
@@ -158,33 +189,47 @@ def isotonic_segments(pools: DataFrame, group: str) -> DataFrame:
     return spans.select(group, F.inline(F.array_compact(pieces)))
 
 
-def apply_isotonic(df: DataFrame, segments: DataFrame, score: str, group: str, name: str = "p", bins: int = 1024) -> DataFrame:
-    """Linear interpolation by a binned range join: rows meet only the segments of their score bin.
+def _first_at_least(sorted_array, x, size: int):
+    """0-based index of the first element that is >= x in an ascending array of at most ``size``: its length if none is.
 
-    Each group's finite span is cut into ``bins`` equal bins; a segment is listed in every bin it
-    touches, so a row finds exactly one match by equality on (group, bin) plus its bounds.
+    Binary search as an expression: descending powers of two are taken while the element before the step is below x.
     """
-    inf = float("inf")
-    finite = lambda c: F.when(F.abs(F.col(c)) != inf, F.col(c))
-    span = segments.groupBy(group).agg(F.min(finite("x1")).alias("_a"), F.max(finite("x0")).alias("_b"))
-
-    def bin_of(x):
-        width = F.col("_b") - F.col("_a")
-        raw = F.when(width > 0, (x - F.col("_a")) / width * bins).otherwise(0.0)
-        return F.floor(F.greatest(F.least(raw, F.lit(float(bins - 1))), F.lit(0.0)))
-
-    listed = (
-        segments.join(F.broadcast(span), group)  # one row per group
-        .withColumn("_bin", F.explode(F.sequence(bin_of(F.col("x0")), bin_of(F.col("x1")))))
-        .select(F.col(group).alias("_seg"), F.col("_bin").alias("_sb"), "x0", "x1", "p0", "p1")
-    )
-    s = F.col(score)
-    rows = df.join(F.broadcast(span), group).withColumn("_bin", bin_of(s)).drop("_a", "_b")
-    hit = (F.col(group) == F.col("_seg")) & (F.col("_bin") == F.col("_sb")) & (s > F.col("x0")) & (s <= F.col("x1"))
-    slope = F.when(F.col("p0") == F.col("p1"), F.col("p1")).otherwise(
-        F.col("p0") + (F.col("p1") - F.col("p0")) * (s - F.col("x0")) / (F.col("x1") - F.col("x0"))
-    )
-    return rows.join(listed, hit).withColumn(name, slope).drop("_bin", "_seg", "_sb", "x0", "x1", "p0", "p1")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(size.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(sorted_array, at + step - 1) < x, step).otherwise(0))
+
+
+def apply_isotonic(df: DataFrame, segments: DataFrame, score: str, group: str, name: str = "p", block: int = BLOCK) -> DataFrame:
+    """Linear interpolation inside the segment of each score, found by two binary searches.
+
+    The segments of a group, sorted, are packed into blocks of ``block``; the last bound of each block is an array per
+    group, so a row finds its block and then its segment in about log2 of their number steps, however unevenly the
+    scores lie. Blocks are broadcast if they fit into BROADCAST_BYTES, else joined on (group, block). Rows of a group
+    without segments are left out; a null or NaN score gives null.
+    """
+    placed = segments.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(group).orderBy("x1")) - 1) / block))
+    packed = materialise(
+        placed.groupBy(group, "_block").agg(F.sort_array(F.collect_list(F.struct("x1", "x0", "p0", "p1"))).alias("_segs"))
+        .withColumn("_ends", F.col("_segs.x1")), "segments")
+    tops = materialise(
+        packed.select(group, F.element_at("_ends", -1).alias("_top"))
+        .groupBy(group).agg(F.sort_array(F.collect_list("_top")).alias("_tops")), "tops")
+    n_blocks, total, most = packed.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.size("_segs")), F.lit(0)), F.coalesce(F.max("_block"), F.lit(0))).first()
+    s = F.col(score).cast("double")
+
+    def hinted(side, size):
+        return F.broadcast(side) if size <= BROADCAST_BYTES else side
+
+    at = hinted(tops.withColumnRenamed(group, "_g"), 8 * n_blocks)
+    rows = df.join(at, F.col(group) == F.col("_g")).withColumn("_b", _first_at_least(F.col("_tops"), s, int(most) + 1).cast("bigint")).drop("_g", "_tops")
+    # a null or NaN score has no segment: it takes the first block and gets null there
+    rows = rows.withColumn("_b", F.when(s.isNull() | F.isnan(s), 0).otherwise(F.col("_b")).cast("bigint"))
+    blocks = hinted(packed.withColumnRenamed(group, "_g"), 40 * total)
+    found = rows.join(blocks, (F.col(group) == F.col("_g")) & (F.col("_b") == F.col("_block"))).withColumn(
+        "_s", F.get("_segs", _first_at_least(F.col("_ends"), s, block)))
+    x0, x1, p0, p1 = (F.col(f"_s.{c}") for c in ("x0", "x1", "p0", "p1"))
+    value = F.when(s.isNull() | F.isnan(s), F.lit(None)).when(p0 == p1, p1).otherwise(p0 + (p1 - p0) * (s - x0) / (x1 - x0))
+    return found.withColumn(name, value).drop("_b", "_g", "_block", "_segs", "_ends", "_s")
 
 
 # ---- binned --------------------------------------------------------------------------------------
@@ -325,71 +370,163 @@ def holdout_skills(train: DataFrame, val: DataFrame, score: str, label: str) ->
 
 # ---- bootstrap -------------------------------------------------------------------------------------
 
-def dealt(levels: DataFrame, keys: list[str], total: int, n_rep: int, seed: int, kind: str) -> DataFrame:
+def _share(cum, at, total, n_rep, seed, kind):
+    """Draws of each replicate that fall on chunk ``at``, and on the chunks before it.
+
+    The draws are halved from the whole down to the chunk. Each half has its own seed, so all tasks agree without asking.
+    """
+    a, b, n, before = 0, len(cum) - 1, np.full(n_rep, total, np.int64), np.zeros(n_rep, np.int64)
+    while b - a > 1:
+        mid, rng = (a + b) // 2, np.random.default_rng([seed, a, b])
+        first, rest = cum[mid] - cum[a], cum[b] - cum[mid]
+        left = rng.binomial(n, first / (first + rest)) if kind == "multinomial" else rng.hypergeometric(first, rest, n)
+        if at < mid:
+            b, n = mid, left
+        else:
+            a, n, before = mid, n - left, before + left
+    return n, before
+
+
+def dealt(levels: DataFrame, keys: list[str], total: int, n_rep: int, seed: int, kind: str,
+          whole: list[str] | None = None, summary=None, schema: str | None = None) -> DataFrame:
     """(rep, keys..., _c, times): in each of ``n_rep`` replicates, ``total`` draws dealt over levels of ``_c`` rows each.
 
     ``kind`` is "multinomial" (with replacement) or "multivariate_hypergeometric" (without; numpy takes fewer than 10^9
-    rows for it). The draws are dealt to chunks of LEVELS levels in key order, then inside each chunk, which is the same
-    distribution, so no draw exists as a row. Each (replicate, chunk) has its own seed: partitioning changes nothing.
+    rows for it). Levels are cut into chunks of about LEVELS in key order; rows equal in ``whole`` share a chunk. The
+    draws are halved down to chunks, then dealt inside each, which is the same distribution, so no draw exists as a row
+    and only the levels are shuffled, once. Chunks have their own seeds: partitioning changes nothing.
+
+    With ``summary(chunk, reps, before, levels, times)`` a task hands out what that returns (columns as in ``schema``)
+    for each slice of REPLICATES replicates: ``times`` has a row a replicate and a column a level, ``before`` counts the
+    draws of each replicate that fall on earlier chunks.
     """
     from firstprint.operators.ordering import global_position
 
-    spark = levels.sparkSession
-    placed = global_position(levels.select(*keys, "_c"), keys, None, "_pos")
-    placed = materialise(placed.withColumn("_chunk", F.floor(F.col("_pos") / LEVELS)), "levels")
-    sizes = np.array([r[1] for r in placed.groupBy("_chunk").agg(F.sum("_c")).orderBy("_chunk").collect()], np.int64)  # one row per LEVELS levels
+    placed = global_position(levels.select(*keys, "_c"), keys, None, "_pos").withColumn("_chunk", F.floor(F.col("_pos") / LEVELS))
+    if whole:  # a window holds the few levels that differ in the other keys only
+        placed = placed.withColumn("_chunk", F.min("_chunk").over(Window.partitionBy(*whole)))
+    placed = materialise(placed, "levels")
+    sizes = placed.groupBy("_chunk").agg(F.sum("_c").alias("_c")).orderBy("_chunk").collect()  # one row per LEVELS levels
+    index = {r["_chunk"]: i for i, r in enumerate(sizes)}
+    cum = np.cumsum([0, *[r["_c"] for r in sizes]], dtype=np.int64)
 
-    def deal(rng, n, counts):
-        if kind == "multinomial":
-            return rng.multinomial(n, counts / counts.sum())
-        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    def listed(chunk, reps, before, part, times):
+        out = pd.concat([part[[*keys, "_c"]]] * len(reps), ignore_index=True)
+        return out.assign(rep=np.repeat(reps, len(part)), times=times.ravel())[["rep", *keys, "_c", "times"]]
 
-    def to_chunks(batches):
-        for pdf in batches:
-            for rep in pdf["rep"]:
-                yield pd.DataFrame({"rep": rep, "_chunk": np.arange(len(sizes)),
-                                    "_drawn": deal(np.random.default_rng([seed, rep]), total, sizes) if len(sizes) else []})
-
-    def in_chunk(key, part, drawn):
-        part, drawn = part.sort_values("_pos"), drawn.sort_values("rep")
+    def in_chunk(key, part):
+        part = part.sort_values("_pos", ignore_index=True)
         counts = part["_c"].to_numpy(np.int64)
-        times = [deal(np.random.default_rng([seed, rep, key[0] + 1]), n, counts) for rep, n in zip(drawn["rep"], drawn["_drawn"])]
-        out = pd.concat([part[[*keys, "_c"]]] * len(drawn), ignore_index=True)
-        return out.assign(rep=np.repeat(drawn["rep"].to_numpy(), len(part)), times=np.concatenate(times))[["rep", *keys, "_c", "times"]]
-
-    batch = F.floor(F.col("rep") / REPLICATES)
-    per_chunk = spark.range(n_rep).select(F.col("id").cast("int").alias("rep")).mapInPandas(
-        to_chunks, "rep int, _chunk long, _drawn long").withColumn("_batch", batch)
-    copies = placed.withColumn("_batch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((n_rep - 1) // REPLICATES).cast("bigint"))))
+        drawn, before = _share(cum, index[key[0]], total, n_rep, seed, kind)
+        out = []
+        for at in range(0, n_rep, REPLICATES):
+            reps = np.arange(at, min(at + REPLICATES, n_rep))
+            rng = [np.random.default_rng([seed, r, key[0] + 1]) for r in reps]
+            if kind == "multinomial":
+                times = np.stack([g.multinomial(n, counts / counts.sum()) for g, n in zip(rng, drawn[reps])])
+            else:
+                times = np.stack([g.multivariate_hypergeometric(counts, n, method="marginals") for g, n in zip(rng, drawn[reps])])
+            out.append((summary or listed)(key[0], reps, before[reps], part, times))
+        return pd.concat(out, ignore_index=True)
+
     types = ", ".join(f"`{k}` {placed.schema[k].dataType.simpleString()}" for k in keys)
-    by = ["_chunk", "_batch"]
-    return copies.groupBy(*by).cogroup(per_chunk.groupBy(*by)).applyInPandas(in_chunk, f"rep int, {types}, _c long, times long")
+    return placed.groupBy("_chunk").applyInPandas(in_chunk, schema or f"rep int, {types}, _c long, times long")
 
 
-def resamples(df: DataFrame, n_boot: int, seed: int, order: list[str], keep: list[str]) -> DataFrame:
+def resamples(df: DataFrame, n_boot: int, seed: int, keep: list[str], **kw) -> DataFrame:
     """n_boot draws with replacement of the whole table: (rep, times, keep...), one row per distinct ``keep`` drawn.
 
-    Rows equal in ``keep`` are one level with a count, so no row order is needed: ``order`` plays no part.
+    Rows equal in ``keep`` are one level with a count, so no row order is needed. Levels with the same first column share
+    a chunk. ``summary`` and ``schema`` are those of ``dealt`` and replace the rows.
     """
     levels = df.groupBy(*keep).agg(F.count(F.lit(1)).alias("_c"))
-    n = df.count()
-    return dealt(levels, keep, n, n_boot, seed, "multinomial").where("times > 0").select("rep", "times", *keep)
+    got = dealt(levels, keep, df.count(), n_boot, seed, "multinomial", keep[:1], **kw)
+    return got if kw else got.where("times > 0").select("rep", "times", *keep)
+
+
+def _by_score(part, times, score, label):
+    """Distinct scores of a chunk, and per replicate how often each was drawn, at all and with outcome 1."""
+    scores = part[score].to_numpy(float)
+    start = np.flatnonzero(np.r_[True, scores[1:] != scores[:-1]])
+    return scores[start], np.add.reduceat(times, start, axis=1), np.add.reduceat(times * part[label].to_numpy(float), start, axis=1)
+
+
+def bootstrap_pools(df: DataFrame, score: str, label: str, n_boot: int, seed: int) -> DataFrame:
+    """(rep, lo, hi, n, pos): isotonic pools of every resample. Tasks pool what they deal, so no level leaves them."""
+    def pooled(chunk, reps, before, part, times):
+        scores, n, pos = _by_score(part, times, score, label)
+        frames = []
+        for i, rep in enumerate(reps):
+            drawn = n[i] > 0
+            if drawn.any():
+                lists = _pool(scores[drawn], scores[drawn], n[i, drawn], pos[i, drawn])
+                frames.append(pd.DataFrame({"rep": rep, "_part": chunk, **dict(zip(("lo", "hi", "n", "pos"), lists))}))
+        return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=["rep", "_part", "lo", "hi", "n", "pos"])
+
+    schema = "rep int, _part long, lo double, hi double, n double, pos double"
+    lists = materialise(resamples(df, n_boot, seed, [score, label], summary=pooled, schema=schema), "chunk-pools")
+    parts = lists.agg(F.coalesce(F.max("_part"), F.lit(0))).first()[0] + 1
+    return merge_pools(lists, "rep", parts)
+
+
+def bootstrap_bins(df: DataFrame, score: str, label: str, n_boot: int, seed: int, n_bins: int = 4, alpha: float = 1.0) -> DataFrame:
+    """(rep, v, n, pos): bins of the binned calibrator fitted on every resample, with their fitted value.
+
+    The draws are dealt twice with the same seeds: first the chunk that holds a wanted rank names its score, which gives
+    the quantile edges of every replicate; then each chunk counts its draws by bin. No level leaves its task.
+    """
+    total = df.count()
+    x = [(total - 1) * i / n_bins for i in range(1, n_bins)]
+    ranks = sorted({int(f(v)) for v in x for f in (np.floor, np.ceil)})
+
+    def at_ranks(chunk, reps, before, part, times):
+        scores, n, _ = _by_score(part, times, score, label)
+        ends = before[:, None] + np.cumsum(n, axis=1)
+        rows = [(rep, rank, scores[np.searchsorted(ends[i], rank, side="right")])
+                for i, rep in enumerate(reps) for rank in ranks if before[i] <= rank < ends[i, -1]]
+        return pd.DataFrame(rows, columns=["rep", "rank", "value"])
+
+    found = resamples(df, n_boot, seed, [score, label], summary=at_ranks, schema="rep int, rank long, value double")
+    edges = np.zeros((n_boot, n_bins - 1))
+    if total:
+        values = {(r["rep"], r["rank"]): r["value"] for r in found.collect()}  # at most two per edge and replicate
+        for i, v in enumerate(x):
+            f = v - np.floor(v)
+            for rep in range(n_boot):
+                a, b = values[rep, int(np.floor(v))], values[rep, int(np.ceil(v))]
+                edges[rep, i] = b - (b - a) * (1 - f) if f >= 0.5 else a + (b - a) * f
+
+    def by_bin(chunk, reps, before, part, times):
+        scores, n, pos = _by_score(part, times, score, label)
+        frames = []
+        for i, rep in enumerate(reps):
+            at = np.searchsorted(edges[rep], scores, side="right")
+            frames.append(pd.DataFrame({"rep": rep, "bin": np.arange(n_bins), "n": np.bincount(at, n[i], n_bins),
+                                        "pos": np.bincount(at, pos[i], n_bins)}))
+        return pd.concat(frames, ignore_index=True)
+
+    counted = resamples(df, n_boot, seed, [score, label], summary=by_bin, schema="rep int, bin int, n double, pos double")
+    wide = counted.groupBy("rep").agg(*[
+        F.coalesce(F.sum(F.when(F.col("bin") == i, F.col(c))), F.lit(0.0)).alias(f"_{c}{i}") for i in range(n_bins) for c in ("n", "pos")])
+    names = [f"_v{i}" for i in range(n_bins)]
+    rates = wide.withColumns({f"_v{i}": (F.col(f"_pos{i}") + alpha) / (F.col(f"_n{i}") + 2 * alpha) for i in range(n_bins)})
+    return _monotone_pass(rates, names, False).select("rep", F.inline(F.array(*[
+        F.struct(F.col(f"_v{i}").alias("v"), F.col(f"_n{i}").alias("n"), F.col(f"_pos{i}").alias("pos")) for i in range(n_bins)])))
 
 
 def bootstrap_skills(df: DataFrame, score: str, label: str, order: list[str], method: str,
                      n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """(rep, bss) of ``method`` refitted on and scored against each resample.
 
-    Resamples with a single outcome are left out. The fit is constant inside a pool or bin, so the
-    Brier score follows from pool sums and no row is scored individually.
+    Rows without a score or label take no part, resamples with a single outcome are left out. The fit is constant inside
+    a pool or bin, so the Brier score follows from their sums and no row is scored individually; what leaves a task are
+    pools or bins, not draws. ``order`` plays no part, as equal rows are one level.
     """
-    rows = resamples(df, n_boot, seed, order, [score, label])
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     if method == "isotonic":
-        sums = isotonic_pools(rows, score, label, "rep", "times").withColumn("v", F.col("pos") / F.col("n"))
+        sums = bootstrap_pools(rows, score, label, n_boot, seed).withColumn("v", F.col("pos") / F.col("n"))
     elif method == "binned":
-        rows = materialise(rows, "resamples")
-        model = materialise(fit_binned(rows, score, label, "rep", weight="times"), "bins")
-        sums = score_levels(apply_binned(rows, model, score, "rep", "v"), "v", label, "rep", "times").withColumnRenamed("score", "v")
+        sums = bootstrap_bins(rows, score, label, n_boot, seed)
     else:
         raise ValueError(f"bootstrap is defined for isotonic and binned, not {method!r}")
     v, n, pos = F.col("v"), F.col("n"), F.col("pos")

@@ -254,14 +254,14 @@ def test_permutations_keep_the_labels(spark, sf):
 def test_resamples_have_full_size(spark, sf):
     rows = scored(spark, sf).select("row_id", "p_tail", "adverse_20")
     n = rows.count()
-    got = K.resamples(rows, 4, 7, ["row_id"], ["p_tail", "adverse_20"]).groupBy("rep").agg(F.sum("times").alias("n")).collect()
+    got = K.resamples(rows, 4, 7, ["p_tail", "adverse_20"]).groupBy("rep").agg(F.sum("times").alias("n")).collect()
     assert sorted((r["rep"], r["n"]) for r in got) == [(i, n) for i in range(4)]
 
 
 def test_bootstrap_brier_from_pools(spark, sf):
     """With one replicate the pool-sum score equals scoring every row."""
     rows = scored(spark, sf).select("row_id", "p_tail", "adverse_20")
-    draws = K.resamples(rows, 1, 42, ["row_id"], ["p_tail", "adverse_20"]).select(
+    draws = K.resamples(rows, 1, 42, ["p_tail", "adverse_20"]).select(
         "rep", "p_tail", "adverse_20", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("x"))
     for method in ("isotonic", "binned"):
         pdf = K.fit_apply(method, draws, draws, "p_tail", "adverse_20", "rep").toPandas()
@@ -271,6 +271,80 @@ def test_bootstrap_brier_from_pools(spark, sf):
         assert got == pytest.approx(want)
 
 
+def test_bootstrap_over_several_chunks(spark, monkeypatch):
+    """Continuous scores in many chunks: each replicate equals a fit on its own draws, and few rows leave the tasks."""
+    monkeypatch.setattr(K, "LEVELS", 64)
+    monkeypatch.setattr(K, "FAN", 2)
+    rng = np.random.default_rng(8)
+    s = rng.random(1500)
+    df = spark.createDataFrame(pd.DataFrame({"s": np.r_[s, s[:200]], "y": (rng.random(1700) < np.r_[s, s[:200]]).astype(int)})).repartition(5)
+    draws = K.resamples(df, 6, 11, ["s", "y"]).toPandas()
+    assert (draws.groupby("rep")["times"].sum() == 1700).all()
+    want = {"isotonic": {}, "binned": {}}
+    for rep, part in draws.groupby("rep"):
+        one = spark.createDataFrame(part)
+        for method in want:
+            p = K.fit_apply(method, one, one, "s", "y", "rep", weight="times").toPandas()
+            mean = (p["y"] * p["times"]).sum() / 1700
+            want[method][rep] = 1 - ((p["p"] - p["y"]) ** 2 * p["times"]).sum() / 1700 / (mean * (1 - mean))
+        break  # one replicate against the row-wise fit; the others by their pools below
+    for method in want:
+        got = {r["rep"]: r["bss"] for r in K.bootstrap_skills(df, "s", "y", [], method, 6, 11).collect()}
+        assert len(got) == 6 and got[0] == pytest.approx(want[method][0])
+    pools = K.bootstrap_pools(df, "s", "y", 6, 11).toPandas()
+    for rep, part in draws.groupby("rep"):
+        levels = part.assign(pos=part["y"] * part["times"]).groupby("s", as_index=False)[["times", "pos"]].sum()
+        lo, hi, n, pos = K._pool(levels["s"], levels["s"], levels["times"], levels["pos"])
+        mine = pools[pools["rep"] == rep].sort_values("lo")
+        assert np.array_equal(mine[["lo", "hi", "n", "pos"]].to_numpy(), np.stack([lo, hi, n, pos], axis=1))
+    assert len(pools) < len(draws) / 10
+
+
+def test_bootstrap_shuffles_levels_once_whatever_the_replicates(spark):
+    """The plan of the draws has no table of replicates in it: levels meet their chunk, nothing else is exchanged."""
+    df = spark.createDataFrame([(i / 50, i % 2) for i in range(50)], "s double, y int")
+    plan = K.dealt(df.withColumn("_c", F.lit(1).cast("bigint")), ["s"], 50, 1000, 1, "multinomial", summary=lambda *a: None,
+                   schema="rep int")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Generate" not in plan
+
+
+def test_isotonic_outlier_many_ranges_and_null_scores(spark, monkeypatch):
+    """One far outlier and small blocks: no bin holds the rest; null and NaN scores get null; rows are neither lost nor doubled."""
+    monkeypatch.setattr(K, "FAN", 2)
+    rng = np.random.default_rng(3)
+    s = np.r_[rng.random(3000), 1e12]
+    y = (rng.random(3001) < np.minimum(s, 1)).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"g": 0, "s": s, "y": y})).repartition(7)
+    pools = K.isotonic_pools(df, "s", "y", "g")
+    order = np.argsort(s)
+    lo, hi, n, pos = K._pool(s[order], s[order], np.ones(3001), y[order])
+    got = pools.toPandas().sort_values("lo")
+    assert np.array_equal(got[["lo", "hi", "n", "pos"]].to_numpy(), np.stack([lo, hi, n, pos], axis=1))
+    ask = df.select("g", "s").unionByName(spark.createDataFrame([(0, None), (0, float("nan")), (0, float("-inf")), (0, float("inf")), (1, 0.5)], "g long, s double"))
+    segs = K.isotonic_segments(pools, "g")
+    xs = np.sort(np.r_[lo, hi[hi > lo]])
+    at = {v: p / m for v, m, p in zip(np.r_[lo, hi], np.r_[n, n], np.r_[pos, pos])}
+    ps = np.array([at[v] for v in xs])
+    want = np.interp(s, xs, ps)
+    for block, limit in ((4, 64 << 20), (1000, 64 << 20), (4, 0)):
+        monkeypatch.setattr(K, "BROADCAST_BYTES", limit)
+        out = K.apply_isotonic(ask, segs, "s", "g", block=block).toPandas()
+        assert len(out) == 3005 and set(out["g"]) == {0}
+        seen = out[np.isfinite(out["s"].astype(float))]
+        assert np.allclose(seen.sort_values("s")["p"], want[np.argsort(s)])
+        assert out["p"].isna().sum() == 2 and {ps[0], ps[-1]} <= set(out["p"].dropna())
+
+
+def test_pool_cascades_beyond_the_passes(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, n = np.arange(400.0), rng.integers(1, 6, 400).astype(float)
+    pos = np.minimum(n, rng.integers(0, 6, 400))
+    full = K._pool(x, x, n, pos)
+    monkeypatch.setattr(K, "PASSES", 1)
+    assert all(np.array_equal(a, b) for a, b in zip(full, K._pool(x, x, n, pos)))
+    assert (np.diff(full[3] / full[2]) > 0).all() and full[2].sum() == n.sum()
+
+
 def test_replicates_are_the_operators_own_number(spark, sf):
     from __spark_entry__ import queries
 
