@@ -206,30 +206,30 @@ def apply_isotonic(df: DataFrame, segments: DataFrame, score: str, group: str, n
     scores lie. Blocks are broadcast if they fit into BROADCAST_BYTES, else joined on (group, block). Rows of a group
     without segments are left out; a null or NaN score gives null.
     """
-    placed = segments.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(group).orderBy("x1")) - 1) / block))
+    placed = segments.withColumn("_iso_block", F.floor((F.row_number().over(Window.partitionBy(group).orderBy("x1")) - 1) / block))
     packed = materialise(
-        placed.groupBy(group, "_block").agg(F.sort_array(F.collect_list(F.struct("x1", "x0", "p0", "p1"))).alias("_segs"))
-        .withColumn("_ends", F.col("_segs.x1")), "segments")
+        placed.groupBy(group, "_iso_block").agg(F.sort_array(F.collect_list(F.struct("x1", "x0", "p0", "p1"))).alias("_iso_segs"))
+        .withColumn("_iso_ends", F.col("_iso_segs.x1")), "segments")
     tops = materialise(
-        packed.select(group, F.element_at("_ends", -1).alias("_top"))
-        .groupBy(group).agg(F.sort_array(F.collect_list("_top")).alias("_tops")), "tops")
+        packed.select(group, F.element_at("_iso_ends", -1).alias("_iso_top"))
+        .groupBy(group).agg(F.sort_array(F.collect_list("_iso_top")).alias("_iso_tops")), "tops")
     n_blocks, total, most = packed.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.size("_segs")), F.lit(0)), F.coalesce(F.max("_block"), F.lit(0))).first()
+        F.count(F.lit(1)), F.coalesce(F.sum(F.size("_iso_segs")), F.lit(0)), F.coalesce(F.max("_iso_block"), F.lit(0))).first()
     s = F.col(score).cast("double")
 
     def hinted(side, size):
         return F.broadcast(side) if size <= BROADCAST_BYTES else side
 
-    at = hinted(tops.withColumnRenamed(group, "_g"), 8 * n_blocks)
-    rows = df.join(at, F.col(group) == F.col("_g")).withColumn("_b", _first_at_least(F.col("_tops"), s, int(most) + 1).cast("bigint")).drop("_g", "_tops")
+    at = hinted(tops.withColumnRenamed(group, "_iso_g"), 8 * n_blocks)
+    rows = df.join(at, F.col(group) == F.col("_iso_g")).withColumn("_iso_b", _first_at_least(F.col("_iso_tops"), s, int(most) + 1).cast("bigint")).drop("_iso_g", "_iso_tops")
     # a null or NaN score has no segment: it takes the first block and gets null there
-    rows = rows.withColumn("_b", F.when(s.isNull() | F.isnan(s), 0).otherwise(F.col("_b")).cast("bigint"))
-    blocks = hinted(packed.withColumnRenamed(group, "_g"), 40 * total)
-    found = rows.join(blocks, (F.col(group) == F.col("_g")) & (F.col("_b") == F.col("_block"))).withColumn(
-        "_s", F.get("_segs", _first_at_least(F.col("_ends"), s, block)))
-    x0, x1, p0, p1 = (F.col(f"_s.{c}") for c in ("x0", "x1", "p0", "p1"))
+    rows = rows.withColumn("_iso_b", F.when(s.isNull() | F.isnan(s), 0).otherwise(F.col("_iso_b")).cast("bigint"))
+    blocks = hinted(packed.withColumnRenamed(group, "_iso_g"), 40 * total)
+    found = rows.join(blocks, (F.col(group) == F.col("_iso_g")) & (F.col("_iso_b") == F.col("_iso_block"))).withColumn(
+        "_iso_s", F.get("_iso_segs", _first_at_least(F.col("_iso_ends"), s, block)))
+    x0, x1, p0, p1 = (F.col(f"_iso_s.{c}") for c in ("x0", "x1", "p0", "p1"))
     value = F.when(s.isNull() | F.isnan(s), F.lit(None)).when(p0 == p1, p1).otherwise(p0 + (p1 - p0) * (s - x0) / (x1 - x0))
-    return found.withColumn(name, value).drop("_b", "_g", "_block", "_segs", "_ends", "_s")
+    return found.withColumn(name, value).drop("_iso_b", "_iso_g", "_iso_block", "_iso_segs", "_iso_ends", "_iso_s")
 
 
 # ---- binned --------------------------------------------------------------------------------------

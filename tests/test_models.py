@@ -321,6 +321,7 @@ def test_isotonic_outlier_many_ranges_and_null_scores(spark, monkeypatch):
     got = pools.toPandas().sort_values("lo")
     assert np.array_equal(got[["lo", "hi", "n", "pos"]].to_numpy(), np.stack([lo, hi, n, pos], axis=1))
     ask = df.select("g", "s").unionByName(spark.createDataFrame([(0, None), (0, float("nan")), (0, float("-inf")), (0, float("inf")), (1, 0.5)], "g long, s double"))
+    ask = ask.withColumns({c: F.lit(7) for c in ("_block", "_g", "_b", "_s", "lo", "x1")})  # columns of the caller stay
     segs = K.isotonic_segments(pools, "g")
     xs = np.sort(np.r_[lo, hi[hi > lo]])
     at = {v: p / m for v, m, p in zip(np.r_[lo, hi], np.r_[n, n], np.r_[pos, pos])}
@@ -329,7 +330,7 @@ def test_isotonic_outlier_many_ranges_and_null_scores(spark, monkeypatch):
     for block, limit in ((4, 64 << 20), (1000, 64 << 20), (4, 0)):
         monkeypatch.setattr(K, "BROADCAST_BYTES", limit)
         out = K.apply_isotonic(ask, segs, "s", "g", block=block).toPandas()
-        assert len(out) == 3005 and set(out["g"]) == {0}
+        assert len(out) == 3005 and set(out["g"]) == {0} and (out[["_block", "_g", "_b", "_s", "lo", "x1"]] == 7).all().all()
         seen = out[np.isfinite(out["s"].astype(float))]
         assert np.allclose(seen.sort_values("s")["p"], want[np.argsort(s)])
         assert out["p"].isna().sum() == 2 and {ps[0], ps[-1]} <= set(out["p"].dropna())
