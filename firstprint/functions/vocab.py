@@ -63,6 +63,9 @@ METADATA_FEATURES = (
     "preflop_s1_lead_days", "preflop_exchange_nyse", "preflop_exchange_nasdaq",
     "preflop_s1a_count", "preflop_days_since_last_amendment",
 )
+# columns of an earlier metadata run: dropped by prefix or name, but for the context columns
+GENERATED_PREFIXES = ("preflop_s1", "preflop_exchange", "preflop_sector_")
+CONTEXT_COLUMNS = ("preflop_sector_ipo_heat_90d", "preflop_sector_return_20d")
 
 NON_FEATURES = (
     "symbol", "street", "asof_date", "ipo_date", "sector",

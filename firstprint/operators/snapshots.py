@@ -9,6 +9,7 @@ from firstprint.functions import columns as X
 from firstprint.functions import vocab
 from firstprint.operators import bars as B
 from firstprint.operators import context as C
+from firstprint.operators.ordering import exact_quantiles
 
 STREET_FEATURES = vocab.DAILY_FEATURES + vocab.REGIME_FEATURES
 
@@ -155,14 +156,22 @@ def failure_reasons(audit: DataFrame) -> DataFrame:
     )
 
 
+def drop_matching(df: DataFrame, prefixes=(), names=(), keep=()) -> DataFrame:
+    """``df`` without the columns that start with one of ``prefixes`` or are in ``names``; those in ``keep`` stay.
+
+    Running it again changes nothing, and columns that are not there are no error.
+    """
+    return df.drop(*[c for c in df.columns if (c.startswith(tuple(prefixes)) or c in names) and c not in keep])
+
+
 def augment_with_metadata(snapshots: DataFrame, metadata: DataFrame) -> DataFrame:
     """Adds the metadata features (nulls filled) and the sector one-hots; safe to run again.
 
-    One metadata row per symbol: the earliest filing. The lead-day fill is the median over all
-    snapshot rows, an exact percentile over day counts, whose distinct values the calendar bounds.
+    One metadata row per symbol: the earliest filing. Columns of an earlier run go first, by pattern. The lead-day fill
+    is the median over all snapshot rows, an exact percentile over day counts, whose distinct values the calendar bounds.
     """
     one_hots = [f"preflop_sector_{s}" for s in vocab.ONE_HOT_SECTORS]
-    base = snapshots.drop(*[c for c in snapshots.columns if c in vocab.METADATA_FEATURES or c in one_hots])
+    base = drop_matching(snapshots, vocab.GENERATED_PREFIXES, vocab.METADATA_FEATURES, vocab.CONTEXT_COLUMNS)
     features = F.struct(*vocab.METADATA_FEATURES)
     per_symbol = (
         metadata.groupBy("symbol").agg(F.min_by(features, "s1_filing_date").alias("_m")).select("symbol", "_m.*")
@@ -186,7 +195,7 @@ def backfill_context(snapshots: DataFrame, listings: DataFrame, index_bars: Data
     calendar = C.index_calendar(index_bars)
     fresh = C.with_sector_heat(listings)
     fresh = C.with_pre_listing_stats(fresh, calendar, sector_index(F.col("sector")), "preflop_sector")
-    names = ["preflop_sector_ipo_heat_90d", "preflop_sector_return_20d"]
+    names = list(vocab.CONTEXT_COLUMNS)
     return (
         snapshots.drop(*names).join(fresh.select("symbol", *names), "symbol", "left")
         .withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in names})
@@ -196,15 +205,25 @@ def backfill_context(snapshots: DataFrame, listings: DataFrame, index_bars: Data
 def null_report(df: DataFrame, columns, spread: bool = False) -> DataFrame:
     """(column_name, nulls, mean) of numeric columns from one pass; ``spread`` adds median, min and max.
 
-    The median is an exact percentile over distinct values: for columns of counts, days and flags.
+    The exact medians of all columns come from one distributed order of their distinct values, so continuous columns of
+    any size will do. A column without values has a null median.
     """
+    columns = list(columns)
+
     def facts(c):
-        more = {"median": F.percentile(c, F.lit(0.5)), "min": F.min(c).cast("double"), "max": F.max(c).cast("double")} if spread else {}
+        more = {"min": F.min(c).cast("double"), "max": F.max(c).cast("double")} if spread else {}
         return {"nulls": F.count_if(F.col(c).isNull()), "mean": F.avg(c), **more}
 
     row = df.agg(*[F.struct(*[v.alias(n) for n, v in facts(c).items()]).alias(c) for c in columns])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}.{n}") for n in facts(c)]) for c in columns])
-    return row.select(F.inline(rows))
+    table = row.select(F.inline(rows))
+    if not spread:
+        return table
+    values = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])))
+    medians = exact_quantiles(values, "value", [0.5], ["column_name"]).select("column_name", F.col("quantiles")[0].alias("median"))
+    # one row per column
+    return table.join(F.broadcast(medians), "column_name", "left").select("column_name", "nulls", "mean", "median", "min", "max")
 
 
 def feature_columns(df: DataFrame, exclude=vocab.NON_FEATURES, drop=()) -> list[str]:

@@ -16,6 +16,7 @@ from firstprint.operators import universe as U
 from firstprint.plans.oracle import SECTOR_CASE, compose, contains_any, era_case, rd
 from firstprint.plans.registry import query, shared, tidy
 from firstprint.session import scratch_path
+from firstprint.sources import bar_store as BS
 from firstprint.sources import fixtures as fx
 from firstprint.sources import landing as L
 from firstprint.sources import tables as TB
@@ -168,6 +169,18 @@ def _(spark, d):
     return TB.ingest_bars(every, path, "1d")
 
 
+@query("s11_refresh_symbols", compose(f"""
+    select symbol, count(*) as rows, {rd("sum(case when right(symbol,1)='3' then close*2 else close end)", 6)} closes from bars group by 1""", "bars"))
+def _(spark, d):
+    """Every bar stored in two steps; then the symbols that end in 3 are replaced, in their buckets only."""
+    path = scratch_path(spark, "store")
+    every, third = bars(spark, d), F.right("symbol", F.lit(1)) == "3"
+    BS.ingest(every.where(third), path, "1d")
+    BS.ingest(every, path, "1d")
+    BS.ingest(every.where(third).withColumn("close", F.col("close") * 2), path, "1d", force_refresh=True)
+    return tidy(BS.read_store(spark, path, "1d").groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("closes")), 6)
+
+
 @query("s12_resume", compose("select symbol from lst where right(symbol,1)::int%3<>0", "lst"))
 def _(spark, d):
     path = scratch_path(spark, "processed")
@@ -399,6 +412,16 @@ def _(spark, d):
     return augmented(spark, d).select("symbol", "street", *vocab.METADATA_FEATURES, *one_hots)
 
 
+@query("p25_drop_generated", f"select *, false stale_left, true context_kept from ({_AUG})")
+def _(spark, d):
+    """Metadata columns over a table that has them already, wrong, with one that is no longer made: the table comes out right."""
+    one_hots = [f"preflop_sector_{s}" for s in vocab.ONE_HOT_SECTORS]
+    stale = augmented(spark, d).withColumns({c: F.lit(-9.0) for c in (*vocab.METADATA_FEATURES, *one_hots, "preflop_sector_retired")})
+    fresh = S.augment_with_metadata(stale, metadata(spark, d))
+    return fresh.select("symbol", "street", *vocab.METADATA_FEATURES, *one_hots, F.lit("preflop_sector_retired" in fresh.columns).alias("stale_left"),
+                        F.lit(set(vocab.CONTEXT_COLUMNS) <= set(fresh.columns)).alias("context_kept"))
+
+
 _FEATS = [*vocab.PREFLOP_FEATURES, *[f"{s.lower()}_{f}" for s in vocab.STREETS for f in S.STREET_FEATURES]]
 
 

@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from firstprint.functions import columns as X
+from firstprint.operators import snapshots as S
 from firstprint.operators import universe as U
 from firstprint.schemas import FILING_PAGE_SCHEMA, TICKER_FILE_SCHEMA
 from firstprint.session import scratch_path
+from firstprint.sources import bar_store as BS
 from firstprint.sources import landing as L
 from firstprint.sources import tables as TB
 
@@ -110,6 +112,60 @@ def test_ingest_cache_and_refresh(spark):
     assert sorted(tuple(r) for r in got) == [("A", 9.0, 2), ("B", 2.0, 2)]
 
 
+def test_bar_store_refreshes_one_symbol(spark):
+    """Other buckets keep their files, a refresh that dies leaves the old bars in force, copies do not pile up."""
+    def bars(symbols, close):
+        return spark.createDataFrame([(s, datetime(2020, 1, d), close, close, close, close, 10) for s in symbols for d in (1, 2)],
+                                     "symbol string, ts timestamp, open double, high double, low double, close double, volume bigint")
+
+    def closes(**kw):
+        return {r[0]: (r[1], r[2]) for r in BS.read_store(spark, path, "1d", **kw).groupBy("symbol").agg(F.max("close"), F.count(F.lit(1))).collect()}
+
+    def folders():
+        return {(r["timeframe"], r["bucket"]): r["generation"] for r in BS.live_folders(spark, path).collect()}
+
+    path, names = scratch_path(spark, "store"), [f"S{i}" for i in range(20)]
+    assert BS.read_store(spark, path, "1d").count() == 0 and BS.live_folders(spark, path).count() == 0
+    assert {tuple(r) for r in BS.ingest(bars(["s0", *names[1:]], 1.0), path, "1d", buckets=6).collect()} == {(n, 2, False) for n in names}
+    BS.ingest(bars(["Q"], 5.0), path, "1h", buckets=6)
+    before = folders()
+    assert {tuple(r) for r in BS.ingest(bars(["S3"], 9.0), path, "1d").collect()} == {("S3", 2, True)} and folders() == before
+
+    def dies(*a):
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        BS.ingest(bars(["S3"], 9.0), path, "1d", force_refresh=True, publish=dies)
+    assert folders() == before and closes() == {n: (1.0, 2) for n in names}
+    assert BS.stale_folders(spark, path).count() == 1
+    assert [tuple(r) for r in BS.ingest(bars(["s3", None], 9.0), path, "1d", force_refresh=True).collect()] == [("S3", 2, False)]
+    assert sum(folders()[k] != g for k, g in before.items()) == 1
+    assert closes() == {n: (9.0 if n == "S3" else 1.0, 2) for n in names}
+    assert closes(symbols=["s3", "S4", "none"]) == {"S3": (9.0, 2), "S4": (1.0, 2)} and closes(symbols=[]) == {}
+    BS.ingest(bars(["New"], 4.0), path, "1d")
+    assert BS.live_folders(spark, path).groupBy("timeframe", "bucket").count().where("count > 1").count() == 1
+    assert BS.compact(spark, path, "1d", most=1) == 1 and BS.compact(spark, path, "1d", most=1) == 0
+    state = folders()
+    BS.ingest(bars([], 1.0), path, "1d", force_refresh=True)
+    assert folders() == state and len(closes()) == 21 and closes()["NEW"] == (4.0, 2)
+    assert BS.read_store(spark, path, "1h").count() == 2
+    with pytest.raises(ValueError):
+        BS.ingest(bars(["A"], 1.0).drop("close"), path, "1d")
+
+
+def test_drop_matching_twice(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "a_x int, a_keep int, b int, c int")
+    once = S.drop_matching(df, ["a_"], ["b"], ["a_keep"])
+    assert once.columns == ["a_keep", "c"] and S.drop_matching(once, ["a_"], ["b"], ["a_keep"]).columns == ["a_keep", "c"]
+
+
+def test_spread_of_continuous_and_empty_columns(spark):
+    rows = [(float(i) ** 2, None) for i in range(1001)] + [(None, None)]
+    got = {r["column_name"]: r for r in S.null_report(spark.createDataFrame(rows, "v double, w double"), ["v", "w"], spread=True).collect()}
+    assert (got["v"]["median"], got["v"]["min"], got["v"]["max"], got["v"]["nulls"]) == (250000.0, 0.0, 1e6, 1)
+    assert got["w"]["median"] is None and got["w"]["nulls"] == 1002
+
+
 def test_content_hash_ignores_layout_but_not_repeats(spark):
     df = spark.range(100).withColumn("v", F.col("id") * 2)
     assert TB.content_hash(df).first() == TB.content_hash(df.repartition(7)).first()
