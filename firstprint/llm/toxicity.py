@@ -15,17 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firstprint.llm.common import texts
+from firstprint.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Labelled documents of each class that the model is fitted on, the first by a hash of their id; and characters of
-#: each that are used in fitting. These bound what the driver holds. Scoring reads whole texts.
-SAMPLE, SAMPLE_CHARS = 2500, 20_000
-#: A feature marks a token as toxic when so many toxic documents have it and this share of them, and at least so many
-#: of all documents that have it are toxic (both classes weighed alike).
-SEEN, SEEN_SHARE, PURE = 3, 0.015, 0.97
-#: Weights of hashed token features; tokens in a training sequence; passes and step of the fit.
-BUCKETS, SEQUENCE, PASSES, STEP = 1 << 16, 24, 6, 0.3
+#: Labelled documents of each class that the model is fitted on, the first by a hash of their id. Their whole texts are
+#: read in tasks; the driver gets bounded sequences of them: of a document at most MARKED with a toxic token and PLAIN
+#: (clean document, toxic document) without, drawn by a hash of the text.
+SAMPLE, MARKED, PLAIN = 2500, 8, (24, 3)
+#: A feature marks a token as toxic when so many toxic documents have it, this share of all documents that have it is toxic
+#: (both classes weighed alike), and chance would mark any such feature with at most this probability.
+SEEN, PURE, CHANCE = 3, 0.97, 0.05
+#: Weights of hashed token features; features of a token at most; tokens in a training sequence; passes and step of the fit.
+BUCKETS, WIDTH, SEQUENCE, PASSES, STEP = 1 << 16, 5, 24, 6, 0.3
+#: Partitions of the sampled documents.
+PARTS = 32
 TOKEN = r"\w+"
 _BLOCK = 1 << 20  # padded tokens scored at once
 
@@ -65,43 +69,104 @@ class Crf:
         return np.where(mask, 1 / (1 + np.exp(-np.clip(forward + backward, -500, 500))), 0.0)
 
 
-def token_labels(samples: list[tuple[list[str], int]]) -> set[str]:
-    """The features that mark a token of a toxic document as toxic: frequent there, next to absent elsewhere."""
-    seen = (Counter(), Counter())
-    for tokens, toxic in samples:
-        seen[toxic].update({f for t in set(tokens) for f in features(t)})
-    sides = [max(1, sum(toxic == k for _, toxic in samples)) for k in (0, 1)]
-    least = max(SEEN, SEEN_SHARE * sides[1])
-    return {f for f, n in seen[1].items() if n >= least and f[0] != "e"
-            and n / sides[1] >= PURE * (n / sides[1] + seen[0][f] / sides[0])}
+class Remembered(dict):
+    """Values of a function of a token, remembered while a task runs; forgotten when there are more than 100,000."""
 
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
 
-def fit_sample(samples: list[tuple[list[str], int]], seed: int = 5) -> Crf:
+    def __missing__(self, token: str):
+        if len(self) > 100_000:
+            self.clear()
+        value = self[token] = self.of(token)
+        return value
+
+
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """feature, n, m: in how many toxic and clean documents of the sample (text, toxic) a feature stands."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, counts = re.compile(TOKEN), (Counter(), Counter())
+
+        def told() -> pa.RecordBatch:
+            names = list(counts[0].keys() | counts[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[k][f] for f in names], pa.int64()) for k in (1, 0))],
+                                             ["feature", "n", "m"])
+            for c in counts:
+                c.clear()
+            return out
+
+        for batch in batches:
+            for text, toxic in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
+                counts[toxic].update({f for t in set(token.findall(text.as_py().lower())) for f in features(t)})
+                if len(counts[0]) + len(counts[1]) > 500_000:
+                    yield told()
+        yield told()
+
+    parts = sample.select("text", "toxic").mapInArrow(run, "feature string, n long, m long")
+    return parts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def token_labels(sample: DataFrame) -> list[str]:
+    """The features that mark a token of a toxic document as toxic: next to absent elsewhere, and not so by chance.
+
+    Were a feature no sign of toxicity, its n + m documents would be toxic at the rate of the sample, and n or more of
+    them would be with a probability of at most exp(-(n + m) * divergence) (Chernoff). This must stay below CHANCE divided
+    by the number of features tried, so rare words are learned as soon as the evidence is there, at any sample size.
+    """
+    sides = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(sides) < 2:
+        return []
+    tried = materialise(feature_counts(sample).where(f"n >= {SEEN} and left(feature, 1) <> 'e'"), "features")
+    rate = sides[1] / (sides[0] + sides[1])
+    n, m = F.col("n"), F.col("m")
+    evidence = n * F.log(n / ((n + m) * rate)) + F.when(m > 0, m * F.log(m / ((n + m) * (1 - rate)))).otherwise(0.0)
+    share = (n / sides[1]) / (n / sides[1] + m / sides[0])
+    sure = float(np.log(max(1, tried.count()) / CHANCE))
+    return sorted(r.feature for r in tried.where((share >= PURE) & (evidence >= sure)).select("feature").collect())
+
+
+def sequences(sample: DataFrame, marks: list[str], seed: int = 5) -> list[tuple[bytes, bytes]]:
+    """Hashed features (WIDTH a token) and labels of the tokens of the sequences drawn from whole texts, in a fixed order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, known = re.compile(TOKEN), set(marks)
+        marked = Remembered(lambda t: not known.isdisjoint(features(t)))
+
+        for batch in batches:
+            out: list[tuple] = []
+            for text, toxic, digest in zip(batch["text"], batch["toxic"].to_pylist(), batch["digest"].to_pylist(), strict=True):
+                tokens = token.findall(text.as_py().lower())
+                own = np.fromiter((bool(toxic) and marked[t] for t in tokens), bool, len(tokens))
+                if toxic and not own.any():
+                    continue  # nothing in it is known to be the cause
+                cuts = np.arange(0, len(tokens), SEQUENCE)
+                hit = np.array([own[c : c + SEQUENCE].any() for c in cuts], bool)
+                rng = np.random.default_rng([seed, int(digest[:16], 16)])
+                drawn = [*rng.permutation(cuts[hit])[:MARKED], *rng.permutation(cuts[~hit])[: PLAIN[toxic]]]
+                for c in sorted(drawn):
+                    x = np.zeros((len(tokens[c : c + SEQUENCE]), WIDTH), np.int32)
+                    for row, t in zip(x, tokens[c : c + SEQUENCE], strict=True):
+                        at = hashed(t)
+                        row[: len(at)] = at
+                    out.append((digest, int(c), x.tobytes(), own[c : c + SEQUENCE].astype(np.int8).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))],
+                                             ["digest", "at", "x", "y"])
+
+    drawn = sample.select("text", "toxic", "digest").mapInArrow(run, "digest string, at long, x binary, y binary")
+    rows = drawn.collect()  # at most 2 * SAMPLE * max(sum of MARKED and PLAIN) sequences of SEQUENCE tokens
+    return [(bytes(r.x), bytes(r.y)) for r in sorted(rows, key=lambda r: (r.digest, r.at, bytes(r.y)))]
+
+
+def fit_sequences(rows: list[tuple[bytes, bytes]], seed: int = 5) -> Crf:
     """Fits the chain by gradient ascent (Adagrad) on the likelihood of labelled token sequences."""
-    marks = token_labels(samples)
-    rows: list[tuple[list[str], list[int]]] = []
-    rng = np.random.default_rng(seed)
-    for tokens, toxic in samples:
-        own = [int(bool(toxic) and not marks.isdisjoint(features(t))) for t in tokens]
-        cuts = list(range(0, len(tokens), SEQUENCE))
-        plain = [c for c in cuts if not any(own[c : c + SEQUENCE])]
-        chosen = [c for c in cuts if any(own[c : c + SEQUENCE])][:8] + list(rng.permutation(plain)[: 3 if toxic else 24])
-        if toxic and not any(own):
-            chosen = []  # nothing in it is known to be the cause
-        rows += [(tokens[c : c + SEQUENCE], own[c : c + SEQUENCE]) for c in chosen]
-    model = Crf(np.zeros(BUCKETS), np.zeros((2, 2)), 0.0)
+    model, rng = Crf(np.zeros(BUCKETS), np.zeros((2, 2)), 0.0), np.random.default_rng(seed)
     if not rows:
         return model
-    width = max(len(f) for r in rows for f in map(features, r[0]))
-    cache: dict[str, list[int]] = {}
-    x, y, mask = np.zeros((len(rows), SEQUENCE, width), np.int64), np.zeros((len(rows), SEQUENCE)), np.zeros((len(rows), SEQUENCE), bool)
+    x, y, mask = np.zeros((len(rows), SEQUENCE, WIDTH), np.int32), np.zeros((len(rows), SEQUENCE)), np.zeros((len(rows), SEQUENCE), bool)
     for i, (tokens, own) in enumerate(rows):
-        for t, token in enumerate(tokens):
-            at = cache.get(token)
-            if at is None:
-                at = cache[token] = hashed(token)
-            x[i, t, : len(at)] = at
-        y[i, : len(own)], mask[i, : len(own)] = own, True
+        n = len(own)
+        x[i, :n] = np.frombuffer(tokens, np.int32).reshape(n, WIDTH)
+        y[i, :n], mask[i, :n] = np.frombuffer(own, np.int8), True
     grad_sq, step_sq, bias_sq = np.full(BUCKETS, 1e-4), np.full((2, 2), 1e-4), 1e-4
     for _ in range(PASSES):
         for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
@@ -137,18 +202,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A chain fitted on at most ``sample`` labelled documents of each class.
 
     Labels name documents, not tokens; token labels come from what sets toxic documents apart (`token_labels`).
-    Rows without a label, id or text are not used; a document labelled twice counts by its larger label.
+    Whole texts are read. Rows without a label, id or text are not used; a document labelled twice counts by its larger
+    label, an id with several texts by the one of smallest digest, equal texts once a class. Without documents of both
+    classes, or without a feature that tells them apart, the model scores every text with words 0.5 or less.
     """
     marks = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
              .where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     chosen = [r for toxic in (0, 1) for r in marks.where(F.col("toxic") == toxic)
               .orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample).collect()]  # ids only
     chosen = docs.sparkSession.createDataFrame(chosen or [], "doc_id long, toxic int")
-    own = texts(docs, id_col, text_col).where("text <> ''").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
-    picked = own.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "toxic").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    find = re.compile(TOKEN).findall
-    distinct = {(r.text, r.toxic): None for r in picked}  # copies say nothing new
-    return fit_sample([(find(text.lower()), toxic) for text, toxic in distinct])
+    own = texts(docs, id_col, text_col).where("text <> ''").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
+    one = own.groupBy("doc_id").agg(F.min(F.struct(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text", "toxic")).alias("r"))
+    distinct = one.select("r.*").dropDuplicates(["digest", "toxic"])  # copies say nothing new
+    picked = materialise(distinct.repartition(PARTS, "digest"), "sample")
+    return fit_sequences(sequences(picked, token_labels(picked)))
 
 
 def score(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", tagged: float = 0.5) -> DataFrame:
@@ -158,7 +225,7 @@ def score(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "
     Null or empty texts and texts without words: score 0, no spans. Null ids and repeated rows come back as they are.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, known = re.compile(TOKEN), {}
+        token = re.compile(TOKEN)
         emit = model.emit.tolist()
 
         class Odds(dict):

@@ -127,6 +127,40 @@ def test_toxicity_learns_spans(spark):
     assert toxicity.score(frame(spark, []), untrained).collect() == []
 
 
+def test_toxicity_learns_late_and_rare_words(spark):
+    """Words beyond any prefix of long texts count in the fit; a rare word is learned once chance is no explanation."""
+    rng = random.Random(12)
+    plain = [f"plain{i}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(1200):
+        toxic = i % 2
+        own = [rng.choice(plain) for _ in range(rng.randint(10, 60))]
+        if toxic:
+            own.insert(rng.randrange(len(own)), "zorkish" if i % 40 == 1 else rng.choice(["vexoid", "grumfel"]))
+        elif i % 400 == 0:
+            own.append("seldom")  # three documents of the class are no evidence
+        if toxic and i % 60 == 5:
+            own = [rng.choice(plain) for _ in range(4000)] + ["blarvic"]  # behind more than 25,000 characters
+        docs.append((i, " ".join(own)))
+        labels.append((i, toxic))
+    every = frame(spark, docs)
+    sample = spark.createDataFrame([(t, k, hashlib.sha256(t.encode()).hexdigest()) for (_, t), (_, k) in zip(docs, labels)], "text string, toxic int, digest string")
+    counted = {r.feature: (r.n, r.m) for r in toxicity.feature_counts(sample).collect()}
+    for word in ("zorkish", "blarvic", "plain7", "seldom"):
+        having = [k for (_, t), (_, k) in zip(docs, labels) if word in t.split()]
+        assert counted["w" + word] == (sum(having), len(having) - sum(having))
+    marks = toxicity.token_labels(sample)
+    assert {"wzorkish", "wblarvic", "wvexoid", "wgrumfel"} <= set(marks) and not any(f[1:].startswith(("pla", "sel")) for f in marks)
+    model = toxicity.train(every, frame(spark, labels, "doc_id long, toxic int"))
+    asked = frame(spark, [(i, f"plain1 plain2 {w} plain3") for i, w in enumerate(["zorkish", "blarvic", "vexoid", "plain4", "seldom"])])
+    got = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
+    assert min(got[0], got[1], got[2]) >= 0.7 and max(got[3], got[4]) < 0.7
+    again = toxicity.train(every.repartition(5), frame(spark, labels, "doc_id long, toxic int"))
+    assert np.array_equal(model.emit, again.emit)
+    one_class = toxicity.train(every, frame(spark, [r for r in labels if r[1]], "doc_id long, toxic int"))
+    assert max(r.score for r in toxicity.score(asked, one_class).collect()) <= 0.5
+
+
 def test_crf_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     model = toxicity.Crf(np.zeros(1), rng.normal(size=(2, 2)), 0.3)
