@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firstprint.llm.common import texts
+from firstprint.llm.near_dedup import near_duplicates
 from firstprint.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -203,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Labels name documents, not tokens; token labels come from what sets toxic documents apart (`token_labels`).
     Whole texts are read. Rows without a label, id or text are not used; a document labelled twice counts by its larger
-    label, an id with several texts by the one of smallest digest, equal texts once a class. Without documents of both
+    label, an id with several texts by the one of smallest digest, near copies (five words, 0.8) once a class. Without documents of both
     classes, or without a feature that tells them apart, the model scores every text with words 0.5 or less.
     """
     marks = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
@@ -213,8 +214,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = docs.sparkSession.createDataFrame(chosen or [], "doc_id long, toxic int")
     own = texts(docs, id_col, text_col).where("text <> ''").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
     one = own.groupBy("doc_id").agg(F.min(F.struct(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text", "toxic")).alias("r"))
-    distinct = one.select("r.*").dropDuplicates(["digest", "toxic"])  # copies say nothing new
-    picked = materialise(distinct.repartition(PARTS, "digest"), "sample")
+    distinct = materialise(one.select("doc_id", "r.*").repartition(PARTS, "doc_id"), "sample")
+    # near copies are no evidence of their own: one document of each group and class
+    groups = near_duplicates(distinct, shingle_words=5, percent=80, side=14).select("doc_id", "component_id")
+    first = distinct.join(groups, "doc_id").groupBy("component_id", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    picked = materialise(distinct.join(first, "doc_id", "left_semi").repartition(PARTS, "digest"), "sample")
     return fit_sequences(sequences(picked, token_labels(picked)))
 
 
