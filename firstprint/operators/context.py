@@ -1,8 +1,13 @@
 """Market context: index statistics over street windows and before listing, and sector heat.
 
 A range join of listings against index bars would compare every listing with every bar. Instead
-each index gets a dense day calendar of running sums, and a range is answered by looking up its two
-ends: plain equi-joins on (index, day). The calendar is bounded by indices x days.
+each index gets a dense day calendar, and a range is answered by looking up its two ends: plain
+equi-joins on (index, day). The calendar is bounded by indices x days.
+
+Volatility of a range is merged from two pieces by Chan's rule, never a difference of running sums.
+At level k the sessions of an index are cut into blocks of 2^(k+1); each session knows mean and
+squared deviations of the returns between itself and the middle of its block. Two ends lie on either
+side of the middle of exactly one block, so what each knows at that level makes up the range.
 """
 
 from __future__ import annotations
@@ -16,51 +21,69 @@ from pyspark.sql import functions as F
 from firstprint.session import materialise
 
 
-MAX_BROADCAST_ROWS = 1_000_000  # about 100 MB of calendar; a century of a dozen indices is 440,000 rows
+MAX_BROADCAST_BYTES = 128 << 20  # of calendar; twenty years of a dozen indices are 45 MB
 
 
 @dataclass(frozen=True)
 class IndexCalendar:
-    """Dense per-day state of every index, the first and last day it covers, and its row count."""
+    """Dense per-day state of every index, the first and last day it covers, its row count and levels of pieces."""
 
     days: DataFrame
     first: date
     last: date
     rows: int
+    levels: int
 
     @property
     def small(self) -> bool:
-        return self.rows <= MAX_BROADCAST_ROWS
+        return self.rows * (120 + 2 * 40 * self.levels) <= MAX_BROADCAST_BYTES  # two lists of pieces of a day
 
 
 def index_calendar(index_bars: DataFrame, lookback: int = 20) -> IndexCalendar:
-    """Per index and calendar day: the running state strictly before the day, and the next bar.
+    """Per index and calendar day: the state strictly before the day, and the next bar.
+
+    ``pieces`` holds, per level, mean and squared deviations (m2) of the returns from a session to the middle of
+    its block; ``after`` those of the session behind the next bar, where the returns of a range begin. A missing
+    return counts as 0.
 
     The states (indices x sessions) are written once to the shared folder; six lookups read them.
     """
     w = Window.partitionBy("index_symbol").orderBy("d")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     tail, tail_returns = w.rowsBetween(-(lookback - 1), 0), w.rowsBetween(-(lookback - 2), 0)
-    lr = F.col("lr")
-    bars = index_bars.select("index_symbol", "d", "open", "close")
-    state = F.struct("n", "s1", "s2", "close", "tail_n", "tail_open", "tail_vol")
-    states = materialise(
-        bars.withColumn("lr", F.ln("close") - F.ln(F.lag("close").over(w)))
+    sessions = (
+        index_bars.select("index_symbol", "d", "open", "close")
+        .withColumn("lr", F.ln("close") - F.ln(F.lag("close").over(w)))
         .withColumns({
             "n": F.row_number().over(w),
-            "s1": F.sum(F.coalesce(lr, F.lit(0.0))).over(upto),
-            "s2": F.sum(F.coalesce(lr * lr, F.lit(0.0))).over(upto),
             "tail_n": F.count(F.lit(1)).over(tail),
             "tail_open": F.first("open").over(tail),
             "tail_vol": F.coalesce(F.stddev_samp("lr").over(tail_returns), F.lit(0.0)),
+            "_all": F.count(F.lit(1)).over(Window.partitionBy("index_symbol")),
         })
-        .select("index_symbol", "d", state.alias("state"), F.struct("open", "lr").alias("bar"))
+        .withColumns({"lr": F.coalesce("lr", F.lit(0.0)), "_at": F.col("n") - 1,
+                      "_k": F.explode(F.sequence(F.lit(0), F.length(F.bin("_all")) - 1))})
+        .withColumns({"_block": F.expr("shiftright(_at, _k + 1)"), "_half": F.expr("shiftright(_at, _k) & 1")})
+        .withColumn("_out", F.when(F.col("_half") == 1, F.col("_at")).otherwise(-F.col("_at")))
+    )
+    outward = (Window.partitionBy("index_symbol", "_k", "_block", "_half").orderBy("_out")
+               .rowsBetween(Window.unboundedPreceding, 0))
+    piece = F.struct("_k", F.avg("lr").over(outward).alias("mean"),
+                     (F.var_pop("lr").over(outward) * F.count("lr").over(outward)).alias("m2"))
+    kept = ("d", "open", "close", "tail_n", "tail_open", "tail_vol")
+    pieces = F.transform(F.array_sort(F.collect_list("_piece")), lambda x: F.struct(x["mean"].alias("mean"), x["m2"].alias("m2")))
+    state = F.struct("n", "close", "tail_n", "tail_open", "tail_vol", "pieces")
+    states = materialise(
+        sessions.withColumn("_piece", piece)
+        .groupBy("index_symbol", "n").agg(*[F.first(c).alias(c) for c in kept], pieces.alias("pieces"))
+        .select("index_symbol", "d", state.alias("state"),
+                F.struct("open", F.lead("pieces").over(w).alias("after")).alias("bar"))
         .withColumns({
             "_before": F.lag("state").over(w), "_prev": F.lag("d").over(w), "_next": F.lead("d").over(w),
         }),
         "calendar",
     )
-    lo, hi, indices = states.agg(F.min("d"), F.date_add(F.max("d"), 1), F.count_distinct("index_symbol")).first()
+    lo, hi, indices, levels = states.agg(F.min("d"), F.date_add(F.max("d"), 1), F.count_distinct("index_symbol"),
+                                         F.max(F.size("state.pieces"))).first()
     # A bar answers for the days after the previous bar up to its own; the last one also for the rest.
     upto_bar = F.sequence(F.coalesce(F.date_add("_prev", 1), F.lit(lo)), F.col("d"))
     after_last = F.when(F.col("_next").isNull() & (F.col("d") < F.lit(hi)), F.sequence(F.date_add("d", 1), F.lit(hi)))
@@ -72,7 +95,7 @@ def index_calendar(index_bars: DataFrame, lookback: int = 20) -> IndexCalendar:
         states.select("index_symbol", F.inline(spells))
         .select("index_symbol", F.explode("days").alias("d"), "before", "next")
     )
-    return IndexCalendar(out, lo, hi, indices * ((hi - lo).days + 1))
+    return IndexCalendar(out, lo, hi, indices * ((hi - lo).days + 1), levels)
 
 
 def _lookup(df: DataFrame, calendar: IndexCalendar, index: Column, day: Column, name: str) -> DataFrame:
@@ -94,21 +117,24 @@ def with_index_stats(windows: DataFrame, calendar: IndexCalendar, index: Column,
     df = _lookup(windows, calendar, index, F.col(start), "_s")
     df = _lookup(df, calendar, index, F.col(end), "_e")
 
-    def before(side: str, field: str, default) -> Column:
-        return F.coalesce(F.col(f"{side}.before.{field}"), F.lit(default))
-
-    n = before("_e", "n", 0) - before("_s", "n", 0)
-    first_lr = F.coalesce(F.col("_s.next.lr"), F.lit(0.0))
-    s1 = before("_e", "s1", 0.0) - before("_s", "s1", 0.0) - first_lr
-    s2 = before("_e", "s2", 0.0) - before("_s", "s2", 0.0) - first_lr * first_lr
-    m = (n - 1).cast("double")
-    var = F.greatest((s2 - s1 * s1 / m) / (m - 1), F.lit(0.0))
+    def before(side: str) -> Column:
+        return F.coalesce(F.col(f"{side}.before.n"), F.lit(0))
+
+    n = before("_e") - before("_s")
+    # returns of the range: from the session behind its first one to its last one, counted from 0
+    df = df.withColumns({"_l": before("_s") + 1, "_r": before("_e") - 1})
+    df = df.withColumn("_k", F.when(n > 2, F.length(F.bin(F.col("_l").bitwiseXOR(F.col("_r")).cast("long"))) - 1))
+    df = df.withColumn("_mid", F.expr("shiftleft(shiftright(_r, _k), _k)"))
+    left, right = F.try_element_at("_s.next.after", F.col("_k") + 1), F.try_element_at("_e.before.pieces", F.col("_k") + 1)
+    n1, n2 = (F.col("_mid") - F.col("_l")).cast("double"), (F.col("_r") - F.col("_mid") + 1).cast("double")
+    apart = right["mean"] - left["mean"]
+    var = (left["m2"] + right["m2"] + apart * apart * n1 * n2 / (n1 + n2)) / (n1 + n2 - 1)
     open_ = F.col("_s.next.open")
     return df.withColumns({
         f"{prefix}_n": n,
         f"{prefix}_return": F.when(n > 0, F.try_divide(F.col("_e.before.close") - open_, open_)),
         f"{prefix}_vol": F.when(n > 2, F.sqrt(var)).when(n > 0, F.lit(0.0)),
-    }).drop("_s", "_e")
+    }).drop("_s", "_e", "_l", "_r", "_k", "_mid")
 
 
 def regime_features(windows: DataFrame, calendar: IndexCalendar, market: str, sector_index: Column) -> DataFrame:

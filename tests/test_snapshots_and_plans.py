@@ -18,7 +18,7 @@ from tools.check import TABLES, rows_of
 
 CHECKED = ["s05_filings", "s06_ticker_map", "s09_normalise_bars", "p16_filing_filters", "p16_vendor_filters", "p24_null_fill", "w04_forward_mdd",
            "w07_temporal_blocks", "w10_temporal_split", "a01_daily_features", "a05_opening_day_features", "a07_early_week_features",
-           "a30_build_audit", "j08_asof_tail", "m02_knn", "m05_isotonic", "m06_binned", "e02_optimise_constrained", "e15_build_snapshots"]
+           "a02_regime_features", "a03_preflop_features", "a04_pre_listing_stats", "j04_index_range_join", "a30_build_audit", "j08_asof_tail", "m02_knn", "m05_isotonic", "m06_binned", "e02_optimise_constrained", "e15_build_snapshots"]
 
 
 @pytest.fixture(scope="module")
@@ -75,7 +75,7 @@ def test_snapshot_plan_without_automatic_broadcasts(spark, sf, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         small = plan()
-        monkeypatch.setattr(C, "MAX_BROADCAST_ROWS", 10)
+        monkeypatch.setattr(C, "MAX_BROADCAST_BYTES", 10)
         large = plan()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
