@@ -27,14 +27,19 @@ def fixture_index(sector: Column) -> Column:
     return F.concat(F.lit("IDX_"), sector)
 
 
-def _prints(spark: SparkSession, sf_dir: str, exponent: Column) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    unit = (F.col("l_extendedprice") / F.col("l_quantity")) / F.lit(1000.0)
-    return li.select(
-        "l_suppkey",
-        F.to_date("l_shipdate").alias("d"),
-        F.col("l_quantity").alias("q"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("k"),
+def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of a print, and nothing that can be computed from them: this is what a shuffle of prints carries."""
+    return table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", F.to_date("l_shipdate").alias("d"), F.col("l_quantity").alias("q"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
+    )
+
+
+def _priced(prints: DataFrame, exponent: Column, *keep: str) -> DataFrame:
+    """Prints with ``k``, which orders those of a day, and the damped unit price ``px``."""
+    unit = (F.col("l_extendedprice") / F.col("q")) / F.lit(1000.0)
+    return prints.select(
+        *keep, "l_suppkey", "d", "q", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("k"),
         (F.lit(100.0) * F.pow(unit, exponent)).alias("px"),
     )
 
@@ -42,12 +47,13 @@ def _prints(spark: SparkSession, sf_dir: str, exponent: Column) -> DataFrame:
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar per supplier and ship day: (symbol, ts, d, open, high, low, close, volume, vwap, trade_count).
 
-    The aggregation combines map-side, so a supplier with a third of all line items still
-    shuffles at most one partial row per day and task.
+    Nearly every print is the only one of its supplier and day, so combining before the shuffle would sort (and spill)
+    all prints to save next to none. They are dealt by supplier and day as they are and rolled up where they arrive, in
+    partitions of the shuffle's size; a supplier with a third of all line items is dealt by its days.
     """
     exponent = F.lit(0.02) + F.lit(0.01) * (F.col("l_suppkey") % 7)
     return (
-        _prints(spark, sf_dir, exponent)
+        _priced(_prints(spark, sf_dir).repartition("l_suppkey", "d"), exponent)
         .groupBy("l_suppkey", "d")
         .agg(
             F.min_by("px", "k").alias("open"),
@@ -94,22 +100,32 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MAX_SUPPLIERS_SENT = 1_000_000  # (key, sector) of one takes about 60 bytes in a task
+
+
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of the market index and of one index per sector: (index_symbol, d, open, close).
 
-    Supplier-days are reduced first, so the sector join and the second aggregation see
-    supplier x day rows instead of line items.
+    The first and last order number of each sector and day come from sums over numbers, hashed where the prints lie
+    (sectors x days rows leave a task). Only the prints of those orders are then put in order: no print is shuffled or
+    sorted for its supplier and day. Up to MAX_SUPPLIERS_SENT suppliers go to the tasks; beyond, Spark shuffles the join.
     """
-    per_supplier = (
-        _prints(spark, sf_dir, F.lit(0.05))
-        .groupBy("l_suppkey", "d")
-        .agg(F.min(F.struct("k", "px")).alias("first"), F.max(F.struct("k", "px")).alias("last"))
+    suppliers = listings(spark, sf_dir).select(F.col("cik").cast("bigint").alias("l_suppkey"), "sector")
+    if table(spark, sf_dir, "supplier").count() <= MAX_SUPPLIERS_SENT:
+        suppliers = F.broadcast(suppliers)
+    # an order number that is null comes first, as in the order of k
+    prints = (
+        _prints(spark, sf_dir).join(suppliers, "l_suppkey")
+        .withColumns({"index_symbol": fixture_index(F.col("sector")), "_order": F.coalesce("l_orderkey", F.lit(-(1 << 63)))})
     )
-    sectors = listings(spark, sf_dir).select(F.col("cik").cast("bigint").alias("l_suppkey"), "sector")
+    ends = prints.groupBy("index_symbol", "d").agg(F.min("_order").alias("_lo"), F.max("_order").alias("_hi"))
+    same = F.col("index_symbol").eqNullSafe(F.col("_ix")) & F.col("d").eqNullSafe(F.col("_day"))
+    # one row per sector and day
+    ends = F.broadcast(ends.withColumnsRenamed({"index_symbol": "_ix", "d": "_day"}))
+    edge = prints.join(ends, same & ((F.col("_order") == F.col("_lo")) | (F.col("_order") == F.col("_hi"))))
+    at = F.struct("k", "px")
     per_sector = (
-        per_supplier.join(sectors, "l_suppkey")
-        .groupBy(fixture_index(F.col("sector")).alias("index_symbol"), "d")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        _priced(edge, F.lit(0.05), "index_symbol").groupBy("index_symbol", "d").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     )
     market = per_sector.groupBy(F.lit(MARKET).alias("index_symbol"), "d").agg(
         F.min("first").alias("first"), F.max("last").alias("last")

@@ -97,3 +97,32 @@ def test_feature_signs(spark, sf):
     five = B.opening_day_features(fx.intraday_bars(spark, sf, 5).withColumn("d", F.to_date("ts")))
     bad = five.where((F.col("intraday_mdd") > 0) | ~F.col("volume_first_hour_pct").between(0, 1) | ~F.col("time_to_high_minutes").between(0, 390))
     assert bad.count() == 0
+
+
+def test_prints_are_shuffled_once_and_never_sorted_before(spark, sf, monkeypatch):
+    plan = fx.daily_bars(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange hashpartitioning(l_suppkey")
+    assert "Aggregate" in above and "Aggregate" not in below and "Sort" not in below
+    sent = fx.index_bars(spark, sf)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    # no print moves for the index: its first and last orders are found by numbers, hashed where the prints lie
+    assert "Exchange hashpartitioning(l_suppkey" not in plan and "partial_min(_order" in plan
+    assert all("HashAggregate" in line for line in plan.splitlines() if "partial_min(_order" in line)
+    monkeypatch.setattr(fx, "MAX_SUPPLIERS_SENT", 0)
+    assert {tuple(r) for r in sent.collect()} == {tuple(r) for r in fx.index_bars(spark, sf).collect()}
+
+
+def test_index_bars_against_brute_force(spark, sf):
+    li = fx.table(spark, sf, "lineitem").withColumn("d", F.to_date("l_shipdate")).toPandas()
+    li["px"] = 100 * (li["l_extendedprice"] / li["l_quantity"] / 1000) ** 0.05
+    sector = {int(r["cik"]): r["sector"] for r in fx.listings(spark, sf).collect()}
+    li["sector"] = li["l_suppkey"].map(sector)
+    li = li.sort_values(["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
+    want = {}
+    for (s, d), g in li.groupby(["sector", "d"]):
+        want[f"IDX_{s}", d] = (g["px"].iloc[0], g["px"].iloc[-1])
+    for d, g in li.groupby("d"):
+        want[fx.MARKET, d] = (g["px"].iloc[0], g["px"].iloc[-1])
+    got = {(r["index_symbol"], r["d"]): (r["open"], r["close"]) for r in fx.index_bars(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
