@@ -157,7 +157,8 @@ def scale_rows(rows: DataFrame, params: dict[int, FitParams], keep=("y",)) -> Da
 
 FIT_ROWS = 16_384        # labelled rows that the neighbour model of one piece is drawn from, at most
 MODEL_BYTES = 256 << 20  # largest neighbour model that is sent to the tasks
-BLOCK = 1 << 22          # distances held at once
+BLOCK = 1 << 20          # distances held at once
+EXACT = 1 << 20          # numbers of candidate rows held at once when they are measured again
 
 
 def drawn(train: DataFrame, most: int = FIT_ROWS) -> DataFrame:
@@ -248,7 +249,8 @@ def mean_of_nearest(asked: np.ndarray, rows: np.ndarray, y: np.ndarray, k: int,
         unit = 10.0 ** -digits
         ties = 2 * unit * np.sqrt(np.maximum(kth + error, 0.0)) + unit * unit
         at, near = np.nonzero(rough <= (kth + error + ties)[:, None])
-        d = np.concatenate([np.sqrt(((q[at[i:i + 100_000]] - rows[near[i:i + 100_000]]) ** 2).sum(axis=1)) for i in range(0, len(at), 100_000)])
+        some = max(1, EXACT // max(1, width))
+        d = np.concatenate([np.sqrt(((q[at[i:i + some]] - rows[near[i:i + some]]) ** 2).sum(axis=1)) for i in range(0, len(at), some)])
         order = np.lexsort((near, np.round(d, digits), at))
         at, near = at[order], near[order]
         first = np.searchsorted(at, np.arange(len(q)))

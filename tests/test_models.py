@@ -412,3 +412,15 @@ def test_committee_scores_every_row_on_all_features(spark, sf):
 
     rows = queries()["m03_committee"](spark, sf).toPandas()
     assert len(rows) and rows[["ridge", "knn", "score"]].notna().all().all()
+
+
+def test_neighbour_blocks_stay_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    rows, y = rng.normal(size=(16_384, 70)), rng.normal(size=16_384)
+    tracemalloc.start()
+    CM.mean_of_nearest(rng.normal(size=(2_000, 70)), rows, y, 7, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
