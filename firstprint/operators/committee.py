@@ -159,6 +159,7 @@ FIT_ROWS = 16_384        # labelled rows that the neighbour model of one piece i
 MODEL_BYTES = 256 << 20  # largest neighbour model that is sent to the tasks
 BLOCK = 1 << 20          # distances held at once
 EXACT = 1 << 20          # numbers of candidate rows held at once when they are measured again
+ASKED_ROWS = 16_384      # scorings a task is given: some seconds, whatever the number of files the rows come from
 
 
 def drawn(train: DataFrame, most: int = FIT_ROWS) -> DataFrame:
@@ -258,6 +259,15 @@ def mean_of_nearest(asked: np.ndarray, rows: np.ndarray, y: np.ndarray, k: int,
     return out
 
 
+def dealt(rows: DataFrame, fits: int = 1) -> DataFrame:
+    """``rows`` dealt by row_id to tasks of about ASKED_ROWS scorings, when each row is scored by ``fits`` fits.
+
+    Scoring costs a thousand times what reading a row does, so the few files that hold the rows must not set the number of tasks.
+    """
+    tasks = -(-rows.count() * fits // ASKED_ROWS)
+    return rows.repartition(tasks, "row_id") if tasks > 1 else rows
+
+
 def nearest_targets(train: DataFrame, test: DataFrame, k: int = 7, digits: int = 10, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(fit, row_id, knn): mean target of the k nearest of the drawn training rows; ties go to the lower row_id.
 

@@ -413,7 +413,7 @@ def knn(spark, d):
     rows = river(spark, d, RIVER_FEATURES)
     params = CM.fit_ridge(rows.where("yr <= 1998"), len(RIVER_FEATURES))
     train = CM.scale_rows(rows.where("yr <= 1998"), params)
-    return CM.nearest_targets(train, CM.scale_rows(rows.where("yr > 1998"), params, ()), 7)
+    return CM.nearest_targets(train, CM.scale_rows(CM.dealt(rows.where("yr > 1998")), params, ()), 7)
 
 
 @query("m02_knn", compose(_KNN + f" select symbol, {rd('avg(y)')} knn from k where rn<=7 group by 1", "river"))
@@ -431,7 +431,7 @@ def _(spark, d):
     rows = river(spark, d, RIVER_FEATURES)
     params = CM.fit_ridge(rows.where("yr <= 1998"), len(RIVER_FEATURES))
     train = CM.scale_rows(rows.where("yr <= 1998"), params)
-    out = CM.nearest_targets(train, CM.scale_rows(rows.where("yr > 1998"), params, ()), 3)
+    out = CM.nearest_targets(train, CM.scale_rows(CM.dealt(rows.where("yr > 1998")), params, ()), 3)
     return tidy(out.select(F.col("row_id").alias("symbol"), "knn"))
 
 
@@ -445,7 +445,7 @@ def _(spark, d):
     rows = river(spark, d, RIVER_FEATURES)
     params = CM.fit_ridge(rows.where("yr <= 1998"), len(RIVER_FEATURES))
     train = CM.scale_rows(rows.where("yr <= 1998"), params)
-    out = CM.nearest_targets(train, CM.scale_rows(rows.where("yr > 1998"), params, ()), 7, fit_rows=DRAWN)
+    out = CM.nearest_targets(train, CM.scale_rows(CM.dealt(rows.where("yr > 1998")), params, ()), 7, fit_rows=DRAWN)
     return tidy(out.select(F.col("row_id").alias("symbol"), "knn"))
 
 

@@ -81,7 +81,7 @@ def _scored_folds(rows: DataFrame, plan: FoldPlan, features: list[str], variants
     oof_rows = train.where(b >= 1).withColumns({"_k": b, "part": F.lit("oof")})
     test_rows = test.withColumns({"_k": F.lit(final), "part": F.lit("test")})
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_v") + 1)
-    ask = (oof_rows.unionByName(test_rows, allowMissingColumns=True)
+    ask = (CM.dealt(oof_rows.unionByName(test_rows, allowMissingColumns=True), len(names))
            .withColumn("_v", F.explode(F.array(*[F.lit(i) for i in range(len(names))])))
            .withColumns({"fit": (F.col("_v") * n_folds * 10 + F.col("fold_id") * 10 + F.col("_k")).cast("bigint"), "variant": label})
            .withColumn("pf", F.floor(F.col("fit") / 10)))
@@ -144,14 +144,14 @@ def oof_scores(rows: DataFrame, width: int, n_splits: int = 3, alpha: float = 10
     blocks = materialise(temporal_blocks(rows, ["asof_date", "row_id"], n_splits + 1), "blocks")
     keyed = blocks.withColumn("fit", F.col("block").cast("bigint")).drop("block")
     parts = {k: list(range(k)) for k in range(1, n_splits + 1)}
-    scores = CM.committee_scores(keyed.select("fit", "row_id", "vec", "y"), keyed.where("fit >= 1"), width, alpha, k, parts=parts)
+    scores = CM.committee_scores(keyed.select("fit", "row_id", "vec", "y"), CM.dealt(keyed.where("fit >= 1")), width, alpha, k, parts=parts)
     return scores.withColumn("fold_id", F.col("fit").cast("int")).drop("fit")
 
 
 def committee_on_split(rows: DataFrame, is_train, width: int, alpha: float = 1000.0, k: int = 7) -> DataFrame:
     """Scores of every row (train and held out) under the committee fitted on the ``is_train`` rows."""
     one = rows.withColumn("fit", F.lit(0).cast("bigint"))
-    return CM.committee_scores(one.where(is_train).select("fit", "row_id", "vec", "y"), one, width, alpha, k).drop("fit")
+    return CM.committee_scores(one.where(is_train).select("fit", "row_id", "vec", "y"), CM.dealt(one), width, alpha, k).drop("fit")
 
 
 def challengers(snapshots_split: DataFrame, features: list[str], n_splits: int = 3, n_cal_folds: int = 3,

@@ -414,6 +414,19 @@ def test_committee_scores_every_row_on_all_features(spark, sf):
     assert len(rows) and rows[["ridge", "knn", "score"]].notna().all().all()
 
 
+def test_scoring_is_dealt_by_its_work_not_by_files(spark, monkeypatch):
+    rows = spark.range(1000).selectExpr("id as row_id", "array(sin(id), cos(3 * id)) as vec", "sin(id) + id % 7 as y",
+                                        "date_add(date'2020-01-01', int(id)) as asof_date").coalesce(1)
+    whole = {r["row_id"]: r["score"] for r in E.committee_on_split(rows, F.col("row_id") < 500, 2).collect()}
+    oof = {(r["row_id"], r["fold_id"]): r["score"] for r in E.oof_scores(rows, 2).collect()}
+    monkeypatch.setattr(CM, "ASKED_ROWS", 100)
+    assert CM.dealt(rows).rdd.getNumPartitions() == 10 and CM.dealt(rows, 3).rdd.getNumPartitions() == 30
+    out = E.committee_on_split(rows, F.col("row_id") < 500, 2)
+    assert out.rdd.getNumPartitions() == 10
+    assert {r["row_id"]: r["score"] for r in out.collect()} == pytest.approx(whole, abs=1e-12)
+    assert {(r["row_id"], r["fold_id"]): r["score"] for r in E.oof_scores(rows, 2).collect()} == pytest.approx(oof, abs=1e-12)
+
+
 def test_neighbour_blocks_stay_small():
     import tracemalloc
 
