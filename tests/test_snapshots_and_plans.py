@@ -200,3 +200,26 @@ def test_manifest_has_hashes_and_action_counts(spark, sf):
     row = queries()["s13_run_manifest"](spark, sf).first()
     assert all(row[f"dataset_hash_{s}"] for s in ("train", "val", "test"))
     assert row["n_fold"] + row["n_small_bet"] + row["n_size_up"] == row["river_test"]
+
+
+def test_a_file_above_a_split_is_digested_split_by_split(spark, tmp_path):
+    import hashlib
+    import random
+
+    rng = random.Random(5)
+    parts = {"ends": rng.randbytes(300_001) + b"\n", "open": rng.randbytes(300_001) + b"x", "lines": b"\r\n\n\xff\n" * 60_000,
+             "few": b"a" * 200_000 + b"\n" + b"\0" * 150_000, "one": b"\n" * 70_000, "small": b"abc\n",
+             "marked": b"\xef\xbb\xbf" + b"abc\n" * 30_000}
+    for name, content in parts.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    read = []
+    job = spark.sparkContext.runJob
+    spark.sparkContext.runJob = lambda rdd, f, at: read.append(at) or job(rdd, f, at)
+    try:
+        got = {r["path"].rsplit("/", 1)[1]: r["content_hash"] for r in TB.file_hashes(spark, str(tmp_path)).collect()}
+    finally:
+        del spark.sparkContext.runJob
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {n: hashlib.sha256(c).hexdigest()[:16] for n, c in parts.items()}
+    assert len(read) >= 5 + 5 + 5 + 6 + 2
