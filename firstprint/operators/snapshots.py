@@ -10,6 +10,7 @@ from firstprint.functions import vocab
 from firstprint.operators import bars as B
 from firstprint.operators import context as C
 from firstprint.operators.ordering import exact_quantiles
+from firstprint.session import materialise
 
 STREET_FEATURES = vocab.DAILY_FEATURES + vocab.REGIME_FEATURES
 
@@ -89,17 +90,21 @@ def build_snapshots(bars: DataFrame, listings: DataFrame, index_bars: DataFrame,
 
 def build_audit(listings: DataFrame, bars: DataFrame, snapshots: DataFrame,
                 lengths: B.StreetLengths = B.StreetLengths()) -> DataFrame:
-    """One row per listing: status, streets built, and why nothing was built."""
-    days = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_bars"))
-    after = (
-        bars.join(listings.select("symbol", "ipo_date"), "symbol")
-        .where(F.to_date("ts") >= F.col("ipo_date"))
-        .groupBy("symbol").agg(F.count_distinct(F.to_date("ts")).alias("_days"))
-    )
+    """One row per listing: status, streets built, and why nothing was built.
+
+    Why is asked only of listings without a snapshot: they are written out, so that their size is known and few of them
+    are sent to the bars, and no other bar is shuffled or counted.
+    """
     built = snapshots.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_snapshots"),
         *[F.bool_or(F.col("street") == s).alias(f"has_{s.lower()}") for s in vocab.STREETS],
     )
+    unbuilt = materialise(listings.join(built, "symbol", "left_anti").select("symbol", "ipo_date"), "unbuilt")
+    day = F.to_date("ts")
+    seen = bars.join(unbuilt, "symbol").groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("_bars"),
+        F.nullif(F.count_distinct(F.when(day >= F.col("ipo_date"), day)), F.lit(0)).alias("_days"),
+    )
     n = F.coalesce(F.col("n_snapshots"), F.lit(0))
     error = (
         F.when(n > 0, F.lit(""))
@@ -109,7 +114,7 @@ def build_audit(listings: DataFrame, bars: DataFrame, snapshots: DataFrame,
         .otherwise("No bars for this index")
     )
     return (
-        listings.join(days, "symbol", "left").join(after, "symbol", "left").join(built, "symbol", "left")
+        listings.join(seen, "symbol", "left").join(built, "symbol", "left")
         .select(
             "symbol", "ipo_date", X.era_label(F.year("ipo_date")).alias("era"), "sector", "sic",
             F.when(n == 3, "success")

@@ -202,6 +202,22 @@ def test_manifest_has_hashes_and_action_counts(spark, sf):
     assert row["n_fold"] + row["n_small_bet"] + row["n_size_up"] == row["river_test"]
 
 
+def test_audit_asks_the_bars_only_of_listings_without_snapshots(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    when = {"A": range(30), "C": range(-9, 0), "D": range(-2, 4), "E": range(7)}
+    first = datetime(2020, 1, 10)
+    rows = [(s, first + timedelta(days=i, hours=h)) for s, days in when.items() for i in days for h in (0, 1)]
+    spark.createDataFrame(rows, "symbol string, ts timestamp").write.parquet(f"{tmp_path}/audited_bars")
+    listings = spark.createDataFrame([(s, first.date(), "x", "1") for s in "ABCDE"], "symbol string, ipo_date date, sector string, sic string")
+    snaps = spark.createDataFrame([("A", s) for s in vocab.STREETS], "symbol string, street string")
+    out = S.build_audit(listings, spark.read.parquet(f"{tmp_path}/audited_bars"), snaps)
+    assert {r["symbol"]: (r["status"], r["n_snapshots"], r["error"]) for r in out.collect()} == {
+        "A": ("success", 3, ""), "B": ("failed", 0, "No bar data"), "C": ("partial", 0, "no_snapshots_built"),
+        "D": ("failed", 0, "Not enough trading days to form FLOP window"), "E": ("failed", 0, "No bars for this index")}
+    assert len(re.findall(r"Relation \[symbol#\d+,ts#\d+\]", out._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
 def test_a_file_above_a_split_is_digested_split_by_split(spark, tmp_path):
     import hashlib
     import random
