@@ -65,8 +65,9 @@ def index_sessions(bars: DataFrame, listings: DataFrame, lengths: StreetLengths
         span = span & (d < F.date_add("ipo_date", history_days))
     series = Window.partitionBy("symbol")
     k = F.col("day_index")
+    # hashed, as a merge join would sort all bars by symbol only for the windows to sort them again; a task holds its share of listings
     return (
-        bars.join(listings.select("symbol", "ipo_date"), "symbol")
+        bars.join(listings.select("symbol", "ipo_date").hint("shuffle_hash"), "symbol")
         .where(span)
         .withColumn("d", d)
         .withColumn("day_index", F.dense_rank().over(series.orderBy("d")) - 1)

@@ -126,3 +126,12 @@ def test_index_bars_against_brute_force(spark, sf):
     got = {(r["index_symbol"], r["d"]): (r["open"], r["close"]) for r in fx.index_bars(spark, sf).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_sessions_sort_the_bars_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many listings
+    try:
+        plan = B.index_sessions(days(spark, 21), listing(spark))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning(symbol") == 2
