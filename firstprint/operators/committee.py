@@ -4,8 +4,9 @@ A *fit* is one training set with one feature subset. Rows carry an integer ``fit
 belong to many fits) and a dense ``vec`` array. Features a fit does not use get scale 0, which
 removes them from both the ridge system and the distances.
 
-Ridge is fitted on all rows. Neighbours are looked for among a bounded draw of the training rows (`drawn`), which
-goes to every task, so the rows to be scored are never shuffled and the work is linear in their number.
+Ridge is fitted on all rows, and neighbours are looked for among all rows. Up to MODEL_BYTES the training rows go to every task
+and the rows to be scored stay where they lie; beyond, tiles of both are dealt to tasks (`with_nearest`). Both ways compare the
+same pairs with the same arithmetic, so they give the same scores.
 """
 
 from __future__ import annotations
@@ -155,18 +156,20 @@ def scale_rows(rows: DataFrame, params: dict[int, FitParams], keep=("y",)) -> Da
 
 # ---- nearest neighbours ----------------------------------------------------------------------------
 
-FIT_ROWS = 16_384        # labelled rows that the neighbour model of one piece is drawn from, at most
-MODEL_BYTES = 256 << 20  # largest neighbour model that is sent to the tasks
+MODEL_BYTES = 256 << 20  # largest table of training rows that is sent to the tasks
+TRAIN_TILE = 65_536      # training rows that one task compares with asked ones, where they are too many to be sent
+ASKED_TILE = 32_768      # asked rows of such a task
+SLICE = 4_096            # training rows measured at once
 BLOCK = 1 << 20          # distances held at once
 EXACT = 1 << 20          # numbers of candidate rows held at once when they are measured again
-ASKED_ROWS = 16_384      # scorings a task is given: some seconds, whatever the number of files the rows come from
+ASKED_ROWS = 16_384      # scorings a task is given, whatever the number of files the rows come from
 
 
-def drawn(train: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+def drawn(train: DataFrame, most: int) -> DataFrame:
     """``train`` with ``_h``, md5 of row_id: of each fit the ``most`` rows that come first by (_h, row_id); all, if no more.
 
-    The bound is what keeps scoring linear in the rows asked for. The draw depends on row ids alone, so it is repeatable, the
-    same however rows are dealt, and the draws of nested training sets are nested. A cut on the hash that lets through a few more
+    Only for callers that ask for a draw. It depends on row ids alone, so it is repeatable, the same however rows are dealt,
+    and the draws of nested training sets are nested. A cut on the hash that lets through a few more
     than ``most`` rows of a fit comes before the exact order, so no task sorts a whole fit.
     """
     hashed = train.withColumn("_h", F.md5(F.col("row_id").cast("string")))
@@ -189,7 +192,7 @@ def drawn(train: DataFrame, most: int = FIT_ROWS) -> DataFrame:
 
 @dataclass(frozen=True)
 class Neighbours:
-    """Drawn training rows in row_id order, and which of them each fit uses."""
+    """Training rows in row_id order, and which of them each fit uses."""
 
     rows: np.ndarray
     y: np.ndarray
@@ -202,61 +205,162 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(flat, dtype=float).reshape(len(column), len(flat) // max(1, len(column)))
 
 
-def neighbour_rows(train: DataFrame, parts: dict[int, list[int]] | None = None, most: int = FIT_ROWS, limit: int = MODEL_BYTES,
-                   vec: str = "vec") -> Neighbours:
-    """Draws and collects the neighbour model of ``train`` (fit, row_id, ``vec``, y); a row that several fits share is held once.
+def labelled(train: DataFrame, vec: str = "vec", most: int | None = None) -> DataFrame:
+    """(row_id, ``vec``, y, fits, _h), written: every row of ``train`` once, whatever its fits; with ``most``, the rows of the draw.
 
-    With ``parts`` the fit column names disjoint pieces and a fit is made of several; its rows are the first ``most`` of theirs,
-    which is the draw from their union. A row has one vector and one y, whatever its fits.
+    A row has one vector and one y in all its fits.
     """
-    once = (drawn(train.select("fit", "row_id", vec, "y"), most).groupBy("row_id")
-            .agg(F.first("_h").alias("_h"), F.first(vec).alias(vec), F.first("y").cast("double").alias("y"), F.sort_array(F.collect_set("fit")).alias("fits")))
-    once = materialise(once, "neighbours")
-    size = once.agg(F.sum(8 * (F.size(vec) + F.size("fits")) + 64)).first()[0] or 0
+    rows = train.select("fit", "row_id", vec, "y")
+    rows = rows.withColumn("_h", F.lit(None).cast("string")) if most is None else drawn(rows, most)
+    return materialise(rows.groupBy("row_id").agg(
+        F.first("_h").alias("_h"), F.first(vec).alias(vec), F.first("y").cast("double").alias("y"),
+        F.sort_array(F.collect_set("fit")).alias("fits")), "neighbours")
+
+
+def model_bytes(rows: DataFrame, vec: str = "vec") -> int:
+    return rows.agg(F.sum(8 * (F.size(vec) + F.size("fits")) + 64)).first()[0] or 0
+
+
+def _sendable(rows: DataFrame, parts: dict[int, list[int]] | None, most: int | None, vec: str, limit: int | None = None) -> Neighbours:
+    size, limit = model_bytes(rows, vec), MODEL_BYTES if limit is None else limit
     if size > limit:
-        raise ValueError(f"the neighbour model takes {size} bytes, {limit} may be sent: draw fewer rows a fit (now {most})")
-    table = once.orderBy("row_id").toArrow()
-    hashes = np.array(table["_h"].to_pylist(), dtype=object)
-    fits, sizes = table["fits"].combine_chunks(), None
+        raise ValueError(f"the neighbour model takes {size} bytes, {limit} may be sent")
+    table = rows.orderBy("row_id").toArrow()  # at most ``limit`` bytes
+    fits = table["fits"].combine_chunks()
     sizes = np.diff(fits.offsets.to_numpy()) if len(table) else np.zeros(0, int)
     place, of = np.repeat(np.arange(len(table)), sizes), fits.flatten().to_numpy(zero_copy_only=False)
     pieces = {int(f): place[of == f] for f in np.unique(of)}
+    hashes = None if most is None else np.array(table["_h"].to_pylist(), dtype=object)
     members = {}
     for fit, own in (parts or {f: [f] for f in pieces}).items():
         at = np.concatenate([pieces[c] for c in own if c in pieces] or [np.zeros(0, int)]).astype(int)
-        if len(at) > most:
+        if most is not None and len(at) > most:
             at = at[np.lexsort((at, hashes[at]))[:most]]
         if len(at):
             members[fit] = np.sort(at)
     return Neighbours(_matrix(table[vec]), table["y"].to_numpy(), members)
 
 
-def mean_of_nearest(asked: np.ndarray, rows: np.ndarray, y: np.ndarray, k: int, digits: int) -> np.ndarray:
-    """Mean y of the k rows nearest to each row of ``asked``; distances rounded to ``digits``, ties to the earlier row.
+def neighbour_rows(train: DataFrame, parts: dict[int, list[int]] | None = None, most: int | None = None, limit: int = MODEL_BYTES,
+                   vec: str = "vec") -> Neighbours:
+    """Collects the neighbour model of ``train`` (fit, row_id, ``vec``, y), which must not take more than ``limit`` bytes.
+
+    With ``parts`` the fit column names disjoint pieces and a fit is made of several. With ``most``, pieces are drawn, and the rows of
+    a fit are the first ``most`` of theirs, which is the draw from their union.
+    """
+    return _sendable(labelled(train, vec, most), parts, most, vec, limit)
+
 
-    Distances come from one matrix product a block. In floating point its error is below (p + 4) * 2^-52 * (|a|^2 + |b|^2) for
-    vectors of p numbers, so all rows within twice that of the k-th (and within the rounding of ties) are measured again, exactly.
+def nearest(asked: np.ndarray, rows: np.ndarray, k: int, digits: int, members: np.ndarray | None = None,
+            own: FitParams | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of ``asked`` the k nearest ``rows``: distances rounded to ``digits`` and places, nearest first, ties to the earlier row.
+
+    ``members`` picks rows (places count among them), ``own`` scales them. Where there are fewer than k, or for vectors with NaN, the
+    rest is (inf, number of rows). Rows pass in slices, distances of a slice come from a matrix product. In floating point the error of
+    such a square is below (p + 4) * 2^-52 * (|a|^2 + |b|^2) for vectors of p numbers. All rows that may reach the k-th distance found
+    so far within that, what measuring itself may lose, and rounding, are measured again by differences; so none is lost.
     """
-    k, width = min(k, len(rows)), rows.shape[1]
-    norms = (rows * rows).sum(axis=1)
-    out, step = np.empty(len(asked)), max(1, BLOCK // len(rows))
-    for s in range(0, len(asked), step):
-        q = asked[s:s + step]
-        own = (q * q).sum(axis=1)
-        rough = own[:, None] + norms[None, :] - 2.0 * q @ rows.T
-        kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        error = (width + 4) * 2.0 ** -51 * (own + norms.max())
-        # two distances that round alike differ by one unit of the last digit at most
-        unit = 10.0 ** -digits
-        ties = 2 * unit * np.sqrt(np.maximum(kth + error, 0.0)) + unit * unit
-        at, near = np.nonzero(rough <= (kth + error + ties)[:, None])
-        some = max(1, EXACT // max(1, width))
-        d = np.concatenate([np.sqrt(((q[at[i:i + some]] - rows[near[i:i + some]]) ** 2).sum(axis=1)) for i in range(0, len(at), some)])
-        order = np.lexsort((near, np.round(d, digits), at))
-        at, near = at[order], near[order]
-        first = np.searchsorted(at, np.arange(len(q)))
-        out[s:s + step] = y[near[first[:, None] + np.arange(k)]].mean(axis=1)
-    return out
+    n, width, unit = len(rows) if members is None else len(members), rows.shape[1], 10.0 ** -digits
+    best_d, best_at = np.full((len(asked), k), np.inf), np.full((len(asked), k), n)
+    lengths, some = (asked * asked).sum(axis=1), max(1, EXACT // max(1, width))
+    for low in range(0, n, SLICE):
+        part = rows[low:low + SLICE] if members is None else rows[members[low:low + SLICE]]
+        if own is not None:
+            part = (part - own.mean) * own.inv_sd
+        norms = (part * part).sum(axis=1)
+        step = max(1, BLOCK // len(part))
+        for s in range(0, len(asked), step):
+            q = asked[s:s + step]
+            rough = q @ part.T
+            rough *= -2.0
+            rough += norms
+            rough += lengths[s:s + step, None]
+            error = (width + 8) * 2.0 ** -50 * (lengths[s:s + step] + np.fmax.reduce(norms))
+            reach = (best_d[s:s + step, -1] + unit) ** 2 + error
+            hits = rough <= reach[:, None]
+            if len(part) > k and np.count_nonzero(hits) > 4 * k * len(q):  # the first slice, or a much nearer one
+                kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+                reach = np.fmin(reach, (np.sqrt(np.maximum(kth + error, 0.0)) + unit) ** 2 + error)
+                hits = rough <= reach[:, None]
+            at, near = np.nonzero(hits)
+            if not len(at):
+                continue
+            d = np.concatenate([np.sqrt(((q[at[i:i + some]] - part[near[i:i + some]]) ** 2).sum(axis=1)) for i in range(0, len(at), some)])
+            met = np.unique(at)
+            to = np.r_[at, np.repeat(met, k)]
+            far = np.r_[np.round(d, digits), best_d[s + met].ravel()]
+            place = np.r_[low + near, best_at[s + met].ravel()]
+            order = np.lexsort((place, far, to))
+            first = order[np.searchsorted(to[order], met)[:, None] + np.arange(k)]
+            best_d[s + met], best_at[s + met] = far[first], place[first]
+    return best_d, best_at
+
+
+def _mean_at(y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Mean of ``y`` at the places of each row of ``at`` that exist; NaN where none does."""
+    found = at < len(y)
+    sums = np.where(found, np.r_[y, 0.0][np.minimum(at, len(y))], 0.0).sum(axis=1)
+    return np.where(found.any(axis=1), sums / np.maximum(found.sum(axis=1), 1), np.nan)
+
+
+def mean_of_nearest(asked: np.ndarray, rows: np.ndarray, y: np.ndarray, k: int, digits: int, members: np.ndarray | None = None,
+                    own: FitParams | None = None) -> np.ndarray:
+    """Mean y of the k rows nearest to each row of ``asked`` (see `nearest`); of all, where there are fewer."""
+    return _mean_at(y if members is None else y[members], nearest(asked, rows, k, digits, members, own)[1])
+
+
+def _by_key(of: dict, key: str) -> Column:
+    """The entry of a few literals for the value of ``key``, null where there is none."""
+    values = [F.array(*[F.lit(x).cast("bigint") for x in v]) if isinstance(v, list) else F.lit(v).cast("bigint") for v in of.values()]
+    return F.try_element_at(F.create_map(*[x for f, v in zip(of, values) for x in (F.lit(f).cast("bigint"), v)]), F.col(key))
+
+
+def with_nearest(rows: DataFrame, asked: DataFrame, k: int, digits: int, params: dict[int, FitParams] | None = None,
+                 parts: dict[int, list[int]] | None = None, vec: str = "vec") -> DataFrame:
+    """``asked`` (fit, ``vec``, any other columns) with knn, the mean y of the k nearest of all ``rows`` (`labelled`); null without any.
+
+    Every fit's asked rows and every piece's training rows are dealt by hash to tiles of about ASKED_TILE and TRAIN_TILE rows; each tile
+    of the one meets each tile of the other in a task, and the k nearest of all an asked row's tasks are kept. So a task holds two
+    tiles, however many the rows; every pair is compared, which is quadratic, as is the exact answer.
+    """
+    asked = materialise(asked.withColumn("_ask", F.monotonically_increasing_id()), "asked")
+    flat = rows.withColumn("_piece", F.explode("fits")).drop("fits", "_h")
+    stored = {r["_piece"]: r["count"] for r in flat.groupBy("_piece").count().collect()}  # one row a piece
+    wanted = {r["fit"]: r["count"] for r in asked.groupBy("fit").count().collect()}  # one row a fit
+    of = {f: [c for c in own if c in stored] for f, own in (parts or {c: [c] for c in stored}).items() if f in wanted}
+    of = {f: own for f, own in of.items() if own}
+    if not of:
+        return asked.drop("_ask").withColumn("knn", F.lit(None).cast("double"))
+    users = {c: [f for f, own in of.items() if c in own] for c in stored}
+    users = {c: fits for c, fits in users.items() if fits}
+    asked_tiles = {f: -(-wanted[f] // ASKED_TILE) for f in of}
+    train_tiles = {c: -(-stored[c] // TRAIN_TILE) for c in users}
+    one = F.lit(1).cast("bigint")
+
+    def each(tiles, key):
+        return F.explode(F.sequence(0 * one, _by_key(tiles, key) - one))
+
+    left = (asked.select("_ask", "fit", vec, F.explode(_by_key(of, "fit")).alias("_piece"))
+            .withColumn("_a", F.pmod(F.xxhash64("_ask"), _by_key(asked_tiles, "fit"))).withColumn("_t", each(train_tiles, "_piece")))
+    right = (flat.withColumn("fit", F.explode(_by_key(users, "_piece")))
+             .withColumn("_t", F.pmod(F.xxhash64("row_id"), _by_key(train_tiles, "_piece"))).withColumn("_a", each(asked_tiles, "fit")))
+    id_type = rows.schema["row_id"].dataType
+
+    def compare(asks: pa.Table, train: pa.Table) -> pa.Table:
+        train = train.sort_by("row_id")
+        own = params[asks["fit"][0].as_py()] if params is not None and len(asks) else None
+        z = _matrix(asks[vec]) if own is None else (_matrix(asks[vec]) - own.mean) * own.inv_sd
+        d, at = nearest(z, _matrix(train[vec]), k, digits, own=own)
+        found = at < len(train)
+        return pa.table({"_ask": np.repeat(asks["_ask"].to_numpy(), found.sum(axis=1)), "d": d[found],
+                         "row_id": train["row_id"].take(pa.array(at[found])), "y": train["y"].take(pa.array(at[found]))})
+
+    keys = ["fit", "_piece", "_a", "_t"]
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+        compare, f"_ask bigint, d double, row_id {id_type.simpleString()}, y double")
+    best = near.groupBy("_ask").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "row_id", "y"))), 1, k).alias("_near"))
+    mean = F.aggregate("_near", F.lit(0.0), lambda s, x: s + x["y"]) / F.size("_near")
+    return asked.join(best, "_ask", "left").withColumn("knn", mean).drop("_ask", "_near")
 
 
 def dealt(rows: DataFrame, fits: int = 1) -> DataFrame:
@@ -268,13 +372,19 @@ def dealt(rows: DataFrame, fits: int = 1) -> DataFrame:
     return rows.repartition(tasks, "row_id") if tasks > 1 else rows
 
 
-def nearest_targets(train: DataFrame, test: DataFrame, k: int = 7, digits: int = 10, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(fit, row_id, knn): mean target of the k nearest of the drawn training rows; ties go to the lower row_id.
+def nearest_targets(train: DataFrame, test: DataFrame, k: int = 7, digits: int = 10, fit_rows: int | None = None) -> DataFrame:
+    """(fit, row_id, knn): mean target of the k nearest training rows of the fit; ties go to the lower row_id.
 
-    ``train`` holds (fit, row_id, z, y), ``test`` (fit, row_id, z). Test rows are scored where they lie and never shuffled; those of
-    a fit without training rows are left out. A row of ``train`` that two fits share has one z here.
+    ``train`` holds (fit, row_id, z, y), ``test`` (fit, row_id, z). Test rows of a fit without training rows are left out. A row of
+    ``train`` that two fits share has one z here. ``fit_rows`` asks for a draw of that many training rows a fit in place of all.
     """
-    sent = test.sparkSession.sparkContext.broadcast(neighbour_rows(train, None, fit_rows, vec="z"))  # at most MODEL_BYTES
+    rows = labelled(train, "z", fit_rows)
+    test = test.select("fit", "row_id", "z")
+    if fit_rows is None and model_bytes(rows, "z") > MODEL_BYTES:
+        fits = [r[0] for r in rows.select(F.explode("fits")).distinct().collect()]  # one row a fit
+        found = with_nearest(rows, test.where(F.col("fit").isin(fits)), k, digits, vec="z")
+        return found.select("fit", "row_id", F.coalesce("knn", F.lit(float("nan"))).alias("knn"))
+    sent = test.sparkSession.sparkContext.broadcast(_sendable(rows, None, fit_rows, "z"))  # at most MODEL_BYTES
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -284,42 +394,50 @@ def nearest_targets(train: DataFrame, test: DataFrame, k: int = 7, digits: int =
             for fit in np.unique(fits):
                 at, members = np.flatnonzero(fits == fit), model.members.get(int(fit))
                 if members is not None:
-                    knn[at] = mean_of_nearest(z[at], model.rows[members], model.y[members], k, digits)
+                    knn[at] = mean_of_nearest(z[at], model.rows, model.y, k, digits, members)
             known = pa.array(np.isin(fits, list(model.members)))
             yield pa.RecordBatch.from_arrays([batch["fit"], batch["row_id"], pa.array(knn)], ["fit", "row_id", "knn"]).filter(known)
 
     id_type = test.schema["row_id"].dataType.simpleString()
-    return test.select("fit", "row_id", "z").mapInArrow(score, f"fit bigint, row_id {id_type}, knn double")
+    return test.mapInArrow(score, f"fit bigint, row_id {id_type}, knn double")
 
 
 def committee_scores(train: DataFrame, test: DataFrame, width: int, alpha: float = 1000.0, k: int = 7,
                      used: dict[int, np.ndarray] | None = None, parts: dict[int, list[int]] | None = None,
-                     fit_rows: int = FIT_ROWS, digits: int = 10) -> DataFrame:
+                     fit_rows: int | None = None, digits: int = 10) -> DataFrame:
     """``test`` (fit, vec, any other columns) without vec, with ridge, knn and their mean, score.
 
-    Ridge moments cover all rows of ``train`` (fit, row_id, vec, y); neighbours come from at most ``fit_rows`` drawn rows a fit.
-    With ``parts`` the fit column of ``train`` names disjoint pieces, and a fit is made of several of them. Both models go to the
-    tasks, and each test row is scored where it lies: no shuffle and no join, whatever their number. Rows of fits without training
-    rows are left out.
+    Ridge moments and neighbours cover all rows of ``train`` (fit, row_id, vec, y); ``fit_rows`` asks for a draw of that many rows a fit
+    for the neighbours. With ``parts`` the fit column of ``train`` names disjoint pieces, and a fit is made of several of them. Up to
+    MODEL_BYTES both models go to the tasks and each test row is scored where it lies, without shuffle or join; beyond, neighbours
+    are found first (`with_nearest`). Rows of fits without training rows are left out.
     """
     params = fit_ridge(train, width, alpha, used, parts)
-    model = neighbour_rows(train, parts, fit_rows)
+    rows = labelled(train, "vec", fit_rows)
+    model, kept = None, [f for f in test.schema.fields if f.name != "vec"]
+    if fit_rows is None and model_bytes(rows) > MODEL_BYTES:
+        test = materialise(with_nearest(rows, test.where(F.col("fit").isin(list(params))), k, digits, params, parts), "nearest")
+    else:
+        model = _sendable(rows, parts, fit_rows, "vec")
     sent = test.sparkSession.sparkContext.broadcast((params, model))  # at most MODEL_BYTES, and p numbers a fit
-    kept = [f for f in test.schema.fields if f.name != "vec"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params, model = sent.value
+        fitted = list(params if model is None else params.keys() & model.members.keys())
         for batch in batches:
             fits, ridge, knn = batch["fit"].to_numpy(), np.full(len(batch), np.nan), np.full(len(batch), np.nan)
             vec = _matrix(batch["vec"]) if len(batch) else None
+            if model is None:
+                knn = batch["knn"].to_numpy(zero_copy_only=False).astype(float)
             for fit in np.unique(fits):
-                at, own, members = np.flatnonzero(fits == fit), params.get(int(fit)), model.members.get(int(fit))
-                if own is None or members is None:
+                at, own = np.flatnonzero(fits == fit), params.get(int(fit))
+                if int(fit) not in fitted:
                     continue
                 z = (vec[at] - own.mean) * own.inv_sd
                 ridge[at] = z @ own.coef + own.intercept
-                knn[at] = mean_of_nearest(z, (model.rows[members] - own.mean) * own.inv_sd, model.y[members], k, digits)
-            known = pa.array(np.isin(fits, list(params.keys() & model.members.keys())))
+                if model is not None:
+                    knn[at] = mean_of_nearest(z, model.rows, model.y, k, digits, model.members[int(fit)], own)
+            known = pa.array(np.isin(fits, fitted))
             columns = [batch[f.name] for f in kept] + [pa.array(ridge), pa.array(knn), pa.array((ridge + knn) / 2)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + ["ridge", "knn", "score"]).filter(known)
 
