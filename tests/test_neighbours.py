@@ -39,7 +39,7 @@ def small_tiles(monkeypatch):
     monkeypatch.setattr(CM, "ASKED_TILE", 60)
 
 
-@pytest.mark.parametrize("k", [7])
+@pytest.mark.parametrize("k", [7, 3])
 def test_nearest_targets_looks_at_every_training_row(spark, monkeypatch, k):
     data = many(20_000)
     z = np.stack(data["vec"])
