@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firstprint.operators import committee as CM
+from firstprint.plans import evaluation as E
 
 
 def brute(asked, rows, y, k):
@@ -53,6 +54,22 @@ def test_nearest_targets_looks_at_every_training_row(spark, monkeypatch, k):
     assert tiled["knn"].tolist() == got["knn"].tolist()
 
 
+def test_committee_on_split_looks_at_every_training_row(spark, monkeypatch):
+    data = many(18_000)
+    held = np.arange(18_000) % 40 == 0
+    z = scaled(np.stack(data["vec"]), ~held)
+    rows = spark.createDataFrame(data.assign(held=held))
+    want = brute(z[held], z[~held], data["y"].to_numpy()[~held], 7)
+    got = E.committee_on_split(rows, ~F.col("held"), 2).where("held").toPandas().sort_values("row_id")
+    assert got["knn"].to_numpy() == pytest.approx(want, abs=1e-9)
+    small_tiles(monkeypatch)
+    few = rows.where("held").withColumn("fit", F.lit(0).cast("bigint"))
+    train = rows.where("not held").withColumn("fit", F.lit(0).cast("bigint"))
+    tiled = CM.committee_scores(train, few, 2).toPandas().sort_values("row_id")
+    for column in ("ridge", "knn", "score"):
+        assert tiled[column].to_numpy() == pytest.approx(got[column].to_numpy(), abs=1e-12)
+
+
 def test_rows_with_nan_have_no_neighbours_and_take_none_from_others(spark, monkeypatch):
     rng = np.random.default_rng(3)
     z, y = rng.normal(size=(50, 2)), rng.normal(size=50)
