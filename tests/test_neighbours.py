@@ -70,6 +70,18 @@ def test_committee_on_split_looks_at_every_training_row(spark, monkeypatch):
         assert tiled[column].to_numpy() == pytest.approx(got[column].to_numpy(), abs=1e-12)
 
 
+def test_oof_scores_look_at_every_earlier_row(spark):
+    data = many(24_000)
+    order = data.sort_values(["asof_date", "row_id"]).index.to_numpy()
+    train, asked = np.sort(order[:18_000]), order[18_000::100]  # the last of four blocks, and all before it
+    x = np.stack(data["vec"])
+    z = (x - x[train].mean(0)) / x[train].std(0)
+    want = dict(zip(data["row_id"].iloc[asked], brute(z[asked], z[train], data["y"].to_numpy()[train], 7)))
+    scores = E.oof_scores(spark.createDataFrame(data), 2).where(F.col("fold_id") == 3)
+    got = {r["row_id"]: r["knn"] for r in scores.where(F.col("row_id").isin(list(want))).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_rows_with_nan_have_no_neighbours_and_take_none_from_others(spark, monkeypatch):
     rng = np.random.default_rng(3)
     z, y = rng.normal(size=(50, 2)), rng.normal(size=50)
