@@ -82,6 +82,32 @@ def test_oof_scores_look_at_every_earlier_row(spark):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_folds_look_at_every_training_row(spark, monkeypatch):
+    """Variants share pieces, fits take several of them, a masked feature counts for nothing."""
+    data = many(18_200)
+    data.loc[18_000:, "yr"] = 1998
+    train = data["yr"].to_numpy() == 1997
+    names = ["a", E.V1_COLS[0]]
+    plan, variants = E.FoldPlan(folds=((1997, 1998),)), {"all": E.V1_COLS, "first": []}
+    rows = spark.createDataFrame(data)
+
+    def tested():
+        out = E._scored_folds(rows, plan, names, variants).where(F.col("part") == "test").toPandas().sort_values(["variant", "row_id"])
+        return {v: g["score"].to_numpy() for v, g in out.groupby("variant")}
+
+    got = tested()
+    x, y = np.stack(data["vec"]), data["y"].to_numpy()
+    for name, used in (("all", [1, 1]), ("first", [1, 0])):
+        z = scaled(x, train) * used
+        coef = np.linalg.solve(z[train].T @ z[train] + 1000 * np.eye(2), z[train].T @ (y[train] - y[train].mean()))
+        want = (z[~train] @ coef + y[train].mean() + brute(z[~train], z[train], y[train], 7)) / 2
+        assert got[name] == pytest.approx(want, abs=1e-9)
+    monkeypatch.setattr(CM, "MODEL_BYTES", 0)
+    monkeypatch.setattr(CM, "TRAIN_TILE", 2_000)
+    for name, score in tested().items():
+        assert score == pytest.approx(got[name], abs=1e-12)
+
+
 def test_rows_with_nan_have_no_neighbours_and_take_none_from_others(spark, monkeypatch):
     rng = np.random.default_rng(3)
     z, y = rng.normal(size=(50, 2)), rng.normal(size=50)
