@@ -61,23 +61,27 @@ class FitParams:
 
 
 def _second_moments(train: DataFrame, centre: np.ndarray, scale: np.ndarray) -> DataFrame:
-    """(fit, i, j, v): sums of products of (1, scaled features, y), one partial per task and fit."""
+    """(fit, i, j, v, lo, hi): sums of products of (1, scaled features, y), one partial per task and fit; at i = j the range of the column."""
 
     def partials(batches):
         sums: dict = {}
+        lows: dict = {}
+        highs: dict = {}
         for pdf in batches:
             x = (np.stack(pdf["vec"].to_numpy()) - centre) * scale
             a = np.column_stack([np.ones(len(x)), x, pdf["y"].to_numpy(dtype=float)])
             for fit, at in pdf.groupby("fit").indices.items():
                 part = a[at]
                 sums[fit] = sums.get(fit, 0.0) + part.T @ part
+                lows[fit] = np.minimum(lows.get(fit, np.inf), part.min(axis=0))
+                highs[fit] = np.maximum(highs.get(fit, -np.inf), part.max(axis=0))
         for fit, m in sums.items():
             i, j = np.triu_indices(len(m))
-            yield pd.DataFrame({"fit": fit, "i": i, "j": j, "v": m[i, j]})
+            yield pd.DataFrame({"fit": fit, "i": i, "j": j, "v": m[i, j], "lo": lows[fit][i], "hi": highs[fit][j]})
 
     return (
-        train.select("fit", "vec", "y").mapInPandas(partials, "fit bigint, i int, j int, v double")
-        .groupBy("fit", "i", "j").agg(F.sum("v").alias("v"))
+        train.select("fit", "vec", "y").mapInPandas(partials, "fit bigint, i int, j int, v double, lo double, hi double")
+        .groupBy("fit", "i", "j").agg(F.sum("v").alias("v"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     )
 
 
@@ -88,7 +92,8 @@ def fit_ridge(train: DataFrame, width: int, alpha: float = 1000.0, used: dict[in
     One pass collects shift-and-scale constants, a second the second moments of all fits; each
     system is p x p and solved from its sums. ``used`` masks features per fit. Fits that share rows
     need not repeat them: with ``parts`` the ``fit`` column names disjoint pieces, and each fit's
-    moments are the sum over its pieces.
+    moments are the sum over its pieces. A feature with one value in all rows of a fit counts for nothing: that is told
+    from its range, as the deviation from sums is rounding noise then.
     """
     idx = range(width)
     first = train.select(*[F.get("vec", F.lit(i)).alias(f"x{i}") for i in idx]).agg(
@@ -98,10 +103,18 @@ def fit_ridge(train: DataFrame, width: int, alpha: float = 1000.0, used: dict[in
     spread = np.array([first[f"s{i}"] or 0.0 for i in idx])
     scale = 1.0 / np.where(spread > 0, spread, 1.0)
     sums: dict[int, np.ndarray] = {}
+    lows: dict[int, np.ndarray] = {}
+    highs: dict[int, np.ndarray] = {}
     for r in _second_moments(train, centre, scale).toLocalIterator():  # fits x p^2 numbers
         m = sums.setdefault(r["fit"], np.zeros((width + 2, width + 2)))
         m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["v"]
+        if r["i"] == r["j"]:
+            lows.setdefault(r["fit"], np.full(width + 2, np.inf))[r["i"]] = r["lo"]
+            highs.setdefault(r["fit"], np.full(width + 2, -np.inf))[r["i"]] = r["hi"]
     if parts is not None:
+        there = {f: [c for c in pieces if c in sums] for f, pieces in parts.items()}
+        lows = {f: np.min([lows[c] for c in own], axis=0) for f, own in there.items() if own}
+        highs = {f: np.max([highs[c] for c in own], axis=0) for f, own in there.items() if own}
         sums = {f: sum(sums[c] for c in pieces if c in sums) for f, pieces in parts.items() if any(c in sums for c in pieces)}
     out = {}
     for fit, m in sums.items():
@@ -110,7 +123,7 @@ def fit_ridge(train: DataFrame, width: int, alpha: float = 1000.0, used: dict[in
         cov = m[1:-1, 1:-1] / n - np.outer(mu, mu)
         cross = m[1:-1, -1] / n - mu * mean_y
         sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
-        live = sd > 1e-12
+        live = (sd > 1e-12) & (highs[fit] > lows[fit])[1:-1]
         if used is not None:
             live = live & used[fit]
         inv = np.where(live, 1.0 / np.where(live, sd, 1.0), 0.0)
@@ -363,6 +376,11 @@ def with_nearest(rows: DataFrame, asked: DataFrame, k: int, digits: int, params:
     return asked.join(best, "_ask", "left").withColumn("knn", mean).drop("_ask", "_near")
 
 
+def _plain(value) -> tuple | None:
+    """The fields of a dataclass: broadcast values are pickled by reference, and executors need not have this package."""
+    return None if value is None else tuple(vars(value).values())
+
+
 def dealt(rows: DataFrame, fits: int = 1) -> DataFrame:
     """``rows`` dealt by row_id to tasks of about ASKED_ROWS scorings, when each row is scored by ``fits`` fits.
 
@@ -384,10 +402,10 @@ def nearest_targets(train: DataFrame, test: DataFrame, k: int = 7, digits: int =
         fits = [r[0] for r in rows.select(F.explode("fits")).distinct().collect()]  # one row a fit
         found = with_nearest(rows, test.where(F.col("fit").isin(fits)), k, digits, vec="z")
         return found.select("fit", "row_id", F.coalesce("knn", F.lit(float("nan"))).alias("knn"))
-    sent = test.sparkSession.sparkContext.broadcast(_sendable(rows, None, fit_rows, "z"))  # at most MODEL_BYTES
+    sent = test.sparkSession.sparkContext.broadcast(_plain(_sendable(rows, None, fit_rows, "z")))  # at most MODEL_BYTES
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = Neighbours(*sent.value)
         for batch in batches:
             z, fits = _matrix(batch["z"]) if len(batch) else None, batch["fit"].to_numpy()
             knn = np.full(len(batch), np.nan)
@@ -419,10 +437,11 @@ def committee_scores(train: DataFrame, test: DataFrame, width: int, alpha: float
         test = materialise(with_nearest(rows, test.where(F.col("fit").isin(list(params))), k, digits, params, parts), "nearest")
     else:
         model = _sendable(rows, parts, fit_rows, "vec")
-    sent = test.sparkSession.sparkContext.broadcast((params, model))  # at most MODEL_BYTES, and p numbers a fit
+    sent = test.sparkSession.sparkContext.broadcast(({f: _plain(p) for f, p in params.items()}, _plain(model)))  # at most MODEL_BYTES, and p numbers a fit
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, model = sent.value
+        solved, held = sent.value
+        params, model = {f: FitParams(*p) for f, p in solved.items()}, None if held is None else Neighbours(*held)
         fitted = list(params if model is None else params.keys() & model.members.keys())
         for batch in batches:
             fits, ridge, knn = batch["fit"].to_numpy(), np.full(len(batch), np.nan), np.full(len(batch), np.nan)

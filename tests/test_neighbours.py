@@ -119,3 +119,15 @@ def test_rows_with_nan_have_no_neighbours_and_take_none_from_others(spark, monke
     small_tiles(monkeypatch)
     tiled = CM.nearest_targets(train, test).toPandas().sort_values("row_id")["knn"]
     assert np.isnan(sent.iloc[3]) and tiled.tolist() == pytest.approx(sent.tolist(), nan_ok=True)
+
+
+def test_a_feature_constant_in_a_fit_counts_for_nothing(spark):
+    """Its deviation from sums of products is rounding noise, which blew it up and differed from run to run."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4_000, 12))
+    early = np.arange(4_000) < 1_001
+    x[early, 1:] = np.arange(1, 12) / 7  # all but the first have one value each in piece 0
+    train = spark.createDataFrame(pd.DataFrame({"fit": np.where(early, 0, 1), "row_id": range(4_000), "vec": x.tolist(), "y": x[:, 0]}))
+    params = CM.fit_ridge(train, 12, parts={5: [0], 6: [0, 1]})
+    assert params[5].inv_sd[0] == pytest.approx(1 / x[early, 0].std()) and not params[5].inv_sd[1:].any()
+    assert params[6].inv_sd == pytest.approx(1 / x.std(0))
